@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corespar.tables import table
 
+from .pii import find_personal, mask_personal, word_lists
 from .similar import similar_pairs, similar_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,17 @@ def p1_found(spark, folder):
 @query
 def p1_neighbours(spark, folder):
     return similar_vectors(table(spark, folder, "document_elements")).withColumnRenamed("id", "element_id")
+
+
+def _lists(spark, folder):
+    return word_lists(table(spark, folder, "person_names"), [table(spark, folder, "lexicon").select("word"), table(spark, folder, "common_words").select("word")])
+
+
+@query
+def p10_found(spark, folder):
+    return find_personal(table(spark, folder, "documents"), _lists(spark, folder)).select("doc_id", "pii_type", "start_pos")
+
+
+@query
+def p10_masked(spark, folder):
+    return mask_personal(table(spark, folder, "documents"), _lists(spark, folder), key="documents-v1")

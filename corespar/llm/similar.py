@@ -19,6 +19,7 @@ from .vectors import DIM, FourBitCode, cell_count, fit_cells, nearest_cells, pac
 
 PART_ROWS = 16_384  # rows of one cell that one task takes at most, of either side; a hotter cell is split
 CODE_SLACK = 0.12  # how far a coded cosine may fall below the true one where a least cosine is asked for (4 deviations and more)
+BYTE_SLACK = 0.01  # the same for byte-rounded vectors
 
 MEETING = "cell int, kind int, id bigint, vector binary, code binary, rep bigint"
 ASKS, STORED, MEMBER, SMALLEST = range(4)
@@ -48,7 +49,7 @@ def _rows(cell, kind: int, ids, vector, code, rep) -> pa.RecordBatch:
     )
 
 
-def _to_cells(centroids: np.ndarray, code: FourBitCode, probes: int, k: int, refine: bool):
+def _to_cells(centroids: np.ndarray, code: FourBitCode, probes: int, k: int):
     def run(batches):
         ids, xs = [np.zeros(0, np.int64)], [np.zeros((0, DIM), np.float32)]
         for batch in batches:
@@ -73,14 +74,14 @@ def _to_cells(centroids: np.ndarray, code: FourBitCode, probes: int, k: int, ref
             # a question takes half floats with it: they only pick candidates, which are ranked by the full vectors later
             yield _rows(cells[:, 0], ASKS, own, packed(xi.astype(np.float16)), None, None)
             coded = packed(FourBitCode.nibbles(code.encode(xi)))
-            rounded = packed(np.rint(xi * 127).astype(np.int8)) if refine else None
+            rounded = packed(np.rint(xi * 127).astype(np.int8))
             for j in range(cells.shape[1]):
                 yield _rows(cells[:, j], STORED, own, rounded, coded, None)
 
     return run
 
 
-def _scan(code: FourBitCode, scan_best: int, keep: int, least: float | None, refine: bool):
+def _scan(code: FourBitCode, scan_best: int, keep: int, least: float | None):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         kind = table.column("kind").to_numpy()
@@ -92,7 +93,7 @@ def _scan(code: FourBitCode, scan_best: int, keep: int, least: float | None, ref
             q_ids, d_ids = questions.column("id").to_numpy(), stored.column("id").to_numpy()
             rebuilt = code.decode(FourBitCode.from_nibbles(unpacked(stored.column("code"), np.uint8, DIM // 4))).astype(np.float32)
             asked = unpacked(questions.column("vector"), np.float16, DIM).astype(np.float32)
-            rough = unpacked(stored.column("vector"), np.int8, DIM) if refine else None
+            rough = unpacked(stored.column("vector"), np.int8, DIM)
             for a in range(0, len(q_ids), 512):
                 block = asked[a : a + 512]
                 score = block @ rebuilt.T  # for each pair the sum of the looked-up table entries
@@ -106,8 +107,10 @@ def _scan(code: FourBitCode, scan_best: int, keep: int, least: float | None, ref
                     r, d = np.repeat(np.arange(len(block)), best), top.ravel()
                     s = score[r, d]
                     r, d, s = r[s > -2], d[s > -2], s[s > -2]
-                if refine and len(r):
-                    s = np.einsum("nd,nd->n", block[r], rough[d].astype(np.float32)) / 127
+                s = np.einsum("nd,nd->n", block[r], rough[d].astype(np.float32)) / 127
+                if least is not None:
+                    near = s >= least - BYTE_SLACK
+                    r, d, s = r[near], d[near], s[near]
                 order = np.lexsort((d_ids[d], -s, r))
                 r, d, s = r[order], d[order], s[order]
                 within = np.arange(len(r)) - np.searchsorted(r, r)
@@ -172,8 +175,8 @@ def similar_vectors(df: DataFrame, id_col: str = "element_id", vector_col: str =
     near = nearest_cells(fitted, centroids, probes) if len(fitted) else np.zeros((0, 1), np.int32)
     scale = total / max(1, len(fitted)) / PART_ROWS
     q_parts, d_parts = ({c: int(np.ceil(n * scale)) for c, n in enumerate(np.bincount(part.ravel(), minlength=1).tolist()) if n * scale > 1} for part in (near[:, :1], near))
-    meeting = _met(spread(rows).mapInArrow(_to_cells(centroids, code, probes, k, refine), MEETING), q_parts, d_parts)
-    found = meeting.select("cell", "part", "kind", "id", "vector", "code", "rep").groupBy("cell", "part").applyInArrow(_scan(code, 8 * k, keep if refine else 1 << 30, least, refine), "kind int, q bigint, d bigint, rough float")
+    meeting = _met(spread(rows).mapInArrow(_to_cells(centroids, code, probes, k), MEETING), q_parts, d_parts)
+    found = meeting.select("cell", "part", "kind", "id", "vector", "code", "rep").groupBy("cell", "part").applyInArrow(_scan(code, 8 * k, keep if refine else 1 << 30, least), "kind int, q bigint, d bigint, rough float")
     found = cut(found)
     candidates = found.where(F.col("kind") == ASKS)
     if refine:
@@ -189,7 +192,7 @@ def similar_vectors(df: DataFrame, id_col: str = "element_id", vector_col: str =
     both = with_d.join(exact.select(F.col("id").alias("q"), F.col("vector").alias("vq")), "q").select("q", "d", "vq", "vd")
     scored = both.mapInArrow(_exact, "q bigint, d bigint, cosine double")
     if not refine:
-        scored = scored.where(F.col("cosine") >= least)
+        scored = cut(scored.where(F.col("cosine") >= least))
         scored = scored.unionByName(scored.select(F.col("d").alias("q"), F.col("q").alias("d"), "cosine"))
     return _with_copies(scored, found, k)
 
@@ -205,7 +208,7 @@ def _with_copies(scored: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return all_rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour_id"))).where(F.col("rank") <= k)
 
 
-def similar_pairs(df: DataFrame, id_col: str = "element_id", vector_col: str = "embedding", k: int = 10, least: float = 0.90, probes: int = 6) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str = "element_id", vector_col: str = "embedding", k: int = 10, least: float = 0.90, probes: int = 4) -> DataFrame:
     """(id, neighbour_id), the smaller first: pairs with at least the given cosine of which one is among the k best of the other."""
     near = similar_vectors(df, id_col, vector_col, k, probes, least)
     return near.select(F.least("id", "neighbour_id").alias(id_col), F.greatest("id", "neighbour_id").alias("neighbour_id")).distinct()
