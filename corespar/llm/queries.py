@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corespar.tables import table
 
+from .canonical import map_entries
+from .encode import encode_texts
 from .pii import find_personal, mask_personal, word_lists
 from .similar import similar_pairs, similar_vectors
 
@@ -42,3 +44,21 @@ def p10_found(spark, folder):
 @query
 def p10_masked(spark, folder):
     return mask_personal(table(spark, folder, "documents"), _lists(spark, folder), key="documents-v1")
+
+
+@query
+def p3_found(spark, folder):
+    mapped = map_entries(table(spark, folder, "global_metadata"), table(spark, folder, "formation_reference"))
+    return mapped.where("how != 'exact'").select("meta_id", "pos", "formation_id")
+
+
+@query
+def p3_unmatched(spark, folder):
+    """Report of the values that mean no entry or more than one, with the number of places they stand in."""
+    mapped = map_entries(table(spark, folder, "global_metadata"), table(spark, folder, "formation_reference"))
+    return mapped.where("formation_id = 0").groupBy("entry", "how").count()
+
+
+@query
+def p8_ids(spark, folder):
+    return encode_texts(table(spark, folder, "documents"))
