@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corespar.tables import table
 
 from .canonical import map_entries
+from .copies import collapse
 from .encode import encode_texts
 from .pii import find_personal, mask_personal, word_lists
 from .similar import similar_pairs, similar_vectors
@@ -62,3 +63,29 @@ def p3_unmatched(spark, folder):
 @query
 def p8_ids(spark, folder):
     return encode_texts(table(spark, folder, "documents"))
+
+
+@query
+def p5_found(spark, folder):
+    return collapse(table(spark, folder, "document_elements")).where("element_id != first_id").select("first_id", "element_id")
+
+
+@query
+def p5_copies(spark, folder):
+    """Each set of same elements as one: its first element and its number of copies."""
+    return collapse(table(spark, folder, "document_elements")).where("element_id = first_id").select("element_id", "copies")
+
+
+SAME = r"""WITH e AS (
+  SELECT element_id, lower(trim(regexp_replace(type, '^\s+|\s+$', '', 'g'))) AS kind, content FROM document_elements),
+c AS (
+  SELECT element_id, kind, regexp_replace(lower(content), '[^\p{L}\p{N}]', '', 'g') AS plain,
+    CASE WHEN kind = 'table' THEN array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda l:
+      array_to_string(list_sort(list_filter(list_transform(string_split_regex(l, '[|;\t]'), lambda f: regexp_replace(lower(f), '[^\p{L}\p{N}]', '', 'g')), lambda f: f <> '')), chr(31))), lambda l: l <> ''), chr(30))
+    ELSE regexp_replace(lower(content), '[^\p{L}\p{N}]', '', 'g') END AS form FROM e),
+s AS (
+  SELECT element_id, min(element_id) OVER (PARTITION BY kind, form) AS first_id, count(*) OVER (PARTITION BY kind, form) AS copies
+  FROM c WHERE length(plain) >= 40 AND kind IS NOT NULL)
+"""
+ORACLE["p5_found"] = SAME + "SELECT first_id, element_id FROM s WHERE element_id <> first_id"
+ORACLE["p5_copies"] = SAME + "SELECT element_id, copies FROM s WHERE element_id = first_id"
