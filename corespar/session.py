@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -56,3 +57,11 @@ def ship(spark: SparkSession) -> None:
             out.write(path, str(path.relative_to(root.parent)))
     sc.addPyFile(target)
     sc._corespar_shipped = True
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written as a table in the shared folder and read back: the lineage is cut and its size is known to the planner."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
