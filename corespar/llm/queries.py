@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corespar.tables import table
 
 from .canonical import map_entries
+from .clusters import similarity_clusters
 from .copies import collapse
 from .encode import encode_texts
 from .pii import find_personal, mask_personal, word_lists
@@ -89,3 +91,19 @@ s AS (
 """
 ORACLE["p5_found"] = SAME + "SELECT first_id, element_id FROM s WHERE element_id <> first_id"
 ORACLE["p5_copies"] = SAME + "SELECT element_id, copies FROM s WHERE element_id = first_id"
+
+
+def _clusters(spark, folder):
+    return similarity_clusters(table(spark, folder, "document_elements"), table(spark, folder, "chunks"))
+
+
+@query
+def p6_found(spark, folder):
+    return _clusters(spark, folder).select("record_kind", "record_id", "cluster_id")
+
+
+@query
+def p6_clusters(spark, folder):
+    """Each group with its size and its most typical members."""
+    best = _clusters(spark, folder).where("typical_rank is not null")
+    return best.groupBy("record_kind", "cluster_id", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("typical_rank", "record_id"))), lambda x: x["record_id"]).alias("typical"))

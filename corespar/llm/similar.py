@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corespar.session import cut
+from corespar.session import cut, stored
 from corespar.tables import spread
 
 from .vectors import DIM, FourBitCode, cell_count, fit_cells, nearest_cells, packed, sample, unpacked, usable_rows
@@ -87,13 +87,13 @@ def _scan(code: FourBitCode, scan_best: int, keep: int, least: float | None):
         kind = table.column("kind").to_numpy()
         if len(kind) and kind[0] in (MEMBER, SMALLEST):
             return pa.table({"kind": kind, "q": table.column("id"), "d": table.column("rep"), "rough": pa.nulls(len(kind), pa.float32())})
-        questions, stored = table.filter(pa.array(kind == ASKS)), table.filter(pa.array(kind == STORED))
+        questions, kept = table.filter(pa.array(kind == ASKS)), table.filter(pa.array(kind == STORED))
         out_q, out_d, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-        if len(questions) and len(stored):
-            q_ids, d_ids = questions.column("id").to_numpy(), stored.column("id").to_numpy()
-            rebuilt = code.decode(FourBitCode.from_nibbles(unpacked(stored.column("code"), np.uint8, DIM // 4))).astype(np.float32)
+        if len(questions) and len(kept):
+            q_ids, d_ids = questions.column("id").to_numpy(), kept.column("id").to_numpy()
+            rebuilt = code.decode(FourBitCode.from_nibbles(unpacked(kept.column("code"), np.uint8, DIM // 4))).astype(np.float32)
             asked = unpacked(questions.column("vector"), np.float16, DIM).astype(np.float32)
-            rough = unpacked(stored.column("vector"), np.int8, DIM)
+            rough = unpacked(kept.column("vector"), np.int8, DIM)
             for a in range(0, len(q_ids), 512):
                 block = asked[a : a + 512]
                 score = block @ rebuilt.T  # for each pair the sum of the looked-up table entries
@@ -186,7 +186,7 @@ def similar_vectors(df: DataFrame, id_col: str = "element_id", vector_col: str =
     pairs = candidates.select("q", "d")
     exact = rows.mapInArrow(_vectors, "id bigint, vector binary")
     if not refine:  # of few candidates only the vectors they need are moved again
-        needed = pairs.select(F.explode(F.array("q", "d")).alias("id")).distinct()
+        needed = stored(pairs.select(F.explode(F.array("q", "d")).alias("id")).distinct())  # of known size: broadcast if small, else shuffled
         exact = cut(exact.join(needed, "id", "left_semi"))
     with_d = pairs.join(exact.select(F.col("id").alias("d"), F.col("vector").alias("vd")), "d")
     both = with_d.join(exact.select(F.col("id").alias("q"), F.col("vector").alias("vq")), "q").select("q", "d", "vq", "vd")
