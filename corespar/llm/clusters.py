@@ -85,15 +85,18 @@ def _place_vectors(centroids: np.ndarray, probes: int):
             yield from _equal(groups, ids)
             first = np.array([g[0] for g in groups])
             ids, x = ids[first], x[first]
-            scale = np.abs(x).max(axis=1, keepdims=True) / 127
-            rows = np.concatenate([scale.astype(np.float32).view(np.int8), np.rint(x / scale).astype(np.int8)], axis=1)
-            yield from _placed(ids, x, packed(rows), centroids, probes)
+            yield from _placed(ids, x, packed(_scaled(x)), centroids, probes)
 
     return run
 
 
-def _unscaled(payload: pa.Array) -> np.ndarray:
-    rows = unpacked(payload, np.int8, DIM + 4)
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Bytes of each vector after its own scale."""
+    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True) / 127, 1e-12)
+    return np.concatenate([scale.astype(np.float32).view(np.int8), np.rint(x / scale).astype(np.int8)], axis=1)
+
+
+def _unscaled(rows: np.ndarray) -> np.ndarray:
     return rows[:, 4:].astype(np.float32) * np.ascontiguousarray(rows[:, :4]).view(np.float32)
 
 
@@ -144,7 +147,7 @@ def _link_vectors(least: float, slack: float = 0.006):
         table = table.combine_chunks()
         if (edges := _passed_on(table, "element")) is not None:
             return edges
-        ids, x = table.column("id").to_numpy(), _unscaled(table.column("payload"))
+        ids, x = table.column("id").to_numpy(), _unscaled(unpacked(table.column("payload"), np.int8, DIM + 4))
 
         def compare(rows):
             s = x[rows] @ x.T
@@ -163,30 +166,31 @@ def word_set(text: str) -> set[str]:
     return set(WORDS.findall(text.lower()))
 
 
-def _hashed(words: set[str], known: dict[str, int]) -> np.ndarray:
-    for w in words - known.keys():
-        known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
-    return np.unique(np.fromiter((known[w] for w in words), np.int64, len(words))).astype(np.uint16)
-
-
-def _sets(batch: pa.RecordBatch, least_words: int, known: dict[str, int]) -> tuple[np.ndarray, list[np.ndarray]]:
-    ids, out = [], []
+def _sets(batch: pa.RecordBatch, least_words: int, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, the different words' buckets one after the other, and where each record's begin (and the end)."""
+    ids, flat, starts = [], [], [0]
+    if len(known) > 1_000_000:
+        known.clear()
     for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
         words = word_set(text)
         if len(words) >= least_words:
+            try:
+                buckets = {known[w] for w in words}
+            except KeyError:
+                for w in words - known.keys():
+                    known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
+                buckets = {known[w] for w in words}
             ids.append(i)
-            out.append(_hashed(words, known))
-    if len(known) > 1_000_000:
-        known.clear()
-    return np.array(ids, np.int64), out
+            flat += sorted(buckets)
+            starts.append(len(flat))
+    return np.array(ids, np.int64), np.array(flat, np.uint16), np.array(starts, np.int64)
 
 
 def _word_counts(least_words: int):
     def run(batches):
         total, known = np.zeros(BUCKETS, np.int64), {}
         for batch in batches:
-            for words in _sets(batch, least_words, known)[1]:
-                total[words] += 1
+            total += np.bincount(_sets(batch, least_words, known)[1], minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
 
@@ -197,11 +201,12 @@ def _signs() -> np.ndarray:
     return np.random.default_rng(3).choice(np.array([-1, 1], np.float32), size=(BUCKETS, DIM))
 
 
-def _features(sets: list[np.ndarray], weighted: np.ndarray) -> np.ndarray:
+def _features(flat: np.ndarray, starts: np.ndarray, weighted: np.ndarray) -> np.ndarray:
     """Unit vectors: signed random projections of the words, rare words weighing more."""
-    out = np.empty((len(sets), DIM), np.float32)
-    for i, words in enumerate(sets):
-        out[i] = weighted[words].sum(axis=0)
+    out = np.zeros((len(starts) - 1, DIM), np.float32)
+    for a in range(0, len(out), 512):
+        part = starts[a : a + 513]
+        out[a : a + 512] = np.add.reduceat(weighted[flat[part[0] : part[-1]]], part[:-1] - part[0], axis=0)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -209,44 +214,49 @@ def _place_sets(centroids: np.ndarray, weights: np.ndarray, probes: int, least_w
     def run(batches):
         weighted, known = _signs() * weights[:, None], {}
         for batch in batches:
-            ids, sets = _sets(batch, least_words, known)
+            ids, flat, starts = _sets(batch, least_words, known)
             if not len(ids):
                 continue
+            raw = [flat[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
             same: dict[bytes, list[int]] = {}
             for row in np.argsort(ids, kind="stable").tolist():
-                same.setdefault(sets[row].tobytes(), []).append(row)
+                same.setdefault(raw[row], []).append(row)
             groups = [np.array(g) for g in same.values()]
             yield from _equal(groups, ids)
-            first = [int(g[0]) for g in groups]
-            own = [sets[i] for i in first]
-            yield from _placed(ids[first], _features(own, weighted), pa.array([w.tobytes() for w in own], pa.binary()), centroids, probes)
+            first = np.array([int(g[0]) for g in groups])
+            x = _features(flat, starts, weighted)[first]
+            scaled = _scaled(x)
+            yield from _placed(ids[first], x, pa.array([scaled[k].tobytes() + raw[row] for k, row in enumerate(first.tolist())], pa.binary()), centroids, probes)
 
     return run
 
 
-def _link_sets(weights: np.ndarray, least: float, rough: float = 0.30, slack: float = 0.03):
+def _bits(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each record's words as bits over the words of its cell."""
+    present, local = np.unique(flat, return_inverse=True)
+    out = np.zeros((len(starts) - 1, -(-max(1, len(present)) // 64) * 8), np.uint8)
+    rows = np.repeat(np.arange(len(out)), np.diff(starts))
+    np.bitwise_or.at(out, (rows, local >> 3), (1 << (local & 7)).astype(np.uint8))
+    return out.view(np.uint64)
+
+
+def _link_sets(least: float, rough: float = 0.30, slack: float = 0.03):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         if (edges := _passed_on(table, "chunk")) is not None:
             return edges
-        ids = table.column("id").to_numpy()
-        sets = [np.frombuffer(b, np.uint16) for b in table.column("payload").to_pylist()]
-        x = _features(sets, _WEIGHTED.get(weights))
-        as_sets: list = [None] * len(sets)
-
-        def of(i):
-            if as_sets[i] is None:
-                as_sets[i] = frozenset(sets[i].tolist())
-            return as_sets[i]
+        ids, payload = table.column("id").to_numpy(), table.column("payload").to_pylist()
+        x = _unscaled(np.frombuffer(b"".join(p[: DIM + 4] for p in payload), np.int8).reshape(-1, DIM + 4))
+        starts = np.concatenate([[0], np.cumsum([(len(p) - DIM - 4) // 2 for p in payload])])
+        bits = _bits(np.frombuffer(b"".join(p[DIM + 4 :] for p in payload), np.uint16), starts)
+        size = np.diff(starts)
 
         def compare(rows):
             s = x[rows] @ x.T
             r, d = np.nonzero(s >= rough)
             r = rows[r]
-            jaccard = np.empty(len(r))
-            for k, (i, j) in enumerate(zip(r.tolist(), d.tolist())):
-                both = len(of(i) & of(j))
-                jaccard[k] = both / (len(of(i)) + len(of(j)) - both)
+            both = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(bits[r[a : a + 65536]] & bits[d[a : a + 65536]]).sum(axis=1, dtype=np.int64) for a in range(0, len(r), 65536))])
+            jaccard = both / (size[r] + size[d] - both)
             keep = jaccard >= least - slack
             return r[keep], d[keep], jaccard[keep] >= least + slack
 
@@ -255,22 +265,6 @@ def _link_sets(weights: np.ndarray, least: float, rough: float = 0.30, slack: fl
     return run
 
 
-class _Weighted:
-    """The weighted projection, kept by a worker between the cells it links."""
-
-    def __init__(self):
-        self.key, self.value = None, None
-
-    def get(self, weights: np.ndarray) -> np.ndarray:
-        key = zlib.crc32(weights.tobytes())
-        if key != self.key:
-            self.key, self.value = key, _signs() * weights[:, None]
-        return self.value
-
-
-_WEIGHTED = _Weighted()
-
-
 # --- doubtful pairs, by the full records
 
 
@@ -362,11 +356,10 @@ def word_links(df: DataFrame, id_col: str, text_col: str, least: float, least_wo
     taken = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).limit(2 * SAMPLE).toArrow()
     known: dict[str, int] = {}
     weighted = _signs() * weights[:, None]
-    sets = [s for b in taken.to_batches() for s in _sets(b, least_words, known)[1]][:SAMPLE]
-    sampled = _features(sets, weighted) if sets else np.zeros((0, DIM), np.float32)
+    sampled = np.concatenate([np.zeros((0, DIM), np.float32), *(_features(*_sets(b, least_words, known)[1:], weighted) for b in taken.to_batches())])[:SAMPLE]
     centroids = fit_cells(sampled, cell_count(total))
     placed = spread(rows).mapInArrow(_place_sets(centroids, weights, probes, least_words), MEETING)
-    found = cut(_in_cells(placed, _expected(sampled, centroids, probes, total), _link_sets(weights, least)))
+    found = cut(_in_cells(placed, _expected(sampled, centroids, probes, total), _link_sets(least)))
     sure = _verified(found.where(F.col("kind") == MAYBE).select("a", "b"), rows.select("id", F.col("text").alias("value")), _jaccards, least)
     return found.where(F.col("kind") != MAYBE).unionByName(sure.select(F.lit("chunk").alias("record_kind"), F.lit(EDGE).alias("kind"), "a", "b", F.lit(0).alias("n")))
 

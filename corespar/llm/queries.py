@@ -14,6 +14,7 @@ from .clusters import similarity_clusters
 from .copies import collapse
 from .encode import encode_texts
 from .pii import find_personal, mask_personal, word_lists
+from .scans import repair_scans
 from .similar import similar_pairs, similar_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,17 @@ def p6_clusters(spark, folder):
     """Each group with its size and its most typical members."""
     best = _clusters(spark, folder).where("typical_rank is not null")
     return best.groupBy("record_kind", "cluster_id", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("typical_rank", "record_id"))), lambda x: x["record_id"]).alias("typical"))
+
+
+def _scans(spark, folder):
+    return repair_scans(table(spark, folder, "document_elements"), table(spark, folder, "lexicon"))
+
+
+@query
+def p4_found(spark, folder):
+    return _scans(spark, folder).select("element_id", F.explode("noise_kinds").alias("noise_kind"))
+
+
+@query
+def p4_text(spark, folder):
+    return _scans(spark, folder).select("element_id", "repaired")
