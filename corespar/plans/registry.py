@@ -9,3 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(function: Query) -> Query:
+    """Register a query under its function's name."""
+    QUERIES[function.__name__] = function
+    return function
