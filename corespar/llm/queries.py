@@ -14,6 +14,7 @@ from .clusters import similarity_clusters
 from .copies import collapse
 from .encode import encode_texts
 from .pii import find_personal, mask_personal, word_lists
+from .quality import classify_texts, text_statistics
 from .scans import repair_scans
 from .similar import similar_pairs, similar_vectors
 
@@ -122,3 +123,38 @@ def p4_found(spark, folder):
 @query
 def p4_text(spark, folder):
     return _scans(spark, folder).select("element_id", "repaired")
+
+
+def _classes(spark, folder):
+    return classify_texts(*(table(spark, folder, t) for t in ("document_elements", "element_labels", "common_words", "lexicon")))
+
+
+@query
+def p7_found(spark, folder):
+    return _classes(spark, folder).where("text_class != 'prose'").select("element_id", "text_class")
+
+
+@query
+def p7_shares(spark, folder):
+    """Shares of line classes in each text element."""
+    return _classes(spark, folder)
+
+
+@query
+def p7_statistics(spark, folder):
+    return text_statistics(table(spark, folder, "document_elements"), table(spark, folder, "common_words"))
+
+
+ORACLE["p7_statistics"] = r"""WITH t AS (
+  SELECT element_id, content FROM document_elements
+  WHERE lower(regexp_replace(type, '^\s+|\s+$', '', 'g')) = 'text' AND length(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 4),
+s AS (
+  SELECT element_id, content, regexp_extract_all(lower(content), '\p{L}+') AS words,
+    list_filter(string_split(content, chr(10)), lambda x: length(trim(regexp_replace(x, '\s+', ' ', 'g'))) > 0) AS lines,
+    (SELECT list(DISTINCT lower(word)) FROM common_words) AS common FROM t)
+SELECT element_id, len(words) AS n_words,
+  CASE WHEN len(words) > 0 THEN round(length(array_to_string(words, '')) / len(words), 6) ELSE 0.0 END AS mean_word_length,
+  round(length(regexp_replace(content, '[\p{L}\p{N}\s]', '', 'g')) / length(content), 6) AS symbol_ratio,
+  CASE WHEN len(lines) > 0 THEN round(len(list_filter(lines, lambda x: regexp_matches(regexp_replace(x, '\s+$', ''), '[.!?;:,]$'))) / len(lines), 6) ELSE 0.0 END AS share_punctuated,
+  CASE WHEN len(words) > 0 THEN round(len(list_filter(words, lambda x: list_contains(common, x))) / len(words), 6) ELSE 0.0 END AS share_common
+FROM s"""
