@@ -118,7 +118,7 @@ def _encode(ranks, count_only: bool):
             known = encoder.known
             if count_only:
                 sizes = {p: len(known[p]) for p in set(chain.from_iterable(split))}
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sum(map(sizes.__getitem__, s)) for s in split], pa.int64())], names=["id", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sum(map(sizes.__getitem__, s)) for s in split], pa.int64()), *batch.columns[2:]], names=["id", "n_tokens", *batch.schema.names[2:]])
                 continue
             ids = [list(chain.from_iterable(map(known.__getitem__, s))) for s in split]
             offsets = np.zeros(len(ids) + 1, dtype=np.int32)
@@ -129,15 +129,16 @@ def _encode(ranks, count_only: bool):
     return run
 
 
-def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, count_only: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, count_only: bool = False, keep: list[str] | None = None) -> DataFrame:
     """(id, ids) or, with count_only, (id, n_tokens): the text's ids in the vocabulary, without special tokens.
 
     An empty and a null text both give an empty list (0 tokens); strings of special tokens are ordinary text. Texts are encoded
-    whole, whatever their length; equal texts get equal ids. Other columns aren't read. The vocabulary (50,256 ranks) is sent to
+    whole, whatever their length; equal texts get equal ids. Columns named in `keep` stay beside n_tokens, others aren't read. The vocabulary (50,256 ranks) is sent to
     the tasks by broadcast.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
-    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    schema = "id bigint, n_tokens bigint" if count_only else "id bigint, ids array<int>"
+    kept = [c for c in keep or [] if count_only]
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *kept))
+    schema = "id bigint, n_tokens bigint" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in kept) if count_only else "id bigint, ids array<int>"
     return rows.mapInArrow(_encode(ranks, count_only), schema).withColumnRenamed("id", id_col)

@@ -13,6 +13,7 @@ from .canonical import map_entries
 from .clusters import similarity_clusters
 from .copies import collapse
 from .encode import encode_texts
+from .mixing import mix_sources, mixture_shares
 from .pii import find_personal, mask_personal, word_lists
 from .quality import classify_texts, text_statistics
 from .scans import repair_scans
@@ -158,3 +159,20 @@ SELECT element_id, len(words) AS n_words,
   CASE WHEN len(lines) > 0 THEN round(len(list_filter(lines, lambda x: regexp_matches(regexp_replace(x, '\s+$', ''), '[.!?;:,]$'))) / len(lines), 6) ELSE 0.0 END AS share_punctuated,
   CASE WHEN len(words) > 0 THEN round(len(list_filter(words, lambda x: list_contains(common, x))) / len(words), 6) ELSE 0.0 END AS share_common
 FROM s"""
+
+
+@query
+def p8_token_counts(spark, folder):
+    """Tokens of each document, without its list of ids."""
+    return encode_texts(table(spark, folder, "documents"), count_only=True)
+
+
+@query
+def p9_mix(spark, folder):
+    return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+@query
+def p9_shares(spark, folder):
+    targets = table(spark, folder, "mix_targets")
+    return mixture_shares(mix_sources(table(spark, folder, "documents"), targets), targets)
