@@ -1,3 +1,3 @@
 """See the README for what lives here."""
 
-from corespar.plans import problems  # noqa: E402, F401
+from corespar.plans import problems, retrieval  # noqa: E402, F401
