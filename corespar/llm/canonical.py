@@ -149,7 +149,7 @@ def map_entries(meta: DataFrame, reference: DataFrame, id_col: str = "meta_id",
     entries = [(r[0], r[1], r[2]) for r in listed]
     rows = meta.select(F.col(id_col).alias("id"), F.posexplode(list_col).alias("pos", "entry")).where("id is not null and entry is not null and entry rlike r'\\S'")
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    distinct = rows.select("entry").distinct().repartition(parts, "entry")
+    distinct = rows.select("entry").distinct().repartition(parts)  # few bytes but much work each: kept in as many tasks as there are cores
     exact = spark.createDataFrame([(r[1], r[0]) for r in listed], "entry string, exact_id int").dropDuplicates(["entry"])
     found = distinct.mapInArrow(_match(entries), "entry string, formation_id int, distance int, how string")
     found = found.join(F.broadcast(exact), "entry", "left")
