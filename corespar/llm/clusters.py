@@ -142,19 +142,21 @@ def _passed_on(table: pa.Table, record_kind: str) -> pa.Table | None:
     return None
 
 
-def _link_vectors(least: float, slack: float = 0.006):
+def _link_vectors(least: float, split: bool, slack: float = 0.006):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         if (edges := _passed_on(table, "element")) is not None:
             return edges
         ids, x = table.column("id").to_numpy(), _unscaled(unpacked(table.column("payload"), np.int8, DIM + 4))
+        asks = table.column("kind").to_numpy() == ASKS
+        others = np.flatnonzero(~asks) if split else np.arange(len(ids))
 
         def compare(rows):
-            s = x[rows] @ x.T
+            s = x[rows] @ x[others].T
             r, d = np.nonzero(s >= least - slack)
-            return rows[r], d, s[r, d] >= least + slack
+            return rows[r], others[d], s[r, d] >= least + slack
 
-        return _link("element", ids, table.column("kind").to_numpy() == ASKS, compare)
+        return _link("element", ids, asks, compare)
 
     return run
 
@@ -186,17 +188,32 @@ def _sets(batch: pa.RecordBatch, least_words: int, known: dict[str, int]) -> tup
     return np.array(ids, np.int64), np.array(flat, np.uint16), np.array(starts, np.int64)
 
 
-def _word_counts(least_words: int):
+def _packed_sets(least_words: int):
+    """(id, words): the buckets of each text's words as two bytes each; texts with too few words are left out."""
+
     def run(batches):
-        total, known = np.zeros(BUCKETS, np.int64), {}
+        known: dict[str, int] = {}
         for batch in batches:
-            total += np.bincount(_sets(batch, least_words, known)[1], minlength=BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
+            ids, flat, starts = _sets(batch, least_words, known)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([flat[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())], pa.binary())], names=["id", "words"])
 
     return run
 
 
+def _unpacked_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    raw = batch.column(1).to_pylist()
+    starts = np.concatenate([[0], np.cumsum([len(w) // 2 for w in raw], dtype=np.int64)]).astype(np.int64)
+    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), raw, np.frombuffer(b"".join(raw), np.uint16), starts
+
+
+def _word_counts(batches):
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        total += np.bincount(_unpacked_sets(batch)[2], minlength=BUCKETS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
+
+
 def _signs() -> np.ndarray:
     return np.random.default_rng(3).choice(np.array([-1, 1], np.float32), size=(BUCKETS, DIM))
 
@@ -210,14 +227,13 @@ def _features(flat: np.ndarray, starts: np.ndarray, weighted: np.ndarray) -> np.
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def _place_sets(centroids: np.ndarray, weights: np.ndarray, probes: int, least_words: int):
+def _place_sets(centroids: np.ndarray, weights: np.ndarray, probes: int):
     def run(batches):
-        weighted, known = _signs() * weights[:, None], {}
+        weighted = _signs() * weights[:, None]
         for batch in batches:
-            ids, flat, starts = _sets(batch, least_words, known)
+            ids, raw, flat, starts = _unpacked_sets(batch)
             if not len(ids):
                 continue
-            raw = [flat[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
             same: dict[bytes, list[int]] = {}
             for row in np.argsort(ids, kind="stable").tolist():
                 same.setdefault(raw[row], []).append(row)
@@ -240,7 +256,7 @@ def _bits(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _link_sets(least: float, rough: float = 0.30, slack: float = 0.03):
+def _link_sets(least: float, split: bool, rough: float = 0.30, slack: float = 0.03):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         if (edges := _passed_on(table, "chunk")) is not None:
@@ -250,17 +266,19 @@ def _link_sets(least: float, rough: float = 0.30, slack: float = 0.03):
         starts = np.concatenate([[0], np.cumsum([(len(p) - DIM - 4) // 2 for p in payload])])
         bits = _bits(np.frombuffer(b"".join(p[DIM + 4 :] for p in payload), np.uint16), starts)
         size = np.diff(starts)
+        asks = table.column("kind").to_numpy() == ASKS
+        others = np.flatnonzero(~asks) if split else np.arange(len(ids))
 
         def compare(rows):
-            s = x[rows] @ x.T
+            s = x[rows] @ x[others].T
             r, d = np.nonzero(s >= rough)
-            r = rows[r]
+            r, d = rows[r], others[d]
             both = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(bits[r[a : a + 65536]] & bits[d[a : a + 65536]]).sum(axis=1, dtype=np.int64) for a in range(0, len(r), 65536))])
             jaccard = both / (size[r] + size[d] - both)
             keep = jaccard >= least - slack
             return r[keep], d[keep], jaccard[keep] >= least + slack
 
-        return _link("chunk", ids, table.column("kind").to_numpy() == ASKS, compare)
+        return _link("chunk", ids, asks, compare)
 
     return run
 
@@ -323,9 +341,11 @@ def _expected(sampled: np.ndarray, centroids: np.ndarray, probes: int, total: in
 
 
 def _in_cells(placed: DataFrame, parts, link) -> DataFrame:
-    """Questions meet the questions and neighbours of their cell, in parts if the cell is hot."""
-    if parts[0] or parts[1]:
-        # in a hot cell a record is both: a question in one role, a stored row in the other
+    """Questions meet the questions and neighbours of their cell, in parts if the cell is hot. link(split) gives the function."""
+    split = bool(parts[0] or parts[1])
+    link = link(split)
+    if split:
+        # then a record is both: a question in one role, a stored row in the other
         both = placed.withColumn("kind", F.explode(F.when(F.col("kind") == ASKS, F.array(F.lit(ASKS), F.lit(STORED))).otherwise(F.array(F.col("kind")))))
         met = _met(both, *parts)
     else:
@@ -339,32 +359,32 @@ def vector_links(df: DataFrame, id_col: str, vector_col: str, least: float, prob
     sampled = sample(rows, "id", "vector", total)
     centroids = fit_cells(sampled, cell_count(total))
     placed = spread(rows).mapInArrow(_place_vectors(centroids, probes), MEETING)
-    found = cut(_in_cells(placed, _expected(sampled, centroids, probes, total), _link_vectors(least)))
+    found = cut(_in_cells(placed, _expected(sampled, centroids, probes, total), lambda split: _link_vectors(least, split)))
     sure = _verified(found.where(F.col("kind") == MAYBE).select("a", "b"), rows.mapInArrow(_unit, "id bigint, value binary"), _cosines, least)
     return found.where(F.col("kind") != MAYBE).unionByName(sure.select(F.lit("element").alias("record_kind"), F.lit(EDGE).alias("kind"), "a", "b", F.lit(0).alias("n")))
 
 
 def word_links(df: DataFrame, id_col: str, text_col: str, least: float, least_words: int, probes: int) -> DataFrame:
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    counts = spread(rows).mapInArrow(_word_counts(least_words), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS rows
+    sets = stored(spread(rows).mapInArrow(_packed_sets(least_words), "id bigint, words binary"))
+    counts = sets.mapInArrow(_word_counts, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS rows
     weights = np.zeros(BUCKETS, np.float32)
-    total = rows.count()
+    total = sets.count()
     for r in counts:
         weights[r["bucket"]] = np.log((total + 1) / (r["n"] + 0.5))
     weights = np.maximum(weights, 0)
     share = min(1_000_000, int(1_000_000 * 1.1 * SAMPLE / max(1, total)) + 1)
-    taken = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).limit(2 * SAMPLE).toArrow()
-    known: dict[str, int] = {}
+    taken = sets.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).limit(2 * SAMPLE).toArrow()
     weighted = _signs() * weights[:, None]
-    sampled = np.concatenate([np.zeros((0, DIM), np.float32), *(_features(*_sets(b, least_words, known)[1:], weighted) for b in taken.to_batches())])[:SAMPLE]
+    sampled = np.concatenate([np.zeros((0, DIM), np.float32), *(_features(*_unpacked_sets(b)[2:], weighted) for b in taken.to_batches())])[:SAMPLE]
     centroids = fit_cells(sampled, cell_count(total))
-    placed = spread(rows).mapInArrow(_place_sets(centroids, weights, probes, least_words), MEETING)
-    found = cut(_in_cells(placed, _expected(sampled, centroids, probes, total), _link_sets(least)))
+    placed = sets.mapInArrow(_place_sets(centroids, weights, probes), MEETING)
+    found = cut(_in_cells(placed, _expected(sampled, centroids, probes, total), lambda split: _link_sets(least, split)))
     sure = _verified(found.where(F.col("kind") == MAYBE).select("a", "b"), rows.select("id", F.col("text").alias("value")), _jaccards, least)
     return found.where(F.col("kind") != MAYBE).unionByName(sure.select(F.lit("chunk").alias("record_kind"), F.lit(EDGE).alias("kind"), "a", "b", F.lit(0).alias("n")))
 
 
-def similarity_clusters(elements: DataFrame, chunks: DataFrame, least_cosine: float = 0.80, least_jaccard: float = 0.5, least_words: int = 30, least_size: int = 5, typical: int = 3, probes: int = 4, word_probes: int = 6) -> DataFrame:
+def similarity_clusters(elements: DataFrame, chunks: DataFrame, least_cosine: float = 0.80, least_jaccard: float = 0.5, least_words: int = 30, least_size: int = 5, typical: int = 3, probes: int = 8, word_probes: int = 10) -> DataFrame:
     """(record_kind, record_id, cluster_id, size, links, typical_rank): members of groups of at least `least_size` linked records.
 
     Elements are linked by the cosine of usable vectors, chunks by the share of their common words, directly or through others;
@@ -376,7 +396,7 @@ def similarity_clusters(elements: DataFrame, chunks: DataFrame, least_cosine: fl
     links = stored(vector_links(elements, "element_id", "embedding", least_cosine, probes).unionByName(word_links(chunks, "chunk_id", "text", least_jaccard, least_words, word_probes)))
     labels = stored(smallest_labels(links.where(F.col("kind") == EDGE)))
     sizes = labels.groupBy("record_kind", "label").count().where(F.col("count") >= least_size)
-    density = links.where(F.col("kind") == DENSITY).groupBy("record_kind", F.col("a").alias("id")).agg(F.max("n").alias("links"))
+    density = links.where(F.col("kind") == DENSITY).groupBy("record_kind", F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     members = labels.join(sizes, ["record_kind", "label"]).join(density, ["record_kind", "id"], "left").select("record_kind", F.col("id").alias("record_id"), F.col("label").alias("cluster_id"), F.col("count").alias("size"), F.coalesce("links", F.lit(0)).alias("links"))
     top = members.withColumn("typical_rank", F.row_number().over(Window.partitionBy("record_kind", "cluster_id").orderBy(F.desc("links"), "record_id"))).where(F.col("typical_rank") <= typical)
     return members.join(top.select("record_kind", "record_id", "typical_rank"), ["record_kind", "record_id"], "left")

@@ -151,12 +151,12 @@ def _met(meeting: DataFrame, q_parts: dict[int, int], d_parts: dict[int, int]) -
     if not q_parts and not d_parts:
         return meeting.withColumn("part", F.when(F.col("cell") < 0, F.pmod(salt, F.lit(64))).otherwise(F.lit(0)))
     met = meeting.withColumns({"qp": _per_cell(q_parts), "dp": _per_cell(d_parts)})
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(asks, F.col("dp")).otherwise(F.col("qp")) - 1)))
-    part = F.when(asks, F.pmod(salt, F.col("qp")) * F.col("dp") + F.col("other")).otherwise(F.col("other") * F.col("dp") + F.pmod(salt, F.col("dp")))
+    met = met.withColumn("_with", F.explode(F.sequence(F.lit(0), F.when(asks, F.col("dp")).otherwise(F.col("qp")) - 1)))
+    part = F.when(asks, F.pmod(salt, F.col("qp")) * F.col("dp") + F.col("_with")).otherwise(F.col("_with") * F.col("dp") + F.pmod(salt, F.col("dp")))
     return met.withColumn("part", F.when(F.col("cell") < 0, F.pmod(salt, F.lit(64))).otherwise(part))
 
 
-def similar_vectors(df: DataFrame, id_col: str = "element_id", vector_col: str = "embedding", k: int = 10, probes: int = 16, least: float | None = None) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str = "element_id", vector_col: str = "embedding", k: int = 10, probes: int = 24, least: float | None = None) -> DataFrame:
     """(id, neighbour_id, cosine, rank): for each row with a usable vector its k most similar others.
 
     `least` leaves out neighbours with a smaller cosine; fewer candidates are ranked then. Null, non-finite, zero and wrongly
@@ -208,7 +208,7 @@ def _with_copies(scored: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return all_rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour_id"))).where(F.col("rank") <= k)
 
 
-def similar_pairs(df: DataFrame, id_col: str = "element_id", vector_col: str = "embedding", k: int = 10, least: float = 0.90, probes: int = 4) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str = "element_id", vector_col: str = "embedding", k: int = 10, least: float = 0.90, probes: int = 8) -> DataFrame:
     """(id, neighbour_id), the smaller first: pairs with at least the given cosine of which one is among the k best of the other."""
     near = similar_vectors(df, id_col, vector_col, k, probes, least)
     return near.select(F.least("id", "neighbour_id").alias(id_col), F.greatest("id", "neighbour_id").alias("neighbour_id")).distinct()
