@@ -66,7 +66,7 @@ def hits(text: Column, patterns: list[tuple[str, int]], ignore_case: bool = True
 
 def clean_entities(found: Column, wells: bool = False, most: int = MOST) -> Column:
     """Trimmed, distinct in the order of first occurrence, at most `most`; wells must have a letter and a digit."""
-    kept = F.filter(F.transform(found, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
     if wells:
         kept = F.filter(kept, lambda x: x.rlike("[A-Za-z]") & x.rlike("[0-9]") & ~F.upper(x).isin(*NOT_WELLS))
     return F.slice(F.array_distinct(kept), 1, most)
