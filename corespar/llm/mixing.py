@@ -59,7 +59,7 @@ def source_quotas(totals: dict[str, int], targets: dict[str, tuple[float, int]],
         weights = {s: t[0] / share for s, t in there.items()}
         total = min(totals[s] * there[s][1] / weights[s] for s in there) if total_tokens is None else total_tokens
         for s in there:
-            out[s] = {"weight": weights[s], "tokens": int(min(total * weights[s], totals[s] * there[s][1])), "all": totals[s], "repeats": there[s][1]}
+            out[s] = {"weight": weights[s], "tokens": math.floor(min(total * weights[s], totals[s] * there[s][1]) + 1e-6), "all": totals[s], "repeats": there[s][1]}
     return out
 
 
