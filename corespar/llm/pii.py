@@ -104,12 +104,13 @@ class Finder:
 
     def _names(self, text: str) -> Iterator[tuple[int, int]]:
         for m in self.by_given.finditer(text):
-            if m.group("rest"):
-                if m.group("rest").split()[-1].lower() not in self.ordinary:
-                    yield m.start(), m.end()
-            elif before := BEFORE_RX.search(text, max(0, m.start() - 60), m.start()):  # Family, Given
-                if before.group(1).lower() not in self.ordinary:
-                    yield before.start(1), m.end()
+            rest = m.group("rest")
+            whole = rest is not None and rest.split()[-1].lower() not in self.ordinary
+            before = BEFORE_RX.search(text, max(0, m.start() - 60), m.start())  # Family, Given
+            if before and before.group(1).lower() not in self.ordinary and (not whole or before.group(1).isupper()):
+                yield before.start(1), m.start() + len(m.group(0)) - len(rest or "")
+            elif whole:
+                yield m.start(), m.end()
         for m in self.by_sign.finditer(text):
             kind = m.lastgroup
             word = re.findall(r"[\w'’-]+", m.group(kind))[-1]

@@ -194,6 +194,7 @@ GIVEN, FAMILY, ORDINARY = ["Anna", "Peter", "Katrin"], ["Filfol"], ["the", "foll
         ("Ring Peter Feixdisk on (02) 5550 2076 about it.", ["name:Peter Feixdisk", "phone:(02) 5550 2076"]),
         ("Present: QUAXXYCK, Katrin; Dr. Fauskdei; minutes by L. van Klackxa.", ["name:QUAXXYCK, Katrin", "name:Fauskdei", "name:L. van Klackxa"]),
         ("Signed, W. Plaurpyse", ["name:W. Plaurpyse"]),
+        ("Signed, SUXERSEIV, Peter Following the test; Warstoor, Anna Janyer", ["name:SUXERSEIV, Peter", "name:Anna Janyer"]),
         ("mail klauvdiv+wells (at) example.org or a.b[at]example[dot]com now", ["email:klauvdiv+wells (at) example.org", "email:a.b[at]example[dot]com"]),
         ("quoted @ 65 per metre", []),
         ("To: ANNA.X@EXAMPLE.NET", ["email:ANNA.X@EXAMPLE.NET"]),
