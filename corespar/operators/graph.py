@@ -32,15 +32,23 @@ def _pairs(least: float, dim: int):
     return run
 
 
+def representatives(vectors: DataFrame, dim: int, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v): each usable vector once, with the smallest of its ids."""
+    rows = vectors.where(usable(F.col(vector_col), dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return rows.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
+
+
 def similarity_edges(vectors: DataFrame, least: float = 0.7, dim: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 32) -> DataFrame:
-    """(src, dst, weight) with src < dst for all pairs whose cosine is above `least`: exact.
+    """(src, dst, weight) with src < dst for all pairs of different vectors whose cosine is above `least`: exact.
+
+    Rows with the same vector are one vertex, that of the smallest id: copies aren't expanded into pairs.
 
     Rows go to the nearest of some pivots. Two cells meet only if the triangle inequality on angles allows a pair above the
     threshold, and hot cells are cut into parts, so no task holds more than two blocks. Unusable vectors are left out. Meant for
     graphs of thresholds that few pairs pass; the work is quadratic where the cells can't be told apart.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(usable(F.col(vector_col), dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = representatives(vectors, dim, id_col, vector_col)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], "src bigint, dst bigint, weight double")
@@ -58,18 +66,15 @@ def similarity_edges(vectors: DataFrame, least: float = 0.7, dim: int = 64, id_c
     reach = np.arccos(np.clip(least, -1, 1)) + 1e-6
     between = np.arccos(np.clip(pivot @ pivot.T, -1, 1))
     parts = {r["cell"]: -(-r["n"] // BLOCK_ROWS) for r in cells}
-    plan = []
-    for a in cells:
-        for b in cells:
-            if a["cell"] <= b["cell"] and between[a["cell"], b["cell"]] - a["far"] - b["far"] <= reach:
-                for i in range(parts[a["cell"]]):
-                    for j in range(i if a["cell"] == b["cell"] else 0, parts[b["cell"]]):
-                        plan.append((a["cell"], i, b["cell"], j, f"{a['cell']}.{i}", f"{b['cell']}.{j}"))
-    steps = F.broadcast(spark.createDataFrame(plan, "c1 int, p1 int, c2 int, p2 int, one string, two string"))
+    near = [(a["cell"], b["cell"], parts[a["cell"]], parts[b["cell"]]) for a in cells for b in cells if a["cell"] <= b["cell"] and between[a["cell"], b["cell"]] - a["far"] - b["far"] <= reach]
+    steps = F.broadcast(spark.createDataFrame(near, "c1 int, c2 int, n1 int, n2 int"))  # at most pivots squared
     part = F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("cell"))
     placed = placed.withColumn("p", F.pmod(F.xxhash64("id"), part).cast("int"))
-    left = placed.join(steps, (F.col("cell") == F.col("c1")) & (F.col("p") == F.col("p1"))).select("one", "two", "id", "v").groupBy("one", "two")
-    right = placed.join(steps, (F.col("cell") == F.col("c2")) & (F.col("p") == F.col("p2"))).select("one", "two", "id", "v").toDF("one", "two", "id", "v").groupBy("one", "two")
+    name = lambda c, p: F.concat_ws(".", c, p)
+    left = placed.join(steps, F.col("cell") == F.col("c1")).withColumn("q", F.explode(F.sequence(F.when(F.col("c1") == F.col("c2"), F.col("p")).otherwise(0), F.col("n2") - 1)))
+    left = left.select(name("c1", "p").alias("one"), name("c2", "q").alias("two"), "id", "v").groupBy("one", "two")
+    right = placed.join(steps, F.col("cell") == F.col("c2")).withColumn("q", F.explode(F.sequence(F.lit(0), F.when(F.col("c1") == F.col("c2"), F.col("p")).otherwise(F.col("n1") - 1))))
+    right = right.select(name("c1", "q").alias("one"), name("c2", "p").alias("two"), "id", "v").toDF("one", "two", "id", "v").groupBy("one", "two")
     return left.cogroup(right).applyInArrow(_pairs(least, dim), "src bigint, dst bigint, weight double")
 
 

@@ -327,6 +327,15 @@ def route_questions(spark, folder):
     return q.select("query_id", "question", "query_type", "strategy", F.size("wells").alias("n_wells"), F.size("formations").alias("n_formations"), route.depth_mentioned(F.col("question")).alias("depth_mentioned"), route.question_type(F.col("question")).alias("doc_type"), route.explanation(F.col("query_type"), F.col("strategy")).alias("explanation"))
 
 
+ORACLE["route_questions"] = f"""WITH {Q_SQL}, w AS (SELECT *, lower(question) AS l,
+  len(list_distinct({' || '.join(f"regexp_extract_all(question, '{p}')" for p, _ in extract.PATTERNS['wells'][:3])})) AS n_wells,
+  len(list_distinct({' || '.join(f"regexp_extract_all(question, '(?i){p}', {g})" for p, g in route.ROUTER_FORMATIONS)})) AS n_formations FROM q),
+k AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(l, '{p}') THEN '{n}'" for n, p in route.CATEGORY_WORDS)} ELSE 'factual' END AS query_type FROM w),
+s AS (SELECT *, CASE query_type WHEN 'summary' THEN 'raptor' WHEN 'comparison' THEN 'graph' WHEN 'complex' THEN 'hybrid' ELSE CASE WHEN n_wells > 0 OR n_formations > 0 THEN 'hybrid' WHEN query_type = 'exploratory' THEN 'raptor' ELSE 'dense' END END AS strategy FROM k)
+SELECT query_id, question, query_type, strategy, CAST(n_wells AS INT) AS n_wells, CAST(n_formations AS INT) AS n_formations, regexp_matches(question, '(?i)\\d+\\s*(?:m|meters?|ft|feet)') AS depth_mentioned,
+  CASE WHEN regexp_matches(l, '\\bpvt\\b') THEN 'PVT' WHEN regexp_matches(l, '\\btest report\\b') THEN 'Test Report' WHEN regexp_matches(l, '\\blitholog\\b') THEN 'Litholog' END AS doc_type,
+  query_type || ' question: ' || CASE strategy {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in route.EXPLANATIONS.items())} END AS explanation FROM s"""
+
 # --- chunking
 
 
