@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corespar.tables import table
 
-from .canonical import map_entries
+from .canonical import POSITIONS, RANKS, map_entries
 from .clusters import similarity_clusters
 from .copies import collapse
 from .encode import encode_texts
@@ -33,6 +33,13 @@ def p1_found(spark, folder):
     return similar_pairs(table(spark, folder, "document_elements"))
 
 
+ORACLE["p1_found"] = """WITH u AS (SELECT element_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM document_elements
+  WHERE len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 96 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+c AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM u a, u b WHERE a.id <> b.id),
+t AS (SELECT a, b FROM c WHERE s >= 0.5 QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 10 AND s >= 0.9)
+SELECT DISTINCT least(a, b) AS element_id, greatest(a, b) AS neighbour_id FROM t"""
+
+
 @query
 def p1_neighbours(spark, folder):
     return similar_vectors(table(spark, folder, "document_elements")).withColumnRenamed("id", "element_id")
@@ -58,6 +65,33 @@ def p3_found(spark, folder):
     return mapped.where("how != 'exact'").select("meta_id", "pos", "formation_id")
 
 
+_RANK_SQL = "CASE " + " ".join(f"WHEN w IN ({', '.join(repr(x) for x in v.split())}) THEN '{k}'" for k, v in RANKS.items()) + " END"
+_POSITION_SQL = "CASE " + " ".join(f"WHEN w IN ({', '.join(repr(x) for x in v.split())}) THEN '{k}'" for k, v in POSITIONS.items()) + " END"
+
+
+def _parsed_sql(source: str) -> str:
+    """(k, core, position, rank, code) of the values (k, v) of a table."""
+    return f"""(SELECT k, translate(coalesce(string_agg(replace(w, '-', ''), '' ORDER BY i) FILTER (WHERE w <> '' AND {_RANK_SQL} IS NULL AND {_POSITION_SQL} IS NULL), ''), '01', 'ol') AS core,
+  arg_min({_POSITION_SQL}, i) FILTER (WHERE {_POSITION_SQL} IS NOT NULL) AS position, arg_min({_RANK_SQL}, i) FILTER (WHERE {_RANK_SQL} IS NOT NULL) AS rank, any_value(code) AS code
+  FROM (SELECT k, trim(unnest(t), '-') AS w, unnest(range(len(t))) AS i, regexp_replace(p, '[^a-z0-9]', '', 'g') AS code FROM
+    (SELECT k, p, CASE WHEN len(regexp_extract_all(p, '[a-z0-9-]+')) = 0 THEN [''] ELSE regexp_extract_all(p, '[a-z0-9-]+') END AS t FROM
+      (SELECT k, replace(regexp_replace(lower(strip_accents(v)), '\\([^)]*\\)', ' ', 'g'), '_', ' ') AS p FROM {source}))) GROUP BY k)"""
+
+
+ORACLE["p3_found"] = f"""WITH rows AS (SELECT meta_id, CAST(unnest(range(len(formations))) AS INT) AS pos, unnest(formations) AS v FROM global_metadata),
+todo AS (SELECT * FROM rows WHERE v IS NOT NULL AND regexp_matches(v, '\\S') AND v NOT IN (SELECT formation_name FROM formation_reference)),
+vals AS (SELECT DISTINCT v AS k, v FROM todo), refs AS (SELECT formation_id AS k, formation_name AS v FROM formation_reference),
+pv AS MATERIALIZED {_parsed_sql('vals')}, pr AS MATERIALIZED {_parsed_sql('refs')},
+glued AS (SELECT k, regexp_replace(rtrim(k, ' .*?'), '[\\s_.]+(\\S+)$', '\\1') AS v FROM vals), pg AS MATERIALIZED {_parsed_sql('glued')},
+codes AS (SELECT pv.k, min(formation_id) AS id FROM pv JOIN formation_reference f ON pv.code = regexp_replace(lower(f.code), '[^a-z0-9]', '', 'g') GROUP BY pv.k),
+near AS (SELECT x.k, pr.k AS id, damerau_levenshtein(x.core, pr.core) AS d, coalesce(x.position = pr.position, false) AS p, coalesce(x.rank = pr.rank, false) AS r, x.g FROM
+  (SELECT k, core, position, rank, 0 AS g FROM pv UNION ALL SELECT pg.k, pg.core, pv.position, pv.rank, 1 FROM pg JOIN pv USING (k) WHERE pv.rank IS NOT NULL) x JOIN pr ON x.core <> ''
+  WHERE damerau_levenshtein(x.core, pr.core) <= CASE WHEN length(pr.core) < 5 THEN 0 WHEN length(pr.core) < 7 THEN 1 WHEN length(pr.core) = 7 THEN 2 ELSE 3 END),
+best AS (SELECT * FROM near QUALIFY rank() OVER (PARTITION BY k ORDER BY g, d, p DESC, r DESC) = 1),
+picked AS (SELECT k, CASE WHEN count(DISTINCT id) = 1 THEN min(id) ELSE 0 END AS id FROM best GROUP BY k)
+SELECT meta_id, pos, CAST(coalesce(c.id, p.id, 0) AS INT) AS formation_id FROM todo LEFT JOIN codes c ON todo.v = c.k LEFT JOIN picked p ON todo.v = p.k"""
+
+
 @query
 def p3_unmatched(spark, folder):
     """Report of the values that mean no entry or more than one, with the number of places they stand in."""
@@ -65,6 +99,9 @@ def p3_unmatched(spark, folder):
     return mapped.where("formation_id = 0").groupBy("entry", "how").count()
 
 
+ORACLE["p3_unmatched"] = ORACLE["p3_found"][: ORACLE["p3_found"].index("SELECT meta_id, pos, CAST(coalesce")] + "SELECT v AS entry, CASE WHEN p.id IS NULL THEN 'none' ELSE 'ambiguous' END AS how, count(*) AS count FROM todo LEFT JOIN codes c ON todo.v = c.k LEFT JOIN picked p ON todo.v = p.k WHERE coalesce(c.id, p.id, 0) = 0 GROUP BY ALL"
+
+
 @query
 def p8_ids(spark, folder):
     return encode_texts(table(spark, folder, "documents"))
@@ -105,6 +142,18 @@ def p6_found(spark, folder):
     return _clusters(spark, folder).select("record_kind", "record_id", "cluster_id")
 
 
+ORACLE["p6_found"] = r"""WITH RECURSIVE u AS (SELECT element_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM document_elements
+  WHERE len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 96 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+w AS (SELECT chunk_id AS id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: x <> '')) AS s FROM chunks WHERE text IS NOT NULL),
+big AS (SELECT id, len(s) AS n, unnest(s) AS t FROM w WHERE len(s) >= 30),
+j AS (SELECT a.id AS a, b.id AS b FROM big a JOIN big b ON a.t = b.t AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.5 * (a.n + b.n - count(*))),
+e AS (SELECT 'element' AS kind, a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.8 UNION ALL SELECT 'chunk', a, b FROM j),
+nb AS (SELECT kind, a, b FROM e UNION SELECT kind, b, a FROM e),
+r AS (SELECT kind, a AS id, a AS seen FROM nb UNION SELECT r.kind, r.id, nb.b FROM r JOIN nb ON r.kind = nb.kind AND r.seen = nb.a),
+l AS (SELECT kind, id, min(seen) AS c, count(*) AS n FROM r GROUP BY kind, id)
+SELECT kind AS record_kind, id AS record_id, c AS cluster_id FROM l WHERE n >= 5"""
+
+
 @query
 def p6_clusters(spark, folder):
     """Each group with its size and its most typical members."""
