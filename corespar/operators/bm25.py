@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corespar.functions.text import tokens
+from corespar.session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -22,12 +23,16 @@ def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def idf_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df, idf): ln(N - df + .5) - ln(df + .5); a negative value becomes EPSILON times the mean over all terms."""
-    df = docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.where(F.col(text_col).isNotNull()).agg(F.count("*").alias("n"))
-    raw = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    """(term, df, idf): ln(N - df + .5) - ln(df + .5); a negative value becomes EPSILON times the mean over all terms.
+
+    The document frequencies are counted once and kept; only their number and mean (one row) come to the driver.
+    """
+    texts = docs.where(F.col(text_col).isNotNull())
+    n = texts.count()
+    df = cut(texts.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    raw = df.select("term", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.coalesce(F.avg("raw"), F.lit(0.0)).alias("mean")).first()["mean"]
+    return raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def _weight(tf: Column, length: Column, avgdl: Column) -> Column:
@@ -45,10 +50,11 @@ def bm25_topk(questions: DataFrame, docs: DataFrame, k: int = 10, id_col: str =
     terms = asked.select("term").distinct()
     words = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words"))
     postings = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    weighted = postings.crossJoin(F.broadcast(corpus_stats(docs, text_col))).join(idf_table(docs, text_col), "term").select("doc_id", "term", (F.col("idf") * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("w"))
+    avgdl = F.lit(corpus_stats(docs, text_col).first()["avgdl"])
+    weighted = postings.join(idf_table(docs, text_col), "term").select("doc_id", "term", (F.col("idf") * _weight(F.col("tf"), F.col("dl"), avgdl)).alias("w"))
     scored = asked.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    top = cut(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
     if not pad:
         return top
     short = questions.select("query_id").join(top.groupBy("query_id").agg(F.count("*").alias("hits")), "query_id", "left").where(F.coalesce("hits", F.lit(0)) < k).select("query_id")

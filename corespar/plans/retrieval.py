@@ -15,7 +15,8 @@ from corespar.operators.fusion import postfilter, rrf
 from corespar.operators.graph import both_ways, similarity_edges, traverse
 from corespar.operators.metadata import metadata_index, search_metadata
 from corespar.plans.registry import ORACLE, query
-from corespar.tables import table
+from corespar.session import cut
+from corespar.tables import spread, table
 
 EDGE = 0.3  # cosine above which the vectors of the embeddings table are neighbours
 
@@ -32,7 +33,11 @@ def _questions(spark, folder):
 
 
 def _chunks(spark, folder):
-    return table(spark, folder, "chunks").withColumnRenamed("chunk_id", "doc_id")
+    return spread(table(spark, folder, "chunks")).withColumnRenamed("chunk_id", "doc_id")
+
+
+def _documents(spark, folder):
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 Q_SQL = """q AS (SELECT meta_id AS query_id, CASE (meta_id // 100) % 5
@@ -74,7 +79,7 @@ WITH_ALL = f"WITH {Q_SQL}, {TF_SQL}, {IDF_SQL}, {BM25_SQL}, {HASH_SQL}, {RRF_SQL
 
 @query
 def tokenize_counts(spark, folder):
-    return term_counts(table(spark, folder, "documents"))
+    return term_counts(_documents(spark, folder))
 
 
 ORACLE["tokenize_counts"] = f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_words('text')}) AS term FROM documents) GROUP BY ALL"
@@ -272,7 +277,7 @@ ORACLE["graph_expand_union"] = ORACLE["bfs_1hop"].replace("SELECT query_id, doc_
 @query
 def extract_measurements(spark, folder):
     """First numbers of temperature, pressure and depth hits in each document."""
-    docs = table(spark, folder, "documents").where("text is not null")
+    docs = _documents(spark, folder).where("text is not null")
     each = [docs.select("doc_id", F.lit(q).alias("quantity"), extract.summary(extract.hits(F.col("text"), extract.PATTERNS[q])).alias("m")) for q in ("temperature", "pressure", "depth")]
     found = each[0].unionByName(each[1]).unionByName(each[2]).where("m is not null")
     return found.select("doc_id", "quantity", F.col("m.min").alias("least"), F.col("m.max").alias("most"), F.array_join(F.transform("m.all_values", lambda x: F.format_number(x, 3)), "|").alias("first_values"))
@@ -341,7 +346,7 @@ SELECT query_id, question, query_type, strategy, CAST(n_wells AS INT) AS n_wells
 
 @query
 def sentence_split(spark, folder):
-    return chunk.sentence_table(table(spark, folder, "documents"))
+    return chunk.sentence_table(_documents(spark, folder))
 
 
 _SENT = "list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
@@ -356,7 +361,7 @@ ORACLE["sentence_split"] = f"WITH {SENT_SQL} SELECT doc_id, i, sentence FROM st"
 
 @query
 def adjacent_sentence_similarity(spark, folder):
-    return chunk.adjacent_similarity(chunk.sentence_table(table(spark, folder, "documents")))
+    return chunk.adjacent_similarity(chunk.sentence_table(_documents(spark, folder)))
 
 
 ORACLE["adjacent_sentence_similarity"] = f"WITH {SENT_SQL}, {SIM_SQL} SELECT doc_id, i, sim FROM sm"
@@ -364,7 +369,7 @@ ORACLE["adjacent_sentence_similarity"] = f"WITH {SENT_SQL}, {SIM_SQL} SELECT doc
 
 @query
 def segment_ids(spark, folder):
-    sents = chunk.sentence_table(table(spark, folder, "documents"))
+    sents = chunk.sentence_table(_documents(spark, folder))
     return chunk.segments(sents, chunk.breakpoints(chunk.adjacent_similarity(sents))).select("doc_id", "i", "segment")
 
 
@@ -373,7 +378,7 @@ ORACLE["segment_ids"] = f"WITH {SENT_SQL}, {SIM_SQL}, {BREAK_SQL} SELECT st.doc_
 
 @query
 def semantic_chunking(spark, folder):
-    return chunk.semantic_chunks(table(spark, folder, "documents"))
+    return chunk.semantic_chunks(_documents(spark, folder))
 
 
 @query
@@ -390,8 +395,8 @@ SELECT doc_id, '[Context: ' || concat_ws(' | ', 'Source: ' || source, 'Type: ' |
 
 
 def _ranked(spark, folder):
-    docs = _chunks(spark, folder).select("doc_id", "text", "source", "page", "primary_well")
-    return _hybrid(spark, folder).join(docs, "doc_id")
+    docs = table(spark, folder, "chunks").select(F.col("chunk_id").alias("doc_id"), "text", "source", "page", "primary_well")
+    return cut(_hybrid(spark, folder).join(docs, "doc_id"))
 
 
 @query
