@@ -276,7 +276,7 @@ def _repair(lexicon: list[str], follows):
     return run
 
 
-LEXICON_BOUND = 20_000  # words; the bigram table of a task has at most the square of it in counts that occur
+LEXICON_BOUND = 5_000  # words; of their bigrams a task holds those that occur, 25 million at the very most
 
 
 def repair_scans(elements: DataFrame, lexicon: DataFrame, id_col: str = "element_id") -> DataFrame:

@@ -208,7 +208,7 @@ def _with_copies(scored: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return all_rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour_id"))).where(F.col("rank") <= k)
 
 
-def similar_pairs(df: DataFrame, id_col: str = "element_id", vector_col: str = "embedding", k: int = 10, least: float = 0.90, probes: int = 8) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str = "element_id", vector_col: str = "embedding", k: int = 10, least: float = 0.90, probes: int = 7) -> DataFrame:
     """(id, neighbour_id), the smaller first: pairs with at least the given cosine of which one is among the k best of the other."""
     near = similar_vectors(df, id_col, vector_col, k, probes, least)
     return near.select(F.least("id", "neighbour_id").alias(id_col), F.greatest("id", "neighbour_id").alias("neighbour_id")).distinct()
