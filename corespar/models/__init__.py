@@ -14,6 +14,38 @@ class Generator(Protocol):
     def __call__(self, prompts: list[str], images: list[bytes | None]) -> list[str]: ...
 
 
+class Embedder(Protocol):
+    """Texts to vectors of one length; runs inside tasks."""
+
+    def __call__(self, texts: list[str]) -> list[list[float]]: ...
+
+
+def embed(df: DataFrame, embedder: Embedder, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
+    """The frame with a vector for each text, computed by Arrow batches; a null text gets a null vector."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches):
+        for pdf in batches:
+            there = pdf[text_col].notna()
+            vectors = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            if there.any():
+                vectors[there] = pd.Series(list(embedder(list(pdf.loc[there, text_col]))), index=pdf.index[there], dtype=object)
+            yield pdf.assign(**{out_col: vectors})
+
+    return df.mapInPandas(run, f"{fields}, `{out_col}` array<float>")
+
+
+# Prompts for models; each is filled with the text or question it is about.
+PROMPTS = {
+    "route": "Name the kind of this question with one word (factual, comparison, summary, complex, exploratory): {}",
+    "summary": "Summarise the following passages of technical reports in a few sentences: {}",
+    "answer": "Answer from the passages only, name the sources, and end with a line 'Confidence: n%'. {}",
+    "metadata": "Give wells, formations, test types, depth, temperature and pressure of this text as a JSON object: {}",
+    "caption": "Describe this technical image: axes, units, wells and values. {}",
+    "image_class": "Name the kind of this image with one word (plot, schematic, table, photo, map, chart, other). {}",
+}
+
+
 class FirstSentences:
     """The stand-in: the first characters of what it is asked about."""
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corespar.operators import answer, chunk, extract, route, tables_in_text, tree
+from corespar.functions.text import tokens
+from corespar.operators import answer, chunk, extract, pipeline, route, tables_in_text, tree
 from corespar.operators.bm25 import bm25_topk, corpus_stats, idf_table, term_counts
-from corespar.operators.dense import dense_topk, hashed_terms, text_topk
+from corespar.operators.dense import dense_topk, hashed_terms, normalised, text_topk, usable
 from corespar.operators.fusion import postfilter, rrf
 from corespar.operators.graph import both_ways, similarity_edges, traverse
 from corespar.operators.metadata import metadata_index, search_metadata
@@ -563,3 +564,94 @@ _sql("sql_window", "SELECT row_id, source, rank() OVER (PARTITION BY source ORDE
 _sql("sql_setops", "SELECT source FROM well_table_rows WHERE temp_c > 100 INTERSECT SELECT source FROM global_metadata WHERE doc_type = 'PVT' EXCEPT SELECT source FROM global_metadata WHERE primary_well IS NULL")
 _sql("sql_recursive", "WITH RECURSIVE steps(well, depth, top) AS (SELECT well, 0, max(depth_m) FROM well_table_rows WHERE well IS NOT NULL AND depth_m < 2000 GROUP BY well UNION ALL SELECT well, depth + 500, top FROM steps WHERE depth + 500 <= top) SELECT well, depth FROM steps")
 _sql("sql_star_join", "SELECT r.r_name, n.n_name, count(*) AS orders, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name, n.n_name")
+
+# --- put together
+
+
+@query
+def index_stats(spark, folder):
+    """What the indexes hold: chunks, tokens, terms, vectors, metadata fields and entries, edges."""
+    docs = _chunks(spark, folder)
+    counts = {
+        "chunks": docs.where("text is not null"),
+        "terms": docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("t")).distinct(),
+        "vectors": table(spark, folder, "document_elements").where(usable(F.col("embedding"), 96)),
+        "metadata_entries": _index(spark, folder),
+        "metadata_fields": _index(spark, folder).select("field").distinct(),
+        "edges": _edges(spark, folder),
+    }
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("index_part"), "n") for name, df in counts.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+ORACLE["index_stats"] = f"""WITH {TF_SQL}, {INDEX_SQL}, {EDGES_SQL}
+SELECT 'chunks' AS index_part, count(*) AS n FROM d UNION ALL SELECT 'terms', count(DISTINCT term) FROM tf
+UNION ALL SELECT 'vectors', count(*) FROM document_elements WHERE len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 96 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+UNION ALL SELECT 'metadata_entries', count(*) FROM ix UNION ALL SELECT 'metadata_fields', count(DISTINCT field) FROM ix UNION ALL SELECT 'edges', count(*) FROM e"""
+
+
+@query
+def normalised_vectors(spark, folder):
+    """First and last number and the length of each vector after normalisation."""
+    e = table(spark, folder, "document_elements").where(usable(F.col("embedding"), 96)).select("element_id", normalised(F.col("embedding")).alias("v"))
+    return e.select("element_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
+
+
+ORACLE["normalised_vectors"] = """WITH u AS (SELECT element_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM document_elements
+  WHERE len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 96 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT element_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(v[-1] / sqrt(list_dot_product(v, v)), 6) AS last, 1.0::DOUBLE AS length FROM u"""
+
+
+@query
+def merged_measurements(spark, folder):
+    """The recorded temperature and depth of each row merged as two extractors' results: the later one's fields win where it has them."""
+    m = table(spark, folder, "global_metadata").select("meta_id", pipeline.merge_measurements(F.col("temperature"), F.col("depth")).alias("m"))
+    return m.select("meta_id", F.col("m.min").alias("least"), F.col("m.max").alias("most"), F.size("m.all_values").alias("n"))
+
+
+ORACLE["merged_measurements"] = "SELECT meta_id, coalesce(depth.min, temperature.min) AS least, coalesce(depth.max, temperature.max) AS most, CAST(len(coalesce(depth.all_values, temperature.all_values)) AS INT) AS n FROM global_metadata"
+
+
+@query
+def whole_documents(spark, folder):
+    """All elements of each page of a source as one text."""
+    e = table(spark, folder, "document_elements").where("source is not null").withColumn("key", F.concat_ws("#", "source", "page"))
+    return pipeline.assemble(e, "key")
+
+
+ORACLE["whole_documents"] = """WITH r AS (SELECT concat_ws('#', source, page) AS key, element_id, content, CASE lower(trim(type)) WHEN 'text' THEN 0 WHEN 'image' THEN 1 ELSE 2 END AS kind
+  FROM document_elements WHERE source IS NOT NULL AND content IS NOT NULL AND trim(content) <> ''),
+n AS (SELECT *, row_number() OVER (PARTITION BY key, kind ORDER BY element_id) AS n FROM r)
+SELECT key, string_agg(content, chr(10) || chr(10) ORDER BY kind, n) AS text FROM n WHERE kind <> 1 OR n <= 10 GROUP BY key"""
+
+
+@query
+def document_metadata(spark, folder):
+    """Everything the extractor says about each document, named after its source."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return pipeline.extract_all(docs, "text", "source").drop("text")
+
+
+@query
+def strategy_dispatch(spark, folder):
+    """Each question answered by the strategy its routing picks."""
+    docs = _chunks(spark, folder)
+    near = docs.select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"))  # chunks next to each other as the graph of the batch
+    return pipeline.retrieve(_questions(spark, folder), docs, near)
+
+
+@query
+def tree_search(spark, folder):
+    """The vectors of elements with ids divisible by 100 against each level of the summary tree, three nodes a level."""
+    elements = table(spark, folder, "document_elements").where(usable(F.col("embedding"), 96))
+    nodes = elements.select(F.col("element_id").alias("node_id"), F.col("content").alias("text"), F.lit(None).cast("string").alias("primary_well"), F.lower(F.trim("type")).alias("doc_type"), F.col("embedding").alias("vector"))
+    built = tree.build_tree(nodes)
+    asked = elements.where("element_id % 100 = 0").select(F.col("element_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = None
+    for level in range(tree.LEVELS + 1):
+        one = dense_topk(asked, built.where(F.col("level") == level).select(F.col("node_id").alias("doc_id"), F.col("vector").alias("embedding")), k=3).withColumn("level", F.lit(level))
+        found = one if found is None else found.unionByName(one)
+    return tree.per_level(found.select("query_id", "level", F.col("doc_id").alias("node_id"), "score"))
