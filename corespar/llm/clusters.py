@@ -114,8 +114,9 @@ def _link(record_kind: str, ids: np.ndarray, asks: np.ndarray, compare: Callable
         keep = ids[r] != ids[d]
         r, d, sure = r[keep], d[keep], sure[keep]
         density += np.bincount(r[sure], minlength=len(ids))
-        labels = _star(labels, rank[r[sure]], rank[d[sure]])
-        doubtful.append((r[~sure], d[~sure]))
+        apart = labels[rank[r]] != labels[rank[d]]  # the others are connected already
+        labels = _star(labels, rank[r[sure & apart]], rank[d[sure & apart]])
+        doubtful.append((r[~sure & apart], d[~sure & apart]))
     root = ids[order[labels[rank]]]
     r, d = (np.concatenate(z) for z in zip(*doubtful))
     open_ = root[r] != root[d]

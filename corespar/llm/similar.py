@@ -98,15 +98,14 @@ def _scan(code: FourBitCode, scan_best: int, keep: int, least: float | None):
                 block = asked[a : a + 512]
                 score = block @ rebuilt.T  # for each pair the sum of the looked-up table entries
                 score[d_ids[None] == q_ids[a : a + 512, None]] = -2
+                floor = -1.5 if least is None else least - CODE_SLACK
                 best = min(scan_best, score.shape[1])
-                if least is not None:
-                    r, d = np.nonzero(score >= least - CODE_SLACK)
-                    s = score[r, d]
-                else:
+                if least is None or np.count_nonzero(score >= floor) > best * len(block):
                     top = np.argpartition(-score, best - 1, axis=1)[:, :best]
                     r, d = np.repeat(np.arange(len(block)), best), top.ravel()
-                    s = score[r, d]
-                    r, d, s = r[s > -2], d[s > -2], s[s > -2]
+                    r, d = (z[score[r, d] >= floor] for z in (r, d))
+                else:  # few are near enough: they need no ranking
+                    r, d = np.nonzero(score >= floor)
                 s = np.einsum("nd,nd->n", block[r], rough[d].astype(np.float32)) / 127
                 if least is not None:
                     near = s >= least - BYTE_SLACK
@@ -176,12 +175,12 @@ def similar_vectors(df: DataFrame, id_col: str = "element_id", vector_col: str =
     scale = total / max(1, len(fitted)) / PART_ROWS
     q_parts, d_parts = ({c: int(np.ceil(n * scale)) for c, n in enumerate(np.bincount(part.ravel(), minlength=1).tolist()) if n * scale > 1} for part in (near[:, :1], near))
     meeting = _met(spread(rows).mapInArrow(_to_cells(centroids, code, probes, k), MEETING), q_parts, d_parts)
-    found = meeting.select("cell", "part", "kind", "id", "vector", "code", "rep").groupBy("cell", "part").applyInArrow(_scan(code, 8 * k, keep if refine else 1 << 30, least), "kind int, q bigint, d bigint, rough float")
+    found = meeting.select("cell", "part", "kind", "id", "vector", "code", "rep").groupBy("cell", "part").applyInArrow(_scan(code, 8 * k, keep, least), "kind int, q bigint, d bigint, rough float")
     found = cut(found)
     candidates = found.where(F.col("kind") == ASKS)
-    if refine:
+    if refine or q_parts or d_parts:  # a question was asked in several parts
         candidates = candidates.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rough"), "d"))).where(F.col("n") <= keep)
-    else:  # the same pair is met once from either side
+    if not refine:  # the same pair is met once from either side
         candidates = candidates.select(F.least("q", "d").alias("q"), F.greatest("q", "d").alias("d")).distinct()
     pairs = candidates.select("q", "d")
     exact = rows.mapInArrow(_vectors, "id bigint, vector binary")
