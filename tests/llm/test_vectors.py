@@ -155,3 +155,30 @@ def test_label_propagation_on_a_path(spark):
     edges = spark.createDataFrame([("k", i + 1, i) for i in range(1, 60)] + [("k", 101, 100), ("j", 5, 5)], "record_kind string, a long, b long")
     got = {r.id: r.label for r in smallest_labels(edges).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100}
+
+
+def test_hot_cells_are_cut_into_parts(spark, monkeypatch):
+    """With small parts every cell is cut on both sides; results stay those of brute force."""
+    from corespar.llm import clusters, similar
+
+    monkeypatch.setattr(similar, "PART_ROWS", 16)
+    monkeypatch.setattr(clusters, "PART_ROWS", 16)
+    x = cloud(11, 400, topics=30, noise=0.045)
+    x[::4] = x[0] + 0.002 * np.random.default_rng(1).normal(size=x[::4].shape).astype(np.float32)
+    u = unit(x)
+    g = u @ u.T
+    pairs = list(zip(*np.nonzero(np.triu(g >= 0.8, 1))))
+    chunks = spark.createDataFrame([(i, s, "l", 1) for i, s in enumerate(texts(12, 200))], CHUNKS)
+    sets = [set(s.split()) for s in texts(12, 200)]
+    links = [(i, j) for i in range(200) for j in range(i + 1, 200) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5]
+    want = {("element", int(i), int(c)) for i, c in components(pairs, range(400))} | {("chunk", i, c) for i, c in components(links, range(200))}
+    assert {(r.record_kind, r.record_id, r.cluster_id) for r in similarity_clusters(frame(spark, x), chunks).collect()} == want
+    np.fill_diagonal(g, -2)
+    got = {}
+    for r in similar_vectors(frame(spark, x)).collect():
+        got.setdefault(r.id, []).append(r.neighbour_id)
+    tenth = np.sort(g, axis=1)[:, -10]
+    assert all(len(set(v)) == 10 for v in got.values())
+    assert sum((g[i, v] >= tenth[i] - 2e-3).sum() for i, v in got.items()) / 4000 >= 0.9
+    found = {tuple(r) for r in similar_pairs(frame(spark, x)).collect()}
+    assert found and all(g[p] >= 0.9 - 1e-6 for p in found)
