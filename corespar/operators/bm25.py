@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corespar.functions.text import tokens
+from corespar.operators.sparse import sparse_topk
 from corespar.session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -35,8 +37,17 @@ def idf_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
-def _weight(tf: Column, length: Column, avgdl: Column) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avgdl))
+def _weigh(avgdl: float):
+    """Occurrences (document, term, length of the document) to one BM25 weight, without idf, for each document and term."""
+
+    def run(doc: np.ndarray, key: np.ndarray, length: np.ndarray):
+        order = np.lexsort((key, doc))
+        doc, key, length = doc[order], key[order], length[order]
+        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
+        tf = np.diff(np.r_[first, len(doc)])
+        return doc[first], key[first], tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[first] / avgdl))
+
+    return run
 
 
 def bm25_topk(questions: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", pad: bool = True) -> DataFrame:
@@ -44,20 +55,21 @@ def bm25_topk(questions: DataFrame, docs: DataFrame, k: int = 10, id_col: str =
 
     A token that stands twice in a question counts twice. Equal scores (rounded to six places) are ranked by the smaller id. With
     `pad` a question with fewer than k hits is filled with the smallest ids at score 0, as an exhaustive scorer would. Only
-    postings of the questions' terms are shuffled. Null questions and texts have no hits; empty tables give no rows.
+    occurrences of the questions' terms are shuffled, once, to blocks of documents. Null questions and texts have no hits; empty
+    tables give no rows. Rows sharing an id count as one document of the length of one of them.
     """
+    texts = docs.where(F.col(text_col).isNotNull())
+    stats = corpus_stats(docs, text_col).first()
     asked = questions.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     terms = asked.select("term").distinct()
-    words = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words"))
-    postings = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    avgdl = F.lit(corpus_stats(docs, text_col).first()["avgdl"])
-    weighted = postings.join(idf_table(docs, text_col), "term").select("doc_id", "term", (F.col("idf") * _weight(F.col("tf"), F.col("dl"), avgdl)).alias("w"))
-    scored = asked.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
+    weighted = asked.join(idf_table(docs, text_col), "term").select("query_id", F.xxhash64("term").alias("key"), (F.col("qtf") * F.col("idf")).alias("qw"))
+    words = texts.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words"))
+    occurrences = words.select("doc_id", F.size("words").alias("x"), F.explode("words").alias("term")).join(terms, "term", "left_semi").select("doc_id", F.xxhash64("term").alias("key"), "x")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    top = cut(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+    top = cut(sparse_topk(weighted, occurrences, stats["n_docs"], k, _weigh(stats["avgdl"])))
     if not pad:
         return top
     short = questions.select("query_id").join(top.groupBy("query_id").agg(F.count("*").alias("hits")), "query_id", "left").where(F.coalesce("hits", F.lit(0)) < k).select("query_id")
-    first = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id")).orderBy("doc_id").limit(2 * k)  # a bounded table: among these at least k aren't hits
+    first = texts.select(F.col(id_col).alias("doc_id")).orderBy("doc_id").limit(2 * k)  # a bounded table: among these at least k aren't hits
     filled = short.crossJoin(F.broadcast(first)).join(top.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top.select("query_id", "doc_id", "score").unionByName(filled).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -13,6 +13,7 @@ from corespar.operators.dense import text_topk
 from corespar.operators.fusion import FINAL_LIMIT, rrf
 from corespar.operators.graph import traverse
 from corespar.operators.metadata import metadata_index
+from corespar.operators.tree import LEVELS
 from corespar.sources.store import save
 
 # Classes of images, in the order in which they are looked for.
@@ -101,7 +102,8 @@ def retrieve(questions: DataFrame, chunks: DataFrame, edges: DataFrame, tree: Da
     after = visited.withColumn("rank", F.lit(5) + F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "doc_id"))).select("query_id", "rank", "doc_id", none.cast("int").alias("level"), none.cast("double").alias("score"))
     branches = [dense, hybrid, seeds.select("query_id", "rank", "doc_id", none.cast("int").alias("level"), "score"), after]
     if tree is not None:
-        nodes = text_topk(of("raptor"), tree, k=1 << 30, id_col="node_id").join(tree.select(F.col("node_id").alias("doc_id"), "level"), "doc_id")
+        levels = [r["level"] for r in tree.select("level").distinct().orderBy("level").limit(LEVELS + 1).collect()]
+        nodes = reduce(DataFrame.unionByName, [text_topk(of("raptor"), tree.where(F.col("level") == at), k=3, id_col="node_id").withColumn("level", F.lit(at)) for at in levels])
         best = nodes.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "level").orderBy(F.desc("score"), "doc_id"))).where("n <= 3")
         ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("level"), "doc_id")))
         branches.append(ranked.select("query_id", "rank", "doc_id", "level", "score"))

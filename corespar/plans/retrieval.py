@@ -205,12 +205,8 @@ ORACLE["postfilter_topk"] = WITH_ALL + f", {INDEX_SQL}, {FILTER_SQL} SELECT quer
 @query
 def prefilter_topk(spark, folder):
     """What users mostly want: the best five of those that the filters allow."""
-    from pyspark.sql import Window
-
     allowed = search_metadata(_index(spark, folder), _filters(spark, folder))
-    questions, docs = _questions(spark, folder), _chunks(spark, folder)
-    scored = text_topk(questions, docs, k=1 << 30).join(allowed, ["query_id", "doc_id"], "left_semi").drop("rank")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where("rank <= 5")
+    return text_topk(_questions(spark, folder), _chunks(spark, folder), k=5, allowed=allowed)
 
 
 ORACLE["prefilter_topk"] = WITH_ALL.replace(" QUALIFY rank <= 10)", ")").replace("FROM padded)", "FROM padded QUALIFY rank <= 10)") + f", {INDEX_SQL}, {FILTER_SQL} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM tx SEMI JOIN allowed USING (query_id, doc_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5"
