@@ -23,7 +23,7 @@ from corespar.tables import spread
 from .similar import ASKS, STORED, _met, _same
 from .vectors import DIM, SAMPLE, cell_count, fit_cells, nearest_cells, packed, sample, unpacked, usable_rows
 
-PART_ROWS = 8_192  # rows of one cell that one task compares at most, of either side
+PART_ROWS = 32_768  # rows of one cell that one task compares at most, of either side
 EDGE, MAYBE, DENSITY = 10, 11, 12
 OUT = "record_kind string, kind int, a bigint, b bigint, n int"
 MEETING = "cell int, kind int, id bigint, payload binary, other bigint"
@@ -215,13 +215,21 @@ def _word_counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
 
 
-def _signs() -> np.ndarray:
-    return np.random.default_rng(3).choice(np.array([-1, 1], np.float32), size=(BUCKETS, DIM))
+PLACE_DIM, PLACE_POWER = 256, 0.35  # for cells: wide, and rare words weigh little more, as in the share of common words
+
+
+def _projection(weights: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """A row of random signs for each bucket, times its weight."""
+    out = np.random.default_rng(3).integers(0, 2, size=(BUCKETS, dim), dtype=np.int8).astype(np.float32)
+    out *= 2
+    out -= 1
+    out *= weights[:, None]
+    return out
 
 
 def _features(flat: np.ndarray, starts: np.ndarray, weighted: np.ndarray) -> np.ndarray:
-    """Unit vectors: signed random projections of the words, rare words weighing more."""
-    out = np.zeros((len(starts) - 1, DIM), np.float32)
+    """Unit vectors: signed random projections of the words."""
+    out = np.zeros((len(starts) - 1, weighted.shape[1]), np.float32)
     for a in range(0, len(out), 512):
         part = starts[a : a + 513]
         out[a : a + 512] = np.add.reduceat(weighted[flat[part[0] : part[-1]]], part[:-1] - part[0], axis=0)
@@ -230,7 +238,7 @@ def _features(flat: np.ndarray, starts: np.ndarray, weighted: np.ndarray) -> np.
 
 def _place_sets(centroids: np.ndarray, weights: np.ndarray, probes: int):
     def run(batches):
-        weighted = _signs() * weights[:, None]
+        weighted, wide = _projection(weights), _projection(weights**PLACE_POWER, PLACE_DIM)
         for batch in batches:
             ids, raw, flat, starts = _unpacked_sets(batch)
             if not len(ids):
@@ -241,9 +249,8 @@ def _place_sets(centroids: np.ndarray, weights: np.ndarray, probes: int):
             groups = [np.array(g) for g in same.values()]
             yield from _equal(groups, ids)
             first = np.array([int(g[0]) for g in groups])
-            x = _features(flat, starts, weighted)[first]
-            scaled = _scaled(x)
-            yield from _placed(ids[first], x, pa.array([scaled[k].tobytes() + raw[row] for k, row in enumerate(first.tolist())], pa.binary()), centroids, probes)
+            scaled = _scaled(_features(flat, starts, weighted)[first])  # goes along, to pick candidates in the cells
+            yield from _placed(ids[first], _features(flat, starts, wide)[first], pa.array([scaled[k].tobytes() + raw[row] for k, row in enumerate(first.tolist())], pa.binary()), centroids, probes)
 
     return run
 
@@ -376,9 +383,9 @@ def word_links(df: DataFrame, id_col: str, text_col: str, least: float, least_wo
     weights = np.maximum(weights, 0)
     share = min(1_000_000, int(1_000_000 * 1.1 * SAMPLE / max(1, total)) + 1)
     taken = sets.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).limit(2 * SAMPLE).toArrow()
-    weighted = _signs() * weights[:, None]
-    sampled = np.concatenate([np.zeros((0, DIM), np.float32), *(_features(*_unpacked_sets(b)[2:], weighted) for b in taken.to_batches())])[:SAMPLE]
-    centroids = fit_cells(sampled, cell_count(total))
+    wide = _projection(weights**PLACE_POWER, PLACE_DIM)
+    sampled = np.concatenate([np.zeros((0, PLACE_DIM), np.float32), *(_features(*_unpacked_sets(b)[2:], wide) for b in taken.to_batches())])[:SAMPLE]
+    centroids = fit_cells(sampled, max(8, cell_count(total) // 4))  # word sets lie less close together than vectors: fewer, wider cells
     placed = sets.mapInArrow(_place_sets(centroids, weights, probes), MEETING)
     found = cut(_in_cells(placed, _expected(sampled, centroids, probes, total), lambda split: _link_sets(least, split)))
     sure = _verified(found.where(F.col("kind") == MAYBE).select("a", "b"), rows.select("id", F.col("text").alias("value")), _jaccards, least)

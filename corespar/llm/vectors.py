@@ -67,7 +67,7 @@ def sample(df: DataFrame, id_col: str, vector_col: str, total: int, dim: int = D
 def fit_cells(x: np.ndarray, cells: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
     """Spherical k-means: unit centroids of the coarse grid."""
     if not len(x):
-        return np.eye(1, DIM, dtype=np.float32)
+        return np.eye(1, x.shape[1], dtype=np.float32)
     rng = np.random.default_rng(seed)
     x = np.unique(x, axis=0)
     centroids = x[rng.choice(len(x), min(cells, len(x)), replace=False)].copy()
