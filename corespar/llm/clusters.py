@@ -264,7 +264,7 @@ def _bits(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _link_sets(least: float, split: bool, rough: float = 0.30, slack: float = 0.03):
+def _link_sets(least: float, split: bool, rough: float = 0.37, slack: float = 0.03):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         if (edges := _passed_on(table, "chunk")) is not None:
