@@ -50,5 +50,5 @@ def test_embed(spark):
 def test_contract(spark, data):
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and {"rrf_hybrid", "p2_found", "bm25_batch"} <= names
-    assert entry.entry(spark).count() >= 0
+    assert entry.entry(spark).count() > 0
     assert entry.queries()["metadata_filter_and"](spark, data).columns == ["query_id", "doc_id"]
