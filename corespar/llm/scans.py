@@ -2,7 +2,7 @@
 
 Running headers are lines that stand on several pages of a source, found by counting hashed lines over all scanned elements. The rest
 is a noisy channel: what was printed is a lexicon word, what was read differs by character confusions; candidates come from a trie
-of the lexicon, and per line Viterbi takes the sequence with the best confusion times bigram probability. Bigrams are counted over
+of the lexicon, and Viterbi takes, paragraph by paragraph, the sequence with the best confusion times bigram probability. Bigrams are counted over
 the whole text that wasn't scanned.
 """
 
@@ -122,7 +122,7 @@ class Channel:
         return math.log((self.follows.get((i, j), 0) + 0.1) / (self.single.get(i, 0) + 0.1 * len(self.words)))
 
     def decode(self, options: list[list[tuple[str, int]]]) -> list[str | None]:
-        """Viterbi over the words of a line; a word without candidates stays as it is (None)."""
+        """Viterbi over a sequence of words; a word without candidates stays as it is (None)."""
         if all(len(o) < 2 for o in options):
             return [o[0][0] if o else None for o in options]
         scores, back = [(0.0, None)], []
