@@ -21,7 +21,7 @@ from corespar.session import cut, stored
 from corespar.tables import spread
 
 from .similar import ASKS, STORED, _met, _same
-from .vectors import DIM, SAMPLE, cell_count, fit_cells, nearest_cells, packed, sample, unpacked, usable_rows
+from .vectors import DIM, SAMPLE, cell_count, fit_cells, nearest_cells, packed, sample, scaled, unpacked, unscaled, usable_rows
 
 PART_ROWS = 32_768  # rows of one cell that one task compares at most, of either side
 EDGE, MAYBE, DENSITY = 10, 11, 12
@@ -85,21 +85,11 @@ def _place_vectors(centroids: np.ndarray, probes: int):
             yield from _equal(groups, ids)
             first = np.array([g[0] for g in groups])
             ids, x = ids[first], x[first]
-            yield from _placed(ids, x, packed(_scaled(x)), centroids, probes)
+            yield from _placed(ids, x, packed(scaled(x)), centroids, probes)
 
     return run
 
 
-def _scaled(x: np.ndarray) -> np.ndarray:
-    """Bytes of each vector after its own scale."""
-    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True) / 127, 1e-12)
-    return np.concatenate([scale.astype(np.float32).view(np.int8), np.rint(x / scale).astype(np.int8)], axis=1)
-
-
-def _unscaled(rows: np.ndarray) -> np.ndarray:
-    return rows[:, 4:].astype(np.float32) * np.ascontiguousarray(rows[:, :4]).view(np.float32)
-
-
 def _link(record_kind: str, ids: np.ndarray, asks: np.ndarray, compare: Callable) -> pa.Table:
     """Stars, doubtful pairs and densities of one cell. compare(rows) gives (row, other, sure?) of those rows against all."""
     labels = np.arange(len(ids))
@@ -148,7 +138,7 @@ def _link_vectors(least: float, split: bool, slack: float = 0.006):
         table = table.combine_chunks()
         if (edges := _passed_on(table, "element")) is not None:
             return edges
-        ids, x = table.column("id").to_numpy(), _unscaled(unpacked(table.column("payload"), np.int8, DIM + 4))
+        ids, x = table.column("id").to_numpy(), unscaled(unpacked(table.column("payload"), np.int8, DIM + 4))
         asks = table.column("kind").to_numpy() == ASKS
         others = np.flatnonzero(~asks) if split else np.arange(len(ids))
 
@@ -249,8 +239,8 @@ def _place_sets(centroids: np.ndarray, weights: np.ndarray, probes: int):
             groups = [np.array(g) for g in same.values()]
             yield from _equal(groups, ids)
             first = np.array([int(g[0]) for g in groups])
-            scaled = _scaled(_features(flat, starts, weighted)[first])  # goes along, to pick candidates in the cells
-            yield from _placed(ids[first], _features(flat, starts, wide)[first], pa.array([scaled[k].tobytes() + raw[row] for k, row in enumerate(first.tolist())], pa.binary()), centroids, probes)
+            rounded = scaled(_features(flat, starts, weighted)[first])  # goes along, to pick candidates in the cells
+            yield from _placed(ids[first], _features(flat, starts, wide)[first], pa.array([rounded[k].tobytes() + raw[row] for k, row in enumerate(first.tolist())], pa.binary()), centroids, probes)
 
     return run
 
@@ -270,7 +260,7 @@ def _link_sets(least: float, split: bool, rough: float = 0.37, slack: float = 0.
         if (edges := _passed_on(table, "chunk")) is not None:
             return edges
         ids, payload = table.column("id").to_numpy(), table.column("payload").to_pylist()
-        x = _unscaled(np.frombuffer(b"".join(p[: DIM + 4] for p in payload), np.int8).reshape(-1, DIM + 4))
+        x = unscaled(np.frombuffer(b"".join(p[: DIM + 4] for p in payload), np.int8).reshape(-1, DIM + 4))
         starts = np.concatenate([[0], np.cumsum([(len(p) - DIM - 4) // 2 for p in payload])])
         bits = _bits(np.frombuffer(b"".join(p[DIM + 4 :] for p in payload), np.uint16), starts)
         size = np.diff(starts)

@@ -2,7 +2,8 @@
 
 Coarse cells (a codebook fitted on a bounded sample) decide where vectors meet: each stays as a question in its nearest cell and
 is sent, as a four-bit code, to its `probes` nearest cells. In a cell the codes are scanned for every question, the best are
-refined on byte-rounded vectors and at last ranked by the exact cosine of the full vectors.
+refined on byte-rounded vectors and at last ranked by the exact cosine of the full vectors. Where a least cosine is asked for, codes
+and bytes only leave out what their proven errors exclude; a question that has too many left is asked again with full vectors.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from pyspark.sql import functions as F
 from corespar.session import cut, stored
 from corespar.tables import spread
 
-from .vectors import DIM, FourBitCode, cell_count, fit_cells, nearest_cells, packed, sample, unpacked, usable_rows
+from .vectors import DIM, FourBitCode, cell_count, fit_cells, nearest_cells, packed, rounding_error, sample, scaled, unpacked, unscaled, usable_rows
 
 PART_ROWS = 16_384  # rows of one cell that one task takes at most, of either side; a hotter cell is split
-CODE_SLACK = 0.12  # how far a coded cosine may fall below the true one where a least cosine is asked for (4 deviations and more)
-BYTE_SLACK = 0.01  # the same for byte-rounded vectors
+HALF_SLACK = 1e-3  # most that a cosine changes by a question's half floats and by sums of single floats
+SUM_SLACK = 1e-12  # the same for sums of double floats
 
 MEETING = "cell int, kind int, id bigint, vector binary, code binary, rep bigint"
-ASKS, STORED, MEMBER, SMALLEST = range(4)
+ASKS, STORED, MEMBER, SMALLEST, CROWDED = range(5)
+FOUND = "kind int, q bigint, d bigint, rough double, slack double"
 
 
 def _same(x: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
@@ -74,55 +76,144 @@ def _to_cells(centroids: np.ndarray, code: FourBitCode, probes: int, k: int):
             # a question takes half floats with it: they only pick candidates, which are ranked by the full vectors later
             yield _rows(cells[:, 0], ASKS, own, packed(xi.astype(np.float16)), None, None)
             coded = packed(FourBitCode.nibbles(code.encode(xi)))
-            rounded = packed(np.rint(xi * 127).astype(np.int8))
+            rounded = packed(scaled(xi))
             for j in range(cells.shape[1]):
                 yield _rows(cells[:, j], STORED, own, rounded, coded, None)
 
     return run
 
 
-def _scan(code: FourBitCode, scan_best: int, keep: int, least: float | None):
+def _found(kind: int, q: list, d: list, rough: list, slack: list) -> pa.Table:
+    q = np.concatenate([np.zeros(0, np.int64), *q])
+    d, rough, slack = np.concatenate([np.zeros(0, np.int64), *d]), np.concatenate([np.zeros(0), *rough]), np.concatenate([np.zeros(0), *slack])
+    return pa.table({"kind": np.full(len(q), kind, np.int32), "q": q, "d": d, "rough": rough.astype(np.float64), "slack": slack.astype(np.float64)})
+
+
+def _kth(low: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, -2 where there are fewer."""
+    return np.partition(low, -k, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(low), -2.0, low.dtype)
+
+
+def _scan(code: FourBitCode, scan_best: int, keep: int, k: int, least: float | None):
+    """Candidates of each question in one cell.
+
+    Without `least` the `keep` best by bytes of the `scan_best` best by code. With it all that may be among the k best: none is left
+    out unless its code or bytes prove that it is under `least` or under k others. Questions with more than `scan_best` of them
+    are only named, as CROWDED.
+    """
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         kind = table.column("kind").to_numpy()
         if len(kind) and kind[0] in (MEMBER, SMALLEST):
-            return pa.table({"kind": kind, "q": table.column("id"), "d": table.column("rep"), "rough": pa.nulls(len(kind), pa.float32())})
+            return pa.table({"kind": kind, "q": table.column("id"), "d": table.column("rep"), "rough": pa.nulls(len(kind), pa.float64()), "slack": pa.nulls(len(kind), pa.float64())})
         questions, kept = table.filter(pa.array(kind == ASKS)), table.filter(pa.array(kind == STORED))
-        out_q, out_d, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-        if len(questions) and len(kept):
-            q_ids, d_ids = questions.column("id").to_numpy(), kept.column("id").to_numpy()
-            rebuilt = code.decode(FourBitCode.from_nibbles(unpacked(kept.column("code"), np.uint8, DIM // 4))).astype(np.float32)
-            asked = unpacked(questions.column("vector"), np.float16, DIM).astype(np.float32)
-            rough = unpacked(kept.column("vector"), np.int8, DIM)
-            for a in range(0, len(q_ids), 512):
-                block = asked[a : a + 512]
-                score = block @ rebuilt.T  # for each pair the sum of the looked-up table entries
-                score[d_ids[None] == q_ids[a : a + 512, None]] = -2
-                floor = -1.5 if least is None else least - CODE_SLACK
+        if not len(questions) or not len(kept):
+            return _found(ASKS, [], [], [], [])
+        out_q, out_d, out_s, out_b, crowded = [], [], [], [], []
+        q_ids, d_ids = questions.column("id").to_numpy(), kept.column("id").to_numpy()
+        rebuilt = code.decode(FourBitCode.from_nibbles(unpacked(kept.column("code"), np.uint8, DIM // 4))).astype(np.float32)
+        asked = unpacked(questions.column("vector"), np.float16, DIM).astype(np.float32)
+        scaled_bytes = unpacked(kept.column("vector"), np.int8, DIM + 4)
+        rough, slack = unscaled(scaled_bytes), rounding_error(scaled_bytes) + HALF_SLACK
+        if least is not None:
+            # With e = rough - rebuilt, coded = s - <q, e> and <q, e> = <rough, e> + <q - rough, e>; for s >= t the length of
+            # q - rough is at most sqrt(1 + |rough|^2 - 2 t).
+            t, e = least - slack, rough - rebuilt
+            reach = np.sqrt(np.maximum(0, 1 + HALF_SLACK + (rough * rough).sum(axis=1) - 2 * t))
+            floor = (t - (rough * e).sum(axis=1) - reach * np.linalg.norm(e, axis=1) - HALF_SLACK).astype(np.float32)
+        for a in range(0, len(q_ids), 256):
+            block, own = asked[a : a + 256], q_ids[a : a + 256]
+            score = block @ rebuilt.T  # for each pair the sum of the looked-up table entries
+            score[d_ids[None] == own[:, None]] = -np.inf
+            if least is None:
                 best = min(scan_best, score.shape[1])
-                if least is None or np.count_nonzero(score >= floor) > best * len(block):
-                    top = np.argpartition(-score, best - 1, axis=1)[:, :best]
-                    r, d = np.repeat(np.arange(len(block)), best), top.ravel()
-                    r, d = (z[score[r, d] >= floor] for z in (r, d))
-                else:  # few are near enough: they need no ranking
-                    r, d = np.nonzero(score >= floor)
-                s = np.einsum("nd,nd->n", block[r], rough[d].astype(np.float32)) / 127
-                if least is not None:
-                    near = s >= least - BYTE_SLACK
-                    r, d, s = r[near], d[near], s[near]
+                top = np.argpartition(-score, best - 1, axis=1)[:, :best]
+                r, d = np.repeat(np.arange(len(block)), best), top.ravel()
+                r, d = (z[np.isfinite(score[r, d])] for z in (r, d))
+                s = np.einsum("nd,nd->n", block[r], rough[d])
                 order = np.lexsort((d_ids[d], -s, r))
                 r, d, s = r[order], d[order], s[order]
-                within = np.arange(len(r)) - np.searchsorted(r, r)
-                top = within < keep
-                out_q.append(q_ids[a : a + 512][r[top]])
-                out_d.append(d_ids[d[top]])
-                out_s.append(s[top])
-        q = np.concatenate(out_q)
-        return pa.table({"kind": np.full(len(q), ASKS, np.int32), "q": q, "d": np.concatenate(out_d), "rough": np.concatenate(out_s).astype(np.float32)})
+                top = np.arange(len(r)) - np.searchsorted(r, r) < keep
+            else:
+                possible = score >= floor
+                if np.count_nonzero(possible) > scan_best * len(block):
+                    refined = np.where(possible, block @ rough.T, -np.inf)
+                    r, d = np.nonzero(refined + slack >= np.maximum(_kth(refined - slack, k), least)[:, None])
+                    s = refined[r, d]
+                else:  # few are near enough: they need no product of all
+                    r, d = np.nonzero(possible)
+                    s = np.einsum("nd,nd->n", block[r], rough[d])
+                    near = s + slack[d] >= least
+                    r, d, s = r[near], d[near], s[near]
+                many = np.bincount(r, minlength=len(block)) > scan_best
+                crowded.append(own[many])
+                top = ~many[r]
+            out_q.append(own[r[top]])
+            out_d.append(d_ids[d[top]])
+            out_s.append(s[top])
+            out_b.append(slack[d[top]])
+        named = [np.full(len(c), table.column("cell")[0].as_py(), np.int64) for c in crowded]
+        return pa.concat_tables([_found(ASKS, out_q, out_d, out_s, out_b), _found(CROWDED, crowded, named, [np.zeros(len(c)) for c in crowded], [np.zeros(len(c)) for c in crowded])])
 
     return run
 
 
+def _to_crowded(centroids: np.ndarray, probes: int, crowded: np.ndarray):
+    """As _to_cells, full vectors to the given cells only; all rows of the input are distinct."""
+
+    def run(batches):
+        for batch in batches:
+            ids, x = usable_rows(batch.column(0), batch.column(1))
+            if not len(ids):
+                continue
+            cells = nearest_cells(x, centroids, probes)
+            for kind, j in [(ASKS, 0), *((STORED, j) for j in range(cells.shape[1]))]:
+                at = np.isin(cells[:, j], crowded)
+                yield _rows(cells[at, j], kind, ids[at], packed(x[at]), None, None)
+
+    return run
+
+
+def _scan_full(k: int, least: float):
+    """The k best of each question in one cell, and what equals the last of them, by sums of double floats."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        kind = table.column("kind").to_numpy()
+        questions, kept = table.filter(pa.array(kind == ASKS)), table.filter(pa.array(kind == STORED))
+        out_q, out_d, out_s = [], [], []
+        if len(questions) and len(kept):
+            q_ids, d_ids = questions.column("id").to_numpy(), kept.column("id").to_numpy()
+            asked, x = (unpacked(z.column("vector"), np.float32, DIM).astype(np.float64) for z in (questions, kept))
+            for a in range(0, len(q_ids), 128):
+                own = q_ids[a : a + 128]
+                s = np.minimum(asked[a : a + 128] @ x.T, 1)
+                s[d_ids[None] == own[:, None]] = -2
+                r, d = np.nonzero(s >= np.maximum(_kth(s, k), least)[:, None] - 2 * SUM_SLACK)
+                out_q.append(own[r])
+                out_d.append(d_ids[d])
+                out_s.append(s[r, d])
+        return _found(ASKS, out_q, out_d, out_s, [np.full(len(z), SUM_SLACK) for z in out_s])
+
+    return run
+
+
+def _asked_again(rows: DataFrame, found: DataFrame, centroids: np.ndarray, probes: int, k: int, least: float, parts) -> DataFrame:
+    """The candidates, those of crowded questions found once more with full vectors in their cell."""
+    candidates, crowded = found.where(F.col("kind") == ASKS), found.where(F.col("kind") == CROWDED)
+    cells = [r["d"] for r in crowded.select("d").distinct().collect()]  # at most as many as there are cells
+    if not cells:
+        return candidates
+    ids = stored(crowded.select(F.col("q").alias("id")).distinct())
+    copies = found.where((F.col("kind") == MEMBER) & (F.col("q") != F.col("d"))).select(F.col("q").alias("id"))
+    meeting = rows.join(copies, "id", "left_anti").select("id", "vector").mapInArrow(_to_crowded(centroids, probes, np.array(cells)), MEETING)
+    asks = meeting.where(F.col("kind") == ASKS).join(ids, "id", "left_semi").select(*meeting.columns)
+    met = _met(asks.unionByName(meeting.where(F.col("kind") == STORED)), *parts)
+    again = met.select("cell", "part", "kind", "id", "vector").groupBy("cell", "part").applyInArrow(_scan_full(k, least), FOUND)
+    return cut(candidates.join(ids.withColumnRenamed("id", "q"), "q", "left_anti").select(*again.columns).unionByName(again))
+
+
 def _exact(batches):
     for batch in batches:
         a, b = unpacked(batch.column(2), np.float32, DIM), unpacked(batch.column(3), np.float32, DIM)
@@ -158,11 +249,11 @@ def _met(meeting: DataFrame, q_parts: dict[int, int], d_parts: dict[int, int]) -
 def similar_vectors(df: DataFrame, id_col: str = "element_id", vector_col: str = "embedding", k: int = 10, probes: int = 24, least: float | None = None) -> DataFrame:
     """(id, neighbour_id, cosine, rank): for each row with a usable vector its k most similar others.
 
-    `least` leaves out neighbours with a smaller cosine; fewer candidates are ranked then. Null, non-finite, zero and wrongly
+    `least` leaves out neighbours with a smaller cosine; the k best of the others that meet in a cell are then found without loss. Null, non-finite, zero and wrongly
     long vectors are left out, as are null ids. Equal cosines are ranked by the smaller id. Rows of a partition with the same
     vector are searched for once and given each other's k + 1 smallest ids afterwards, so a vector that a third of all rows share
     costs no pairs of its copies. An empty table gives an empty result; columns other than the two named are not read. Accuracy:
-    cosines are exact, the coarse cells and codes lose some neighbours (the README has the recall against brute force).
+    cosines are exact, the coarse cells and, without `least`, the codes lose some neighbours (the README has the recall against brute force).
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id is not null and vector is not null")
     total = rows.count()
@@ -175,11 +266,17 @@ def similar_vectors(df: DataFrame, id_col: str = "element_id", vector_col: str =
     scale = total / max(1, len(fitted)) / PART_ROWS
     q_parts, d_parts = ({c: int(np.ceil(n * scale)) for c, n in enumerate(np.bincount(part.ravel(), minlength=1).tolist()) if n * scale > 1} for part in (near[:, :1], near))
     meeting = _met(spread(rows).mapInArrow(_to_cells(centroids, code, probes, k), MEETING), q_parts, d_parts)
-    found = meeting.select("cell", "part", "kind", "id", "vector", "code", "rep").groupBy("cell", "part").applyInArrow(_scan(code, 8 * k, keep, least), "kind int, q bigint, d bigint, rough float")
+    found = meeting.select("cell", "part", "kind", "id", "vector", "code", "rep").groupBy("cell", "part").applyInArrow(_scan(code, 8 * k, keep, k, least), FOUND)
     found = cut(found)
-    candidates = found.where(F.col("kind") == ASKS)
-    if refine or q_parts or d_parts:  # a question was asked in several parts
-        candidates = candidates.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rough"), "d"))).where(F.col("n") <= keep)
+    if refine:
+        candidates = found.where(F.col("kind") == ASKS).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rough"), "d"))).where(F.col("n") <= keep)
+    else:
+        candidates = _asked_again(rows, found, centroids, probes, k, least, (q_parts, d_parts))
+        if q_parts or d_parts:  # a question was asked in several parts: what k others surely exceed is left out
+            low = candidates.withColumn("low", F.col("rough") - F.col("slack"))
+            low = low.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low"), "d")))
+            kth = F.max(F.when(F.col("n") == k, F.col("low"))).over(Window.partitionBy("q"))
+            candidates = low.withColumn("kth", kth).where(F.col("kth").isNull() | (F.col("rough") + F.col("slack") >= F.col("kth")))
     if not refine:  # the same pair is met once from either side
         candidates = candidates.select(F.least("q", "d").alias("q"), F.greatest("q", "d").alias("d")).distinct()
     pairs = candidates.select("q", "d")

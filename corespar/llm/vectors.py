@@ -53,6 +53,21 @@ def unpacked(column: pa.Array, dtype, width: int) -> np.ndarray:
     return data.view(dtype).reshape(len(column), width) if data.ctypes.data % np.dtype(dtype).itemsize == 0 else data.copy().view(dtype).reshape(len(column), width)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Bytes of each vector after its own scale."""
+    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True) / 127, 1e-12)
+    return np.concatenate([scale.astype(np.float32).view(np.int8), np.rint(x / scale).astype(np.int8)], axis=1)
+
+
+def unscaled(rows: np.ndarray) -> np.ndarray:
+    return rows[:, 4:].astype(np.float32) * np.ascontiguousarray(rows[:, :4]).view(np.float32)
+
+
+def rounding_error(rows: np.ndarray) -> np.ndarray:
+    """The longest that the difference of a vector and its bytes can be."""
+    return np.ascontiguousarray(rows[:, :4]).view(np.float32)[:, 0] * np.float32(0.5 * (rows.shape[1] - 4) ** 0.5)
+
+
 def sample(df: DataFrame, id_col: str, vector_col: str, total: int, dim: int = DIM, bound: int = SAMPLE) -> np.ndarray:
     """At most `bound` usable unit vectors, picked by a hash of the id; only for fitting codebooks."""
     share = min(HASH_RANGE, int(HASH_RANGE * 1.1 * bound / max(1, total)) + 1)

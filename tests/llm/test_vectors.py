@@ -182,3 +182,13 @@ def test_hot_cells_are_cut_into_parts(spark, monkeypatch):
     assert sum((g[i, v] >= tenth[i] - 2e-3).sum() for i, v in got.items()) / 4000 >= 0.9
     found = {tuple(r) for r in similar_pairs(frame(spark, x)).collect()}
     assert found and all(g[p] >= 0.9 - 1e-6 for p in found)
+
+
+def test_pairs_of_a_near_identical_hot_group(spark):
+    """Vectors that differ by less than codes and bytes tell, in one cell: the pairs are still those of brute force."""
+    x = np.concatenate([cloud(13, 1, noise=0) + 0.0015 * np.random.default_rng(5).normal(size=(700, DIM)).astype(np.float32), cloud(14, 100)])
+    g = unit(x) @ unit(x).T
+    np.fill_diagonal(g, -2)
+    want = {(min(i, j), max(i, j)) for i in range(len(x)) for j in np.argsort(-g[i], kind="stable")[:10].tolist() if g[i, j] >= 0.9}
+    got = {tuple(r) for r in similar_pairs(frame(spark, x), probes=64).collect()}  # all cells are probed: only codes and bytes could lose pairs
+    assert len(want ^ got) <= 0.002 * len(want)
