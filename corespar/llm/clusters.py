@@ -99,8 +99,8 @@ def _link(record_kind: str, ids: np.ndarray, asks: np.ndarray, compare: Callable
     density = np.zeros(len(ids), np.int64)
     doubtful = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     own = np.flatnonzero(asks)
-    for a in range(0, len(own), 512):
-        r, d, sure = compare(own[a : a + 512])
+    for a in range(0, len(own), 128):
+        r, d, sure = compare(own[a : a + 128])
         keep = ids[r] != ids[d]
         r, d, sure = r[keep], d[keep], sure[keep]
         density += np.bincount(r[sure], minlength=len(ids))
@@ -206,9 +206,10 @@ def _word_counts(batches):
 
 
 PLACE_DIM, PLACE_POWER = 256, 0.35  # for cells: wide, and rare words weigh little more, as in the share of common words
+FOLD = 256  # columns on which the words of a cell are folded to bound what two records share
 
 
-def _projection(weights: np.ndarray, dim: int = DIM) -> np.ndarray:
+def _projection(weights: np.ndarray, dim: int = PLACE_DIM) -> np.ndarray:
     """A row of random signs for each bucket, times its weight."""
     out = np.random.default_rng(3).integers(0, 2, size=(BUCKETS, dim), dtype=np.int8).astype(np.float32)
     out *= 2
@@ -228,7 +229,7 @@ def _features(flat: np.ndarray, starts: np.ndarray, weighted: np.ndarray) -> np.
 
 def _place_sets(centroids: np.ndarray, weights: np.ndarray, probes: int):
     def run(batches):
-        weighted, wide = _projection(weights), _projection(weights**PLACE_POWER, PLACE_DIM)
+        wide = _projection(weights**PLACE_POWER)
         for batch in batches:
             ids, raw, flat, starts = _unpacked_sets(batch)
             if not len(ids):
@@ -239,42 +240,63 @@ def _place_sets(centroids: np.ndarray, weights: np.ndarray, probes: int):
             groups = [np.array(g) for g in same.values()]
             yield from _equal(groups, ids)
             first = np.array([int(g[0]) for g in groups])
-            rounded = scaled(_features(flat, starts, weighted)[first])  # goes along, to pick candidates in the cells
-            yield from _placed(ids[first], _features(flat, starts, wide)[first], pa.array([rounded[k].tobytes() + raw[row] for k, row in enumerate(first.tolist())], pa.binary()), centroids, probes)
+            yield from _placed(ids[first], _features(flat, starts, wide)[first], pa.array([raw[row] for row in first.tolist()], pa.binary()), centroids, probes)
 
     return run
 
 
-def _bits(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Each record's words as bits over the words of its cell."""
-    present, local = np.unique(flat, return_inverse=True)
-    out = np.zeros((len(starts) - 1, -(-max(1, len(present)) // 64) * 8), np.uint8)
+def _as_bits(columns: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Each record's columns as bits."""
+    out = np.zeros((len(starts) - 1, -(-max(1, width) // 64) * 8), np.uint8)
     rows = np.repeat(np.arange(len(out)), np.diff(starts))
-    np.bitwise_or.at(out, (rows, local >> 3), (1 << (local & 7)).astype(np.uint8))
+    np.bitwise_or.at(out, (rows, columns >> 3), (1 << (columns & 7)).astype(np.uint8))
     return out.view(np.uint64)
 
 
-def _link_sets(least: float, split: bool, rough: float = 0.37, slack: float = 0.03):
+def _bits(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each record's words as bits over the words of its cell, and over FOLD columns: half for the most frequent words, half shared by the others."""
+    present, local, n = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.empty(len(present), np.int64)
+    place[np.argsort(-n, kind="stable")] = np.arange(len(present))
+    column = np.where(place < FOLD // 2, place, FOLD // 2 + place % (FOLD // 2))
+    return _as_bits(local, starts, len(present)), _as_bits(column[local], starts, FOLD)
+
+
+def _link_sets(least: float, split: bool, slack: float = 0.03):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         if (edges := _passed_on(table, "chunk")) is not None:
             return edges
         ids, payload = table.column("id").to_numpy(), table.column("payload").to_pylist()
-        x = unscaled(np.frombuffer(b"".join(p[: DIM + 4] for p in payload), np.int8).reshape(-1, DIM + 4))
-        starts = np.concatenate([[0], np.cumsum([(len(p) - DIM - 4) // 2 for p in payload])])
-        bits = _bits(np.frombuffer(b"".join(p[DIM + 4 :] for p in payload), np.uint16), starts)
+        starts = np.concatenate([[0], np.cumsum([len(p) // 2 for p in payload])]).astype(np.int64)
+        bits, folded = _bits(np.frombuffer(b"".join(payload), np.uint16), starts)
         size = np.diff(starts)
+        # Two records share at most the columns both have and the lesser of what they have beyond one word in each of their columns.
+        # A share of `least` takes least / (1 + least) of the sum of their sizes.
+        beyond = (size - np.bitwise_count(folded).sum(axis=1, dtype=np.int64)).astype(np.int32)
+        part = np.floor((least - slack) / (1 + least - slack) * size).astype(np.int32)
+        columns = np.ascontiguousarray(folded.T)
         asks = table.column("kind").to_numpy() == ASKS
         others = np.flatnonzero(~asks) if split else np.arange(len(ids))
 
         def compare(rows):
-            s = x[rows] @ x[others].T
-            r, d = np.nonzero(s >= rough)
-            r, d = rows[r], others[d]
-            both = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(bits[r[a : a + 65536]] & bits[d[a : a + 65536]]).sum(axis=1, dtype=np.int64) for a in range(0, len(r), 65536))])
-            jaccard = both / (size[r] + size[d] - both)
-            keep = jaccard >= least - slack
-            return r[keep], d[keep], jaccard[keep] >= least + slack
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+            for a in range(0, len(rows), 64):
+                own = rows[a : a + 64, None]
+                for b in range(0, len(others), 2048):
+                    other = others[None, b : b + 2048]
+                    need = part[own] + part[other]
+                    need -= np.minimum(beyond[own], beyond[other])
+                    shared = np.zeros(need.shape, np.int16)
+                    for column in columns:
+                        shared += np.bitwise_count(column[own] & column[other])
+                    r, d = np.nonzero(shared >= need)
+                    r, d = own[r, 0], other[0, d]
+                    both = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(bits[r[c : c + 16_384]] & bits[d[c : c + 16_384]]).sum(axis=1, dtype=np.int64) for c in range(0, len(r), 16_384))])
+                    jaccard = both / (size[r] + size[d] - both)
+                    keep = jaccard >= least - slack
+                    out.append((r[keep], d[keep], jaccard[keep] >= least + slack))
+            return tuple(np.concatenate(z) for z in zip(*out))
 
         return _link("chunk", ids, asks, compare)
 
@@ -373,7 +395,7 @@ def word_links(df: DataFrame, id_col: str, text_col: str, least: float, least_wo
     weights = np.maximum(weights, 0)
     share = min(1_000_000, int(1_000_000 * 1.1 * SAMPLE / max(1, total)) + 1)
     taken = sets.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).limit(2 * SAMPLE).toArrow()
-    wide = _projection(weights**PLACE_POWER, PLACE_DIM)
+    wide = _projection(weights**PLACE_POWER)
     sampled = np.concatenate([np.zeros((0, PLACE_DIM), np.float32), *(_features(*_unpacked_sets(b)[2:], wide) for b in taken.to_batches())])[:SAMPLE]
     centroids = fit_cells(sampled, max(8, cell_count(total) // 4))  # word sets lie less close together than vectors: fewer, wider cells
     placed = sets.mapInArrow(_place_sets(centroids, weights, probes), MEETING)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corespar.llm.clusters import similarity_clusters, smallest_labels
+from corespar.llm.clusters import DENSITY, similarity_clusters, smallest_labels, word_links
 from corespar.llm.similar import similar_pairs, similar_vectors
 from corespar.llm.vectors import DIM, FourBitCode
 
@@ -192,3 +192,16 @@ def test_pairs_of_a_near_identical_hot_group(spark):
     want = {(min(i, j), max(i, j)) for i in range(len(x)) for j in np.argsort(-g[i], kind="stable")[:10].tolist() if g[i, j] >= 0.9}
     got = {tuple(r) for r in similar_pairs(frame(spark, x), probes=64).collect()}  # all cells are probed: only codes and bytes could lose pairs
     assert len(want ^ got) <= 0.002 * len(want)
+
+
+def test_chunks_of_a_template_are_linked(spark):
+    """Words that many chunks share count as much as rare ones: every pair of the template's chunks is a link."""
+    rng = np.random.default_rng(15)
+    template = [f"t{i}" for i in range(32)]
+    texts_ = [" ".join(template + [f"r{w}" for w in rng.choice(3000, 12, replace=False)]) for _ in range(60)]
+    texts_ += [" ".join(f"o{w}" for w in rng.choice(3000, 44, replace=False)) for _ in range(120)]
+    chunks = spark.createDataFrame([(i, s, "l", 1) for i, s in enumerate(texts_)], CHUNKS)
+    found = similarity_clusters(frame(spark, np.zeros((0, DIM))), chunks).collect()
+    assert {(r.record_id, r.cluster_id, r.size) for r in found} == {(i, 0, 60) for i in range(60)}
+    links = word_links(chunks, "chunk_id", "text", 0.5, 30, 10).where(f"kind = {DENSITY}").collect()
+    assert {r.a: r.n for r in links}.keys() == set(range(60)) and all(r.n >= 59 for r in links)
