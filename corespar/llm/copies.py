@@ -15,7 +15,6 @@ from corespar.session import cut
 
 FITS = 65_536  # rows of a bucket that one task takes
 STRIDE = 8  # characters that a branch of the trie stands for
-LONGEST_PREFIX = 256  # characters by which buckets are told apart; equal forms can't be split, they are counted before
 NOT_ALNUM = r"[^\p{L}\p{N}]"
 LEAST_ALNUM = 40
 
@@ -85,13 +84,18 @@ def _count(table: pa.Table) -> pa.Table:
     )
 
 
-def _bucket(form: Column, split: list[str]) -> Column:
-    """The prefix of the form that no oversized prefix extends."""
+def _prefix(form: Column, depth) -> Column:
+    """The hash of a prefix; prefixes that it takes for one are split or counted together, which changes no result."""
+    return F.xxhash64(F.substring(form, F.lit(1), F.lit(depth) if isinstance(depth, int) else depth))
+
+
+def _bucket(form: Column, split: list[tuple[int, int]]) -> Column:
+    """The prefix of the form that no oversized prefix (length, hash) extends."""
     depth = F.lit(2)
-    for length in sorted({len(s) for s in split}):
-        long = [s for s in split if len(s) == length]
-        depth = F.when(F.substring(form, 1, length).isin(long), F.lit(length * 2)).otherwise(depth)
-    return F.substring(form, F.lit(1), depth.cast("int"))
+    for length in sorted({n for n, _ in split}):
+        long = [h for n, h in split if n == length]
+        depth = F.when(_prefix(form, length).isin(long), F.lit(length * 2)).otherwise(depth)
+    return F.when(form.isNotNull(), F.concat_ws(".", depth, _prefix(form, depth)))
 
 
 def collapse(df: DataFrame, id_col: str = "element_id", type_col: str = "type", content_col: str = "content", least: int = LEAST_ALNUM, fits: int = FITS) -> DataFrame:
@@ -105,16 +109,16 @@ def collapse(df: DataFrame, id_col: str = "element_id", type_col: str = "type",
     forms = rows.where("id is not null").select("id", canonical(F.col("type"), F.col("content")).alias("form"))
     alnum = F.length(F.regexp_replace(F.element_at(F.split("form", "\x1d"), 1), "[\x1e\x1f]", ""))
     forms = forms.where(F.col("form").isNotNull() & (alnum >= least))
-    split: list[str] = []
+    split: list[tuple[int, int]] = []
     depth, over = 2, forms
-    while depth < LONGEST_PREFIX:
+    while True:  # ends at the longest form, where all forms of a prefix are equal
         # at most rows / fits prefixes can be oversized; a prefix of which all forms are equal is counted by the partitions
-        sizes = over.groupBy(F.substring("form", 1, depth).alias("p")).agg(F.count("*").alias("n"), F.min("form").alias("a"), F.max("form").alias("b"))
+        sizes = over.groupBy(_prefix(F.col("form"), depth).alias("p")).agg(F.count("*").alias("n"), F.min("form").alias("a"), F.max("form").alias("b"))
         large = [r["p"] for r in sizes.where((F.col("n") > fits) & (F.col("a") != F.col("b"))).select("p").collect()]
         if not large:
             break
-        split += large
-        over = forms.where(F.substring("form", 1, depth).isin(large))
+        split += [(depth, p) for p in large]
+        over = forms.where(_prefix(F.col("form"), depth).isin(large))
         depth *= 2
     local = spread_forms(rows, forms).mapInArrow(_local, "id bigint, of bigint, copies bigint, form string")
     bucket = F.coalesce(_bucket(F.col("form"), split), F.concat(F.lit("\x1d"), F.pmod(F.xxhash64("id"), F.lit(256)).cast("string")))

@@ -97,6 +97,22 @@ def test_copies_equal_brute_force(spark):
     assert collapse(df.limit(0)).count() == 0
 
 
+def test_forms_with_a_long_common_opening_are_split(spark, monkeypatch):
+    """Different forms that share their first 1,100 letters don't meet in one task."""
+    from corespar.llm import copies
+
+    count = copies._count
+
+    def counted(table):
+        assert len(table) <= 40
+        return count(table)
+
+    monkeypatch.setattr(copies, "_count", counted)
+    rows = [(i, "text", "opening" * 160 + f"{i % 90:04d}" * 300) for i in range(120)]
+    got = collapse(spark.createDataFrame(rows, "element_id long, type string, content string"), fits=16).collect()
+    assert {(r.element_id, r.first_id, r.copies) for r in got} == {(i, i % 90, 2 if i % 90 < 30 else 1) for i in range(120)}
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.text("ab", max_size=20), max_size=40))
 def test_counting_trie(keys):
