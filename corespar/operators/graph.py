@@ -38,10 +38,31 @@ def representatives(vectors: DataFrame, dim: int, id_col: str, vector_col: str)
     return rows.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
 
 
+def membership(vectors: DataFrame, dim: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, rep): each row with a usable vector and the smallest id that has the same vector."""
+    rows = vectors.where(usable(F.col(vector_col), dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return rows.join(representatives(vectors, dim, id_col, vector_col).withColumnRenamed("id", "rep"), "v").select("id", "rep")
+
+
+def expanded(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(src, dst, weight) with src < dst between all rows, from the edges of representatives; copies are linked with weight 1."""
+    one, two = members.toDF("a", "src"), members.toDF("b", "dst")
+    apart = edges.join(one, "src").join(two, "dst").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "weight")
+    return apart.unionByName(members.toDF("src", "rep").join(members.toDF("dst", "rep"), "rep").where("src < dst").select("src", "dst", F.lit(1.0).alias("weight")))
+
+
+def degrees(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, degree) of each row with a neighbour, without making the edges of copies."""
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n"))
+    others = both_ways(edges).join(sizes.toDF("dst", "n"), "dst").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("others"))
+    each = sizes.join(others, "rep", "left").select("rep", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("degree")).where("degree > 0")
+    return members.join(each, "rep").select("id", "degree")
+
+
 def similarity_edges(vectors: DataFrame, least: float = 0.7, dim: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 32) -> DataFrame:
     """(src, dst, weight) with src < dst for all pairs of different vectors whose cosine is above `least`: exact.
 
-    Rows with the same vector are one vertex, that of the smallest id: copies aren't expanded into pairs.
+    Rows with the same vector are one vertex, that of the smallest id: copies aren't expanded into pairs. membership() has the others.
 
     Rows go to the nearest of some pivots. Two cells meet only if the triangle inequality on angles allows a pair above the
     threshold, and hot cells are cut into parts, so no task holds more than two blocks. Unusable vectors are left out. Meant for
@@ -82,12 +103,15 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def traverse(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, max_nodes: int | None = 50) -> DataFrame:
+def traverse(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, max_nodes: int | None = 50, members: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, hop): what breadth-first search visits from the seeds (query_id, doc_id).
 
     Hop 0 visits the seeds themselves, so `max_hops` reaches max_hops - 1 edges far. At most `max_nodes` per question are kept, nearer
     ones first, then smaller ids. `edges` (src, dst) are used in both directions; a seed without edges is visited.
+    With `members` (id, rep) the edges are those of representatives; every row has them, and copies are neighbours.
     """
+    if members is not None:
+        return _traverse_members(seeds.select("query_id", "doc_id").distinct(), edges, max_hops, max_nodes, members)
     neighbours = cut(both_ways(edges).distinct())
     seen = cut(seeds.select("query_id", "doc_id").distinct().withColumn("hop", F.lit(0)))
     frontier = seen
@@ -97,6 +121,22 @@ def traverse(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, max_nodes: i
         if frontier.limit(1).count() == 0:
             break
         seen = cut(seen.unionByName(frontier))
+    return _nearest(seen, max_nodes)
+
+
+def _traverse_members(seeds: DataFrame, edges: DataFrame, max_hops: int, max_nodes: int | None, members: DataFrame) -> DataFrame:
+    """Representatives are visited, then their members: as far as they, but copies of a seed one hop from it."""
+    seeds = cut(seeds)
+    reps = seeds.join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("query_id", F.coalesce("rep", "doc_id").alias("doc_id"))
+    reached = traverse(reps, edges, max_hops, None).withColumnRenamed("doc_id", "rep")
+    if max_nodes is not None:  # members with so many smaller ones beside them can't be among the nearest
+        members = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= max_nodes).drop("n")
+    visited = reached.join(members, "rep").select("query_id", F.col("id").alias("doc_id"), F.greatest("hop", F.lit(1)).alias("hop"))
+    visited = visited.where(F.col("hop") < max_hops).join(seeds, ["query_id", "doc_id"], "left_anti")
+    return _nearest(seeds.withColumn("hop", F.lit(0)).unionByName(visited), max_nodes)
+
+
+def _nearest(seen: DataFrame, max_nodes: int | None) -> DataFrame:
     if max_nodes is None:
         return seen
     return seen.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "doc_id"))).where(F.col("n") <= max_nodes).drop("n")

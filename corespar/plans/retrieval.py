@@ -13,7 +13,7 @@ from corespar.operators import answer, chunk, extract, pipeline, route, tables_i
 from corespar.operators.bm25 import bm25_topk, corpus_stats, idf_table, term_counts
 from corespar.operators.dense import dense_topk, hashed_terms, normalised, text_topk, usable
 from corespar.operators.fusion import postfilter, rrf
-from corespar.operators.graph import both_ways, similarity_edges, traverse
+from corespar.operators.graph import degrees, expanded, membership, similarity_edges, traverse
 from corespar.operators.metadata import metadata_index, search_metadata
 from corespar.plans.registry import ORACLE, query
 from corespar.session import cut
@@ -215,16 +215,21 @@ ORACLE["prefilter_topk"] = WITH_ALL.replace(" QUALIFY rank <= 10)", ")").replace
 
 
 def _edges(spark, folder):
+    """Edges of representatives; _members has their copies."""
     return similarity_edges(table(spark, folder, "embeddings"), EDGE)
 
 
+def _members(spark, folder):
+    return membership(table(spark, folder, "embeddings"))
+
+
 EDGES_SQL = f"e AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS weight FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) > {EDGE})"
 NEXT_SQL = "nb AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e)"
 
 
 @query
 def similarity_graph_edges(spark, folder):
-    return _edges(spark, folder)
+    return expanded(_edges(spark, folder), _members(spark, folder))
 
 
 ORACLE["similarity_graph_edges"] = f"WITH {EDGES_SQL} SELECT * FROM e"
@@ -232,7 +237,7 @@ ORACLE["similarity_graph_edges"] = f"WITH {EDGES_SQL} SELECT * FROM e"
 
 @query
 def graph_degree(spark, folder):
-    return both_ways(_edges(spark, folder)).groupBy(F.col("src").alias("vec_id")).agg(F.count("*").alias("degree"))
+    return degrees(_edges(spark, folder), _members(spark, folder)).withColumnRenamed("id", "vec_id")
 
 
 ORACLE["graph_degree"] = f"WITH {EDGES_SQL}, {NEXT_SQL} SELECT a AS vec_id, count(*) AS degree FROM nb GROUP BY a"
@@ -244,7 +249,7 @@ def _seeds(spark, folder):
 
 @query
 def bfs_1hop(spark, folder):
-    return traverse(_seeds(spark, folder), _edges(spark, folder), max_hops=2, max_nodes=20)
+    return traverse(_seeds(spark, folder), _edges(spark, folder), max_hops=2, max_nodes=20, members=_members(spark, folder))
 
 
 ORACLE["bfs_1hop"] = f"WITH {EDGES_SQL}, {NEXT_SQL}, v AS (SELECT vec_id AS query_id, vec_id AS doc_id, 0 AS hop FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT a, b, 1 FROM nb WHERE a % 100 = 0) SELECT query_id, doc_id, CAST(hop AS INT) AS hop FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, doc_id) <= 20"
@@ -252,7 +257,7 @@ ORACLE["bfs_1hop"] = f"WITH {EDGES_SQL}, {NEXT_SQL}, v AS (SELECT vec_id AS quer
 
 @query
 def bfs_2hop(spark, folder):
-    return traverse(_seeds(spark, folder), _edges(spark, folder), max_hops=3, max_nodes=None)
+    return traverse(_seeds(spark, folder), _edges(spark, folder), max_hops=3, max_nodes=None, members=_members(spark, folder))
 
 
 ORACLE["bfs_2hop"] = f"WITH {EDGES_SQL}, {NEXT_SQL}, v AS (SELECT vec_id AS query_id, vec_id AS doc_id, 0 AS hop FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT a, b, 1 FROM nb WHERE a % 100 = 0 UNION ALL SELECT x.a, y.b, 2 FROM nb x JOIN nb y ON x.b = y.a WHERE x.a % 100 = 0) SELECT query_id, doc_id, CAST(min(hop) AS INT) AS hop FROM v GROUP BY ALL"
@@ -263,7 +268,7 @@ def graph_expand_union(spark, folder):
     """Seeds with their scores and the expanded nodes without, both kept as the graph strategy does."""
     seeds = _seeds(spark, folder)
     scored = seeds.withColumn("score", F.lit(1.0))
-    return scored.unionByName(traverse(seeds, _edges(spark, folder), 2, 20).drop("hop"), allowMissingColumns=True)
+    return scored.unionByName(traverse(seeds, _edges(spark, folder), 2, 20, _members(spark, folder)).drop("hop"), allowMissingColumns=True)
 
 
 ORACLE["graph_expand_union"] = ORACLE["bfs_1hop"].replace("SELECT query_id, doc_id, CAST(hop AS INT) AS hop FROM v", "SELECT query_id, doc_id, NULL::DOUBLE AS score FROM v") + " UNION ALL SELECT vec_id, vec_id, 1.0 FROM embeddings WHERE vec_id % 100 = 0"
@@ -574,7 +579,7 @@ def index_stats(spark, folder):
         "vectors": table(spark, folder, "document_elements").where(usable(F.col("embedding"), 96)),
         "metadata_entries": _index(spark, folder),
         "metadata_fields": _index(spark, folder).select("field").distinct(),
-        "edges": _edges(spark, folder),
+        "edges": expanded(_edges(spark, folder), _members(spark, folder)),
     }
     rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("index_part"), "n") for name, df in counts.items()]
     out = rows[0]

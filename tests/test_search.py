@@ -83,3 +83,23 @@ def test_graph(spark):
         assert {r.doc_id for r in traverse(seeds, path, hops).collect()} == found
     assert {r.doc_id for r in traverse(seeds, path, 3, max_nodes=1).collect()} == {1}
     assert similarity_edges(vectors.limit(0), 0.7, dim=6).count() == 0
+
+
+def test_graph_of_copied_vectors(spark, tmp_path):
+    """A third of all rows share a vector: degrees, edges and visits of every copy are those of all pairs."""
+    import numpy as np
+
+    from corespar.plans import retrieval
+
+    x = np.random.default_rng(1).normal(size=(330, 64)).astype(np.float32)
+    x[::3] = x[0]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = np.round(u @ u.T, 6) > retrieval.EDGE
+    np.fill_diagonal(near, False)
+    spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {tuple(r) for r in retrieval.graph_degree(spark, str(tmp_path)).collect()} == {(i, n) for i, n in enumerate(near.sum(axis=1).tolist()) if n}
+    assert {tuple(r)[:2] for r in retrieval.similarity_graph_edges(spark, str(tmp_path)).collect()} == set(zip(*(z.tolist() for z in np.nonzero(np.triu(near)))))
+    want = {(s, v, h) for s in (0, 100, 200, 300) for h, v in sorted([(0, s), *((1, v) for v in np.flatnonzero(near[s]).tolist())])[:20]}
+    assert {tuple(r) for r in retrieval.bfs_1hop(spark, str(tmp_path)).collect()} == want
+    two = {(s, v, 0 if v == s else 1 if near[s, v] else 2) for s in (0, 100, 200, 300) for v in range(330) if v == s or near[s, v] or (near[s] & near[v]).any()}
+    assert {tuple(r) for r in retrieval.bfs_2hop(spark, str(tmp_path)).collect()} == two
