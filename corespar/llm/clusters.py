@@ -1,9 +1,10 @@
 """Problem 6: groups of mutually similar records.
 
-Features are quantised to the cells of a grid: a codebook of unit vectors. A record stands in its own cell and, as a neighbour, in the
-next nearest cells, so cells that touch share records. Each cell links its records by their true similarity and gives out a star
-for each of its groups instead of the pairs; the smallest labels are then propagated along the stars until none changes. The
-links a record has in its own cell are its density, by which the typical members are told.
+Features are quantised to the cells of a grid: a codebook of unit vectors (a grid of intervals tells nothing in 96 dimensions). A
+record stands in its own cell and, as a guest, in the next nearest cells, so cells that touch share records. Cells are counted; each
+links its records by their true similarity and gives out its dense groups as stars instead of pairs. Groups of touching cells that
+share a record are joined by propagating the smallest label until none changes. The most typical members are those with the
+most links in the cell in which a group is densest.
 """
 
 from __future__ import annotations
@@ -14,19 +15,20 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corespar.session import cut, stored
 from corespar.tables import spread
 
-from .similar import ASKS, STORED, _met, _same
+from .cells import GUEST, HOME, SIZES, cell_sizes, hot_cells, in_parts, vector_cells
+from .similar import same_rows
 from .vectors import DIM, SAMPLE, cell_count, fit_cells, nearest_cells, packed, sample, scaled, unpacked, unscaled, usable_rows
 
 PART_ROWS = 32_768  # rows of one cell that one task compares at most, of either side
-EDGE, MAYBE, DENSITY = 10, 11, 12
+EDGE, MAYBE, DENSITY = 10, 11, 12  # a record and its group's first; a pair to verify; a record, its cell and its links there
 OUT = "record_kind string, kind int, a bigint, b bigint, n int"
-MEETING = "cell int, kind int, id bigint, payload binary, other bigint"
+PLACED = "cell int, kind int, id bigint, payload binary, other bigint"
 WORDS = re.compile(r"[^\W_]+")
 BUCKETS = 65_536
 
@@ -63,9 +65,8 @@ def _batch(cell, kind: int, ids: np.ndarray, payload, other=None) -> pa.RecordBa
 
 def _placed(ids: np.ndarray, x: np.ndarray, payload: pa.Array, centroids: np.ndarray, probes: int):
     cells = nearest_cells(x, centroids, probes)
-    yield _batch(cells[:, 0], ASKS, ids, payload)
-    for j in range(1, cells.shape[1]):
-        yield _batch(cells[:, j], STORED, ids, payload)
+    for j in range(cells.shape[1]):
+        yield _batch(cells[:, j], GUEST if j else HOME, ids, payload)
 
 
 def _equal(groups: list[np.ndarray], ids: np.ndarray):
@@ -81,7 +82,7 @@ def _place_vectors(centroids: np.ndarray, probes: int):
             ids, x = usable_rows(batch.column(0), batch.column(1))
             if not len(ids):
                 continue
-            groups = _same(x, ids)
+            groups = same_rows(x, ids)
             yield from _equal(groups, ids)
             first = np.array([g[0] for g in groups])
             ids, x = ids[first], x[first]
@@ -90,7 +91,7 @@ def _place_vectors(centroids: np.ndarray, probes: int):
     return run
 
 
-def _link(record_kind: str, ids: np.ndarray, asks: np.ndarray, compare: Callable) -> pa.Table:
+def _link(record_kind: str, cell: int, ids: np.ndarray, asks: np.ndarray, compare: Callable) -> pa.Table:
     """Stars, doubtful pairs and densities of one cell. compare(rows) gives (row, other, sure?) of those rows against all."""
     labels = np.arange(len(ids))
     order = np.argsort(ids, kind="stable")  # labels follow the ids, so the smallest label is the smallest id
@@ -119,7 +120,7 @@ def _link(record_kind: str, ids: np.ndarray, asks: np.ndarray, compare: Callable
             "record_kind": pa.array(np.full(n, record_kind)),
             "kind": pa.array(np.repeat([EDGE, MAYBE, DENSITY], [linked.sum(), len(r), dense.sum()]).astype(np.int32)),
             "a": pa.array(a),
-            "b": pa.array(np.concatenate([root[linked], ids[d], ids[dense]])),
+            "b": pa.array(np.concatenate([root[linked], ids[d], np.full(dense.sum(), cell, np.int64)])),
             "n": pa.array(np.concatenate([np.zeros(linked.sum() + len(r), np.int64), density[dense]]).astype(np.int32)),
         }
     )
@@ -133,21 +134,22 @@ def _passed_on(table: pa.Table, record_kind: str) -> pa.Table | None:
     return None
 
 
-def _link_vectors(least: float, split: bool, slack: float = 0.006):
+def _link_vectors(least: float, slack: float = 0.006):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         if (edges := _passed_on(table, "element")) is not None:
             return edges
         ids, x = table.column("id").to_numpy(), unscaled(unpacked(table.column("payload"), np.int8, DIM + 4))
-        asks = table.column("kind").to_numpy() == ASKS
-        others = np.flatnonzero(~asks) if split else np.arange(len(ids))
+        asks, kept = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "kept"))
+        others = np.flatnonzero(kept)
+        y = np.ascontiguousarray(x[others].T)
 
         def compare(rows):
-            s = x[rows] @ x[others].T
-            r, d = np.nonzero(s >= least - slack)
+            s = x[rows] @ y
+            r, d = np.divmod(np.flatnonzero(s >= least - slack), s.shape[1])
             return rows[r], others[d], s[r, d] >= least + slack
 
-        return _link("element", ids, asks, compare)
+        return _link("element", table.column("cell")[0].as_py(), ids, asks, compare)
 
     return run
 
@@ -227,6 +229,17 @@ def _features(flat: np.ndarray, starts: np.ndarray, weighted: np.ndarray) -> np.
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def _set_cells(centroids: np.ndarray, weights: np.ndarray, probes: int):
+    def run(batches):
+        wide = _projection(weights**PLACE_POWER)
+        for batch in batches:
+            _, _, flat, starts = _unpacked_sets(batch)
+            if len(starts) > 1:
+                yield cell_sizes(nearest_cells(_features(flat, starts, wide), centroids, probes))
+
+    return run
+
+
 def _place_sets(centroids: np.ndarray, weights: np.ndarray, probes: int):
     def run(batches):
         wide = _projection(weights**PLACE_POWER)
@@ -262,7 +275,7 @@ def _bits(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return _as_bits(local, starts, len(present)), _as_bits(column[local], starts, FOLD)
 
 
-def _link_sets(least: float, split: bool, slack: float = 0.03):
+def _link_sets(least: float, slack: float = 0.03):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         if (edges := _passed_on(table, "chunk")) is not None:
@@ -276,8 +289,8 @@ def _link_sets(least: float, split: bool, slack: float = 0.03):
         beyond = (size - np.bitwise_count(folded).sum(axis=1, dtype=np.int64)).astype(np.int32)
         part = np.floor((least - slack) / (1 + least - slack) * size).astype(np.int32)
         columns = np.ascontiguousarray(folded.T)
-        asks = table.column("kind").to_numpy() == ASKS
-        others = np.flatnonzero(~asks) if split else np.arange(len(ids))
+        asks, kept = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "kept"))
+        others = np.flatnonzero(kept)
 
         def compare(rows):
             out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
@@ -298,7 +311,7 @@ def _link_sets(least: float, split: bool, slack: float = 0.03):
                     out.append((r[keep], d[keep], jaccard[keep] >= least + slack))
             return tuple(np.concatenate(z) for z in zip(*out))
 
-        return _link("chunk", ids, asks, compare)
+        return _link("chunk", table.column("cell")[0].as_py(), ids, asks, compare)
 
     return run
 
@@ -353,24 +366,9 @@ def smallest_labels(edges: DataFrame) -> DataFrame:
         labels = new.drop("old")
 
 
-def _expected(sampled: np.ndarray, centroids: np.ndarray, probes: int, total: int):
-    """Parts by which hot cells are cut, from the sample; see similar.similar_vectors."""
-    near = nearest_cells(sampled, centroids, probes) if len(sampled) else np.zeros((0, 1), np.int32)
-    scale = total / max(1, len(sampled)) / PART_ROWS
-    return tuple({c: int(np.ceil(n * scale)) for c, n in enumerate(np.bincount(part.ravel(), minlength=1).tolist()) if n * scale > 1} for part in (near[:, :1], near))
-
-
-def _in_cells(placed: DataFrame, parts, link) -> DataFrame:
-    """Questions meet the questions and neighbours of their cell, in parts if the cell is hot. link(split) gives the function."""
-    split = bool(parts[0] or parts[1])
-    link = link(split)
-    if split:
-        # then a record is both: a question in one role, a stored row in the other
-        both = placed.withColumn("kind", F.explode(F.when(F.col("kind") == ASKS, F.array(F.lit(ASKS), F.lit(STORED))).otherwise(F.array(F.col("kind")))))
-        met = _met(both, *parts)
-    else:
-        met = _met(placed, *parts)
-    return met.select("cell", "part", "kind", "id", "payload", "other").groupBy("cell", "part").applyInArrow(link, OUT)
+def _in_cells(placed: DataFrame, sizes: DataFrame, link) -> DataFrame:
+    """What each cell says of its records, cells too large for a task in parts."""
+    return in_parts(placed, hot_cells(sizes, PART_ROWS, PART_ROWS)).groupBy("cell", "part").applyInArrow(link, OUT)
 
 
 def vector_links(df: DataFrame, id_col: str, vector_col: str, least: float, probes: int) -> DataFrame:
@@ -378,8 +376,8 @@ def vector_links(df: DataFrame, id_col: str, vector_col: str, least: float, prob
     total = rows.count()
     sampled = sample(rows, "id", "vector", total)
     centroids = fit_cells(sampled, cell_count(total))
-    placed = spread(rows).mapInArrow(_place_vectors(centroids, probes), MEETING)
-    found = cut(_in_cells(placed, _expected(sampled, centroids, probes, total), lambda split: _link_vectors(least, split)))
+    placed = spread(rows).mapInArrow(_place_vectors(centroids, probes), PLACED)
+    found = cut(_in_cells(placed, spread(rows).mapInArrow(vector_cells(centroids, probes), SIZES), _link_vectors(least)))
     sure = _verified(found.where(F.col("kind") == MAYBE).select("a", "b"), rows.mapInArrow(_unit, "id bigint, value binary"), _cosines, least)
     return found.where(F.col("kind") != MAYBE).unionByName(sure.select(F.lit("element").alias("record_kind"), F.lit(EDGE).alias("kind"), "a", "b", F.lit(0).alias("n")))
 
@@ -397,26 +395,38 @@ def word_links(df: DataFrame, id_col: str, text_col: str, least: float, least_wo
     taken = sets.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).limit(2 * SAMPLE).toArrow()
     wide = _projection(weights**PLACE_POWER)
     sampled = np.concatenate([np.zeros((0, PLACE_DIM), np.float32), *(_features(*_unpacked_sets(b)[2:], wide) for b in taken.to_batches())])[:SAMPLE]
-    centroids = fit_cells(sampled, max(8, cell_count(total) // 4))  # word sets lie less close together than vectors: fewer, wider cells
-    placed = sets.mapInArrow(_place_sets(centroids, weights, probes), MEETING)
-    found = cut(_in_cells(placed, _expected(sampled, centroids, probes, total), lambda split: _link_sets(least, split)))
+    centroids = fit_cells(sampled, 2 * cell_count(total))  # word sets cost more to compare than vectors: narrower cells, more of them
+    placed = sets.mapInArrow(_place_sets(centroids, weights, probes), PLACED)
+    found = cut(_in_cells(placed, sets.mapInArrow(_set_cells(centroids, weights, probes), SIZES), _link_sets(least)))
     sure = _verified(found.where(F.col("kind") == MAYBE).select("a", "b"), rows.select("id", F.col("text").alias("value")), _jaccards, least)
     return found.where(F.col("kind") != MAYBE).unionByName(sure.select(F.lit("chunk").alias("record_kind"), F.lit(EDGE).alias("kind"), "a", "b", F.lit(0).alias("n")))
 
 
-def similarity_clusters(elements: DataFrame, chunks: DataFrame, least_cosine: float = 0.80, least_jaccard: float = 0.5, least_words: int = 30, least_size: int = 5, typical: int = 3, probes: int = 8, word_probes: int = 10) -> DataFrame:
+def similarity_clusters(elements: DataFrame, chunks: DataFrame, least_cosine: float = 0.80, least_jaccard: float = 0.5, least_words: int = 30, least_size: int = 5, typical: int = 3, probes: int = 3, word_probes: int = 6) -> DataFrame:
     """(record_kind, record_id, cluster_id, size, links, typical_rank): members of groups of at least `least_size` linked records.
 
     Elements are linked by the cosine of usable vectors, chunks by the share of their common words, directly or through others;
-    cluster_id is the smallest id of the group. typical_rank is 1 to `typical` for the members with the most links in their own
-    cell, the smaller id first among equals, and null for the others. Null and unusable vectors, null texts and texts with fewer
-    different words are in no group; copies are linked to their first. Empty tables give an empty result. Links are checked on
-    the records themselves; a link is lost if the two records share no cell (README: measured recall).
+    cluster_id is the smallest id of the group. typical_rank is 1 to `typical` for the members with the most links among those
+    of the cell that holds most of the group's members with links (the smaller cell, then the smaller id among equals), and null for
+    the others. Null and unusable vectors, null texts and texts with fewer different words are in no group; copies are linked to
+    their first. Empty tables give an empty result. Links are checked on the records themselves; a link is lost if the two records
+    share no cell (README: measured recall).
     """
+    spark = elements.sparkSession
     links = stored(vector_links(elements, "element_id", "embedding", least_cosine, probes).unionByName(word_links(chunks, "chunk_id", "text", least_jaccard, least_words, word_probes)))
     labels = stored(smallest_labels(links.where(F.col("kind") == EDGE)))
-    sizes = labels.groupBy("record_kind", "label").count().where(F.col("count") >= least_size)
-    density = links.where(F.col("kind") == DENSITY).groupBy("record_kind", F.col("a").alias("id")).agg(F.sum("n").alias("links"))
-    members = labels.join(sizes, ["record_kind", "label"]).join(density, ["record_kind", "id"], "left").select("record_kind", F.col("id").alias("record_id"), F.col("label").alias("cluster_id"), F.col("count").alias("size"), F.coalesce("links", F.lit(0)).alias("links"))
-    top = members.withColumn("typical_rank", F.row_number().over(Window.partitionBy("record_kind", "cluster_id").orderBy(F.desc("links"), "record_id"))).where(F.col("typical_rank") <= typical)
-    return members.join(top.select("record_kind", "record_id", "typical_rank"), ["record_kind", "record_id"], "left")
+    return spark.sql(
+        """
+        WITH sizes AS (SELECT record_kind, label, count(*) AS size FROM {labels} GROUP BY record_kind, label HAVING count(*) >= {least_size}),
+        density AS (SELECT record_kind, a AS id, b AS cell, sum(n) AS links FROM {links} WHERE kind = {density} GROUP BY record_kind, a, b),
+        members AS (SELECT l.record_kind, l.id, l.label, s.size, d.cell, coalesce(d.links, 0) AS links
+            FROM {labels} l JOIN sizes s ON l.record_kind = s.record_kind AND l.label = s.label LEFT JOIN density d ON l.record_kind = d.record_kind AND l.id = d.id),
+        cells AS (SELECT record_kind, label, cell, count(*) AS n FROM members WHERE cell IS NOT NULL GROUP BY record_kind, label, cell),
+        densest AS (SELECT record_kind, label, max_by(cell, struct(n, -cell)) AS cell FROM cells GROUP BY record_kind, label),
+        inside AS (SELECT m.record_kind, m.id, row_number() OVER (PARTITION BY m.record_kind, m.label ORDER BY m.links DESC, m.id) AS typical_rank
+            FROM members m JOIN densest c ON m.record_kind = c.record_kind AND m.label = c.label AND m.cell = c.cell)
+        SELECT m.record_kind, m.id AS record_id, m.label AS cluster_id, m.size, m.links, i.typical_rank
+        FROM members m LEFT JOIN (SELECT * FROM inside WHERE typical_rank <= {typical}) i ON m.record_kind = i.record_kind AND m.id = i.id
+        """,
+        labels=labels, links=links, least_size=least_size, density=DENSITY, typical=typical,
+    )

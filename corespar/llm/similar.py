@@ -1,33 +1,38 @@
 """Problem 1: the k most similar vectors of every vector.
 
-Coarse cells (a codebook fitted on a bounded sample) decide where vectors meet: each stays as a question in its nearest cell and
-is sent, as a four-bit code, to its `probes` nearest cells. In a cell the codes are scanned for every question, the best are
-refined on byte-rounded vectors and at last ranked by the exact cosine of the full vectors. Where a least cosine is asked for, codes
-and bytes only leave out what their proven errors exclude; a question that has too many left is asked again with full vectors.
+Coarse cells (a codebook fitted on a bounded sample) decide where vectors meet: each asks in its nearest cell and is searched for in
+its `probes` nearest cells. In a cell the anisotropic four-bit codes are scanned by table lookups for a block of questions at once,
+and what the codes don't rule out is ranked by the exact cosine in the same task: vectors are shuffled once, pairs never.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corespar.session import cut, stored
+from corespar.session import cut
 from corespar.tables import spread
 
-from .vectors import DIM, FourBitCode, cell_count, fit_cells, nearest_cells, packed, rounding_error, sample, scaled, unpacked, unscaled, usable_rows
+from .cells import GUEST, HOME, SIZES, hot_cells, in_parts, vector_cells
+from .vectors import DIM, FourBitCode, cell_count, fit_cells, nearest_cells, packed, sample, unpacked, usable_rows
 
-PART_ROWS = 16_384  # rows of one cell that one task takes at most, of either side; a hotter cell is split
-HALF_SLACK = 1e-3  # most that a cosine changes by a question's half floats and by sums of single floats
-SUM_SLACK = 1e-12  # the same for sums of double floats
+PROBES = 3
+PART_ASKS, PART_ROWS = 16_384, 65_536  # rows of one cell that one task takes at most; a hotter cell is cut into parts
+WINDOW_ROWS = 65_536  # rows of a partition among which copies are told
+BLOCK = 64  # questions whose tables are scanned together
+DEVIATIONS = 2.0  # of what a random residual adds to a score, in standard deviations
+EQUAL = 5e-7
+SINGLE = 1e-5  # most that a sum of single floats differs from the exact one
+TABLE_SLACK = 2e-3  # most that whole table entries and single floats change a score
 
-MEETING = "cell int, kind int, id bigint, vector binary, code binary, rep bigint"
-ASKS, STORED, MEMBER, SMALLEST, CROWDED = range(5)
-FOUND = "kind int, q bigint, d bigint, rough double, slack double"
+PLACED = "cell int, kind int, id bigint, vector binary, code binary, rep bigint"
+MEMBER, SMALLEST = 2, 3
+FOUND = "kind int, q bigint, d bigint, cosine double"
 
 
-def _same(x: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+def same_rows(x: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
     """Rows with the same vector, each group in the order of the ids."""
     keys = np.ascontiguousarray(x).view(f"V{x.shape[1] * x.itemsize}").ravel()
     seen: dict[bytes, list[int]] = {}
@@ -51,245 +56,178 @@ def _rows(cell, kind: int, ids, vector, code, rep) -> pa.RecordBatch:
     )
 
 
-def _to_cells(centroids: np.ndarray, code: FourBitCode, probes: int, k: int):
-    def run(batches):
-        ids, xs = [np.zeros(0, np.int64)], [np.zeros((0, DIM), np.float32)]
-        for batch in batches:
-            i, x = usable_rows(batch.column(0), batch.column(1))
+def _windows(batches):
+    """Usable rows of the batches, WINDOW_ROWS or a batch more at a time."""
+    ids, xs, n = [], [], 0
+    for batch in batches:
+        i, x = usable_rows(batch.column(0), batch.column(1))
+        if len(i):
             ids.append(i)
             xs.append(x)
-        ids, x = np.concatenate(ids), np.concatenate(xs)
-        if not len(ids):
-            return
-        groups = _same(x, ids)
-        shared = [ids[g] for g in groups if len(g) > 1]
-        if shared:  # copies take no part in the search; the first stands for them
-            members = np.concatenate(shared)
-            yield _rows(-1, MEMBER, members, None, None, np.repeat([g[0] for g in shared], [len(g) for g in shared]))
-            smallest = [g[: k + 1] for g in shared]
-            yield _rows(-1, SMALLEST, np.concatenate(smallest), None, None, np.repeat([g[0] for g in smallest], [len(g) for g in smallest]))
-        first = np.array([g[0] for g in groups])
-        ids, x = ids[first], x[first]
-        for a in range(0, len(ids), 8192):
-            own, xi = ids[a : a + 8192], x[a : a + 8192]
-            cells = nearest_cells(xi, centroids, probes)
-            # a question takes half floats with it: they only pick candidates, which are ranked by the full vectors later
-            yield _rows(cells[:, 0], ASKS, own, packed(xi.astype(np.float16)), None, None)
-            coded = packed(FourBitCode.nibbles(code.encode(xi)))
-            rounded = packed(scaled(xi))
-            for j in range(cells.shape[1]):
-                yield _rows(cells[:, j], STORED, own, rounded, coded, None)
-
-    return run
-
-
-def _found(kind: int, q: list, d: list, rough: list, slack: list) -> pa.Table:
-    q = np.concatenate([np.zeros(0, np.int64), *q])
-    d, rough, slack = np.concatenate([np.zeros(0, np.int64), *d]), np.concatenate([np.zeros(0), *rough]), np.concatenate([np.zeros(0), *slack])
-    return pa.table({"kind": np.full(len(q), kind, np.int32), "q": q, "d": d, "rough": rough.astype(np.float64), "slack": slack.astype(np.float64)})
-
-
-def _kth(low: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest of each row, -2 where there are fewer."""
-    return np.partition(low, -k, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(low), -2.0, low.dtype)
-
-
-def _scan(code: FourBitCode, scan_best: int, keep: int, k: int, least: float | None):
-    """Candidates of each question in one cell.
-
-    Without `least` the `keep` best by bytes of the `scan_best` best by code. With it all that may be among the k best: none is left
-    out unless its code or bytes prove that it is under `least` or under k others. Questions with more than `scan_best` of them
-    are only named, as CROWDED.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        kind = table.column("kind").to_numpy()
-        if len(kind) and kind[0] in (MEMBER, SMALLEST):
-            return pa.table({"kind": kind, "q": table.column("id"), "d": table.column("rep"), "rough": pa.nulls(len(kind), pa.float64()), "slack": pa.nulls(len(kind), pa.float64())})
-        questions, kept = table.filter(pa.array(kind == ASKS)), table.filter(pa.array(kind == STORED))
-        if not len(questions) or not len(kept):
-            return _found(ASKS, [], [], [], [])
-        out_q, out_d, out_s, out_b, crowded = [], [], [], [], []
-        q_ids, d_ids = questions.column("id").to_numpy(), kept.column("id").to_numpy()
-        rebuilt = code.decode(FourBitCode.from_nibbles(unpacked(kept.column("code"), np.uint8, DIM // 4))).astype(np.float32)
-        asked = unpacked(questions.column("vector"), np.float16, DIM).astype(np.float32)
-        scaled_bytes = unpacked(kept.column("vector"), np.int8, DIM + 4)
-        rough, slack = unscaled(scaled_bytes), rounding_error(scaled_bytes) + HALF_SLACK
-        if least is not None:
-            # With e = rough - rebuilt, coded = s - <q, e> and <q, e> = <rough, e> + <q - rough, e>; for s >= t the length of
-            # q - rough is at most sqrt(1 + |rough|^2 - 2 t).
-            t, e = least - slack, rough - rebuilt
-            reach = np.sqrt(np.maximum(0, 1 + HALF_SLACK + (rough * rough).sum(axis=1) - 2 * t))
-            floor = (t - (rough * e).sum(axis=1) - reach * np.linalg.norm(e, axis=1) - HALF_SLACK).astype(np.float32)
-        for a in range(0, len(q_ids), 256):
-            block, own = asked[a : a + 256], q_ids[a : a + 256]
-            score = block @ rebuilt.T  # for each pair the sum of the looked-up table entries
-            score[d_ids[None] == own[:, None]] = -np.inf
-            if least is None:
-                best = min(scan_best, score.shape[1])
-                top = np.argpartition(-score, best - 1, axis=1)[:, :best]
-                r, d = np.repeat(np.arange(len(block)), best), top.ravel()
-                r, d = (z[np.isfinite(score[r, d])] for z in (r, d))
-                s = np.einsum("nd,nd->n", block[r], rough[d])
-                order = np.lexsort((d_ids[d], -s, r))
-                r, d, s = r[order], d[order], s[order]
-                top = np.arange(len(r)) - np.searchsorted(r, r) < keep
-            else:
-                possible = score >= floor
-                if np.count_nonzero(possible) > scan_best * len(block):
-                    refined = np.where(possible, block @ rough.T, -np.inf)
-                    r, d = np.nonzero(refined + slack >= np.maximum(_kth(refined - slack, k), least)[:, None])
-                    s = refined[r, d]
-                else:  # few are near enough: they need no product of all
-                    r, d = np.nonzero(possible)
-                    s = np.einsum("nd,nd->n", block[r], rough[d])
-                    near = s + slack[d] >= least
-                    r, d, s = r[near], d[near], s[near]
-                many = np.bincount(r, minlength=len(block)) > scan_best
-                crowded.append(own[many])
-                top = ~many[r]
-            out_q.append(own[r[top]])
-            out_d.append(d_ids[d[top]])
-            out_s.append(s[top])
-            out_b.append(slack[d[top]])
-        named = [np.full(len(c), table.column("cell")[0].as_py(), np.int64) for c in crowded]
-        return pa.concat_tables([_found(ASKS, out_q, out_d, out_s, out_b), _found(CROWDED, crowded, named, [np.zeros(len(c)) for c in crowded], [np.zeros(len(c)) for c in crowded])])
-
-    return run
-
+            n += len(i)
+        if n >= WINDOW_ROWS:
+            yield np.concatenate(ids), np.concatenate(xs)
+            ids, xs, n = [], [], 0
+    if n:
+        yield np.concatenate(ids), np.concatenate(xs)
 
-def _to_crowded(centroids: np.ndarray, probes: int, crowded: np.ndarray):
-    """As _to_cells, full vectors to the given cells only; all rows of the input are distinct."""
 
+def _to_cells(centroids: np.ndarray, code: FourBitCode, probes: int, k: int):
     def run(batches):
-        for batch in batches:
-            ids, x = usable_rows(batch.column(0), batch.column(1))
-            if not len(ids):
-                continue
-            cells = nearest_cells(x, centroids, probes)
-            for kind, j in [(ASKS, 0), *((STORED, j) for j in range(cells.shape[1]))]:
-                at = np.isin(cells[:, j], crowded)
-                yield _rows(cells[at, j], kind, ids[at], packed(x[at]), None, None)
+        for ids, x in _windows(batches):
+            groups = same_rows(x, ids)
+            shared = [ids[g] for g in groups if len(g) > 1]
+            if shared:  # copies take no part in the search; the first stands for them
+                yield _rows(-1, MEMBER, np.concatenate(shared), None, None, np.repeat([g[0] for g in shared], [len(g) for g in shared]))
+                smallest = [g[: k + 1] for g in shared]
+                yield _rows(-1, SMALLEST, np.concatenate(smallest), None, None, np.repeat([g[0] for g in smallest], [len(g) for g in smallest]))
+            first = np.array([g[0] for g in groups])
+            ids, x = ids[first], x[first]
+            for a in range(0, len(ids), 8192):
+                own, xi = ids[a : a + 8192], x[a : a + 8192]
+                cells = nearest_cells(xi, centroids, probes)
+                words = code.encode(xi)
+                rest = xi - code.decode(words)
+                # with the code go <x, rest> and |rest|, which tell how far a score can be from that of the code
+                facts = np.stack([(xi * rest).sum(axis=1), np.linalg.norm(rest, axis=1)], axis=1).astype(np.float32)
+                coded = packed(np.concatenate([FourBitCode.nibbles(words), facts.view(np.uint8)], axis=1))
+                vectors = packed(xi)
+                for j in range(cells.shape[1]):
+                    yield _rows(cells[:, j], GUEST if j else HOME, own, vectors, coded, None)
 
     return run
 
 
-def _scan_full(k: int, least: float):
-    """The k best of each question in one cell, and what equals the last of them, by sums of double floats."""
+def _above(score: np.ndarray, want: int) -> np.ndarray:
+    """For each column (a question) a value that at least `want` rows reach, and not many more."""
+    n = len(score)
+    if n <= want:
+        return np.zeros(score.shape[1], score.dtype)
+    take = -(-want * 3 // 32) + 1  # of every sixteenth row, half as many again as their share
+    part = score[::16]
+    if len(part) > take:
+        value = np.partition(part, -take, axis=0)[-take]
+        few = np.flatnonzero(np.count_nonzero(score >= value, axis=0) < want)
+    else:
+        value, few = np.zeros(score.shape[1], score.dtype), np.arange(score.shape[1])
+    if len(few):
+        value[few] = np.partition(score[:, few], -want, axis=0)[-want]
+    return value
+
+
+def _cosines(x: np.ndarray, asked: np.ndarray, d: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Exact cosines of the pairs (d, r). Above 1 - EQUAL, what unit vectors in single floats differ from length one, vectors
+    count as equal."""
+    out = np.empty(len(d))
+    for a in range(0, len(d), 4096):
+        part = slice(a, a + 4096)
+        out[part] = np.einsum("nd,nd->n", x[d[part]].astype(np.float64), asked[r[part]].astype(np.float64))
+    return np.where(out > 1 - EQUAL, 1.0, np.round(out, 12))
+
+
+def _singles(x: np.ndarray, asked: np.ndarray, d: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The same to SINGLE, by sums of single floats; all at once where many are wanted."""
+    if len(d) * 8 > len(x) * len(asked):
+        return (x @ asked.T)[d, r]
+    out = np.empty(len(d), np.float32)
+    for a in range(0, len(d), 8192):
+        part = slice(a, a + 8192)
+        np.einsum("nd,nd->n", x[d[part]], asked[r[part]], out=out[part])
+    return out
+
+
+def _best(x: np.ndarray, asked: np.ndarray, d: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k pairs (d, r) of each question r with the largest exact cosine, the smaller id first among equals."""
+    single = _singles(x, asked, d, r)
+    order = np.argsort(r + (1 - single.astype(np.float64)) / 4)  # by question, then by falling cosine
+    d, r, single = d[order], r[order], single[order]
+    start = np.searchsorted(r, np.arange(len(asked) + 1))
+    last = np.minimum(start[:-1] + k, start[1:]) - 1  # the k-th of each question, or its last
+    near = single >= single[np.maximum(last, 0)][r] - 2 * SINGLE if len(r) else np.zeros(0, bool)
+    d, r = d[near], r[near]
+    cosine = _cosines(x, asked, d, r)
+    order = np.lexsort((ids[d], -cosine, r))
+    d, r, cosine = d[order], r[order], cosine[order]
+    top = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return d[top], r[top], cosine[top]
+
+
+def _search(code: FourBitCode, k: int, least: float | None):
+    """The k nearest of each question in one part of a cell, by exact cosines.
+
+    A row is compared exactly unless its code rules it out. With e what coding took away of x, <q, x> is the score by code plus
+    <x, e> plus <q - x, e>, and the length of q - x follows from the cosine it must reach. With `least` the last term is bounded
+    by the two lengths: none that reaches it is lost. Without, the cosine to reach is that of the k-th best of the 2 k best by
+    code, and the term is taken as that of a random direction, DEVIATIONS wide.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         kind = table.column("kind").to_numpy()
-        questions, kept = table.filter(pa.array(kind == ASKS)), table.filter(pa.array(kind == STORED))
-        out_q, out_d, out_s = [], [], []
-        if len(questions) and len(kept):
-            q_ids, d_ids = questions.column("id").to_numpy(), kept.column("id").to_numpy()
-            asked, x = (unpacked(z.column("vector"), np.float32, DIM).astype(np.float64) for z in (questions, kept))
-            for a in range(0, len(q_ids), 128):
-                own = q_ids[a : a + 128]
-                s = np.minimum(asked[a : a + 128] @ x.T, 1)
-                s[d_ids[None] == own[:, None]] = -2
-                r, d = np.nonzero(s >= np.maximum(_kth(s, k), least)[:, None] - 2 * SUM_SLACK)
-                out_q.append(own[r])
-                out_d.append(d_ids[d])
-                out_s.append(s[r, d])
-        return _found(ASKS, out_q, out_d, out_s, [np.full(len(z), SUM_SLACK) for z in out_s])
+        if len(kind) and kind[0] in (MEMBER, SMALLEST):
+            return pa.table({"kind": kind, "q": table.column("id"), "d": table.column("rep"), "cosine": pa.nulls(len(kind), pa.float64())})
+        asks, kept = (table.filter(table.column(c)) for c in ("asks", "kept"))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(asks) and len(kept):
+            q_ids, ids = asks.column("id").to_numpy(), kept.column("id").to_numpy()
+            questions, x = (unpacked(z.column("vector"), np.float32, DIM) for z in (asks, kept))
+            coded = unpacked(kept.column("code"), np.uint8, DIM // 4 + 8)
+            columns = np.ascontiguousarray(coded[:, :-8].T).astype(np.intp)
+            inner, length = np.ascontiguousarray(coded[:, -8:]).view(np.float32).T
+            place = np.full(len(q_ids), -1)
+            order = np.argsort(ids)
+            at = np.minimum(np.searchsorted(ids[order], q_ids), len(ids) - 1)
+            place = np.where(ids[order[at]] == q_ids, order[at], -1)  # a question's own row
+            for a in range(0, len(q_ids), BLOCK):
+                asked, own = questions[a : a + BLOCK], place[a : a + BLOCK]
+                tables, base, step = code.tables(asked)
+                score = FourBitCode.scan(tables, columns)
+                score[own[own >= 0], np.flatnonzero(own >= 0)] = 0
+                reach = np.full(len(asked), least if least is not None else -1.0, np.float32)
+                wide = np.sqrt(np.maximum(0, 2 - 2 * reach)) if least is not None else None
+                if least is None and len(ids) > 2 * k:
+                    d, r = np.divmod(np.flatnonzero(score >= _above(score, 2 * k)), len(asked))
+                    keep = d != own[r]
+                    d, r, cosine = _best(x, asked, d[keep], r[keep], ids, k)
+                    last = np.bincount(r, minlength=len(asked)) == k
+                    reach[last] = cosine[np.searchsorted(r, np.flatnonzero(last)) + k - 1]
+                if wide is None:
+                    wide = (DEVIATIONS / DIM**0.5) * np.sqrt(np.maximum(0, 2 - 2 * reach))
+                # what the score by code must be for the easiest row, then for each row
+                floor = reach - inner.max() - wide * length.max() - TABLE_SLACK
+                at = np.flatnonzero(score >= np.clip(np.floor((floor - base) / step), 0, 65_535).astype(np.uint16))
+                d, r = np.divmod(at, len(asked))
+                keep = (score.ravel()[at] * step[r] + inner[d] + wide[r] * length[d] >= (reach - base - TABLE_SLACK)[r]) & (d != own[r])
+                d, r, cosine = _best(x, asked, d[keep], r[keep], ids, k)
+                if least is not None:
+                    near = cosine >= least
+                    d, r, cosine = d[near], r[near], cosine[near]
+                found.append((q_ids[a + r], ids[d], np.clip(cosine, -1, 1)))
+        q, d, cosine = (np.concatenate(z) for z in zip(*found))
+        return pa.table({"kind": np.full(len(q), HOME, np.int32), "q": q, "d": d, "cosine": cosine})
 
     return run
 
 
-def _asked_again(rows: DataFrame, found: DataFrame, centroids: np.ndarray, probes: int, k: int, least: float, parts) -> DataFrame:
-    """The candidates, those of crowded questions found once more with full vectors in their cell."""
-    candidates, crowded = found.where(F.col("kind") == ASKS), found.where(F.col("kind") == CROWDED)
-    cells = [r["d"] for r in crowded.select("d").distinct().collect()]  # at most as many as there are cells
-    if not cells:
-        return candidates
-    ids = stored(crowded.select(F.col("q").alias("id")).distinct())
-    copies = found.where((F.col("kind") == MEMBER) & (F.col("q") != F.col("d"))).select(F.col("q").alias("id"))
-    meeting = rows.join(copies, "id", "left_anti").select("id", "vector").mapInArrow(_to_crowded(centroids, probes, np.array(cells)), MEETING)
-    asks = meeting.where(F.col("kind") == ASKS).join(ids, "id", "left_semi").select(*meeting.columns)
-    met = _met(asks.unionByName(meeting.where(F.col("kind") == STORED)), *parts)
-    again = met.select("cell", "part", "kind", "id", "vector").groupBy("cell", "part").applyInArrow(_scan_full(k, least), FOUND)
-    return cut(candidates.join(ids.withColumnRenamed("id", "q"), "q", "left_anti").select(*again.columns).unionByName(again))
-
-
-def _exact(batches):
-    for batch in batches:
-        a, b = unpacked(batch.column(2), np.float32, DIM), unpacked(batch.column(3), np.float32, DIM)
-        cosine = np.einsum("nd,nd->n", a.astype(np.float64), b.astype(np.float64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.clip(cosine, -1, 1))], names=["q", "d", "cosine"])
-
-
-def _vectors(batches):
-    for batch in batches:
-        i, x = usable_rows(batch.column(0), batch.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array(i), packed(x)], names=["id", "vector"])
-
-
-def _per_cell(values: dict[int, int]) -> Column:
-    """A number looked up by cell, 1 where none is given."""
-    if not values:
-        return F.lit(1)
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("cell")], F.lit(1))
-
-
-def _met(meeting: DataFrame, q_parts: dict[int, int], d_parts: dict[int, int]) -> DataFrame:
-    """Cut hot cells into parts by id on both sides; each part of the questions meets each part of the stored rows."""
-    salt = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    asks = F.col("kind") == ASKS
-    if not q_parts and not d_parts:
-        return meeting.withColumn("part", F.when(F.col("cell") < 0, F.pmod(salt, F.lit(64))).otherwise(F.lit(0)))
-    met = meeting.withColumns({"qp": _per_cell(q_parts), "dp": _per_cell(d_parts)})
-    met = met.withColumn("_with", F.explode(F.sequence(F.lit(0), F.when(asks, F.col("dp")).otherwise(F.col("qp")) - 1)))
-    part = F.when(asks, F.pmod(salt, F.col("qp")) * F.col("dp") + F.col("_with")).otherwise(F.col("_with") * F.col("dp") + F.pmod(salt, F.col("dp")))
-    return met.withColumn("part", F.when(F.col("cell") < 0, F.pmod(salt, F.lit(64))).otherwise(part))
-
-
-def similar_vectors(df: DataFrame, id_col: str = "element_id", vector_col: str = "embedding", k: int = 10, probes: int = 24, least: float | None = None) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str = "element_id", vector_col: str = "embedding", k: int = 10, probes: int = PROBES, least: float | None = None) -> DataFrame:
     """(id, neighbour_id, cosine, rank): for each row with a usable vector its k most similar others.
 
-    `least` leaves out neighbours with a smaller cosine; the k best of the others that meet in a cell are then found without loss. Null, non-finite, zero and wrongly
-    long vectors are left out, as are null ids. Equal cosines are ranked by the smaller id. Rows of a partition with the same
-    vector are searched for once and given each other's k + 1 smallest ids afterwards, so a vector that a third of all rows share
-    costs no pairs of its copies. An empty table gives an empty result; columns other than the two named are not read. Accuracy:
-    cosines are exact, the coarse cells and, without `least`, the codes lose some neighbours (the README has the recall against brute force).
+    `least` leaves out neighbours with a smaller cosine; of those that meet in a cell none is then lost. Null, non-finite, zero and
+    wrongly long vectors are left out, as are null ids. Equal cosines are ranked by the smaller id. Rows of a
+    partition with the same vector are searched for once and given each other's k + 1 smallest ids afterwards, so a vector that a
+    third of all rows share costs no pairs of its copies. An empty table gives an empty result; columns other than the two named
+    are not read. Accuracy: cosines are exact, the cells and, without `least`, the codes lose some neighbours (README: recall).
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id is not null and vector is not null")
     total = rows.count()
     fitted = sample(rows, "id", "vector", total)
     centroids, code = fit_cells(fitted, cell_count(total)), FourBitCode.fit(fitted[:8192])
-    refine = least is None
-    keep = k + 4
-    # Rows to expect in each cell, from the sample: only to cut hot cells, every row is searched whatever the estimate.
-    near = nearest_cells(fitted, centroids, probes) if len(fitted) else np.zeros((0, 1), np.int32)
-    scale = total / max(1, len(fitted)) / PART_ROWS
-    q_parts, d_parts = ({c: int(np.ceil(n * scale)) for c, n in enumerate(np.bincount(part.ravel(), minlength=1).tolist()) if n * scale > 1} for part in (near[:, :1], near))
-    meeting = _met(spread(rows).mapInArrow(_to_cells(centroids, code, probes, k), MEETING), q_parts, d_parts)
-    found = meeting.select("cell", "part", "kind", "id", "vector", "code", "rep").groupBy("cell", "part").applyInArrow(_scan(code, 8 * k, keep, k, least), FOUND)
-    found = cut(found)
-    if refine:
-        candidates = found.where(F.col("kind") == ASKS).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rough"), "d"))).where(F.col("n") <= keep)
-    else:
-        candidates = _asked_again(rows, found, centroids, probes, k, least, (q_parts, d_parts))
-        if q_parts or d_parts:  # a question was asked in several parts: what k others surely exceed is left out
-            low = candidates.withColumn("low", F.col("rough") - F.col("slack"))
-            low = low.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low"), "d")))
-            kth = F.max(F.when(F.col("n") == k, F.col("low"))).over(Window.partitionBy("q"))
-            candidates = low.withColumn("kth", kth).where(F.col("kth").isNull() | (F.col("rough") + F.col("slack") >= F.col("kth")))
-    if not refine:  # the same pair is met once from either side
-        candidates = candidates.select(F.least("q", "d").alias("q"), F.greatest("q", "d").alias("d")).distinct()
-    pairs = candidates.select("q", "d")
-    exact = rows.mapInArrow(_vectors, "id bigint, vector binary")
-    if not refine:  # of few candidates only the vectors they need are moved again
-        needed = stored(pairs.select(F.explode(F.array("q", "d")).alias("id")).distinct())  # of known size: broadcast if small, else shuffled
-        exact = cut(exact.join(needed, "id", "left_semi"))
-    with_d = pairs.join(exact.select(F.col("id").alias("d"), F.col("vector").alias("vd")), "d")
-    both = with_d.join(exact.select(F.col("id").alias("q"), F.col("vector").alias("vq")), "q").select("q", "d", "vq", "vd")
-    scored = both.mapInArrow(_exact, "q bigint, d bigint, cosine double")
-    if not refine:
-        scored = cut(scored.where(F.col("cosine") >= least))
-        scored = scored.unionByName(scored.select(F.col("d").alias("q"), F.col("q").alias("d"), "cosine"))
+    hot = hot_cells(spread(rows).mapInArrow(vector_cells(centroids, probes), SIZES), PART_ASKS, PART_ROWS)
+    placed = in_parts(spread(rows).mapInArrow(_to_cells(centroids, code, probes, k), PLACED), hot)
+    found = cut(placed.groupBy("cell", "part").applyInArrow(_search(code, k, least), FOUND))
+    scored = found.where(F.col("kind") == HOME).select("q", "d", "cosine")
+    if least is not None:  # few: what one of two found, the other has too
+        scored = scored.unionByName(scored.select(F.col("d").alias("q"), F.col("q").alias("d"), "cosine")).distinct()
     return _with_copies(scored, found, k)
 
 
@@ -304,7 +242,7 @@ def _with_copies(scored: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return all_rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour_id"))).where(F.col("rank") <= k)
 
 
-def similar_pairs(df: DataFrame, id_col: str = "element_id", vector_col: str = "embedding", k: int = 10, least: float = 0.90, probes: int = 7) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str = "element_id", vector_col: str = "embedding", k: int = 10, least: float = 0.90, probes: int = PROBES) -> DataFrame:
     """(id, neighbour_id), the smaller first: pairs with at least the given cosine of which one is among the k best of the other."""
     near = similar_vectors(df, id_col, vector_col, k, probes, least)
     return near.select(F.least("id", "neighbour_id").alias(id_col), F.greatest("id", "neighbour_id").alias("neighbour_id")).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIM = 96
-SAMPLE = 16_384  # vectors, at most, on which codebooks are fitted: a documented bound, every vector is coded
+SAMPLE = 32_768  # vectors, at most, on which codebooks are fitted: a documented bound, every vector is coded
 HASH_RANGE = 1_000_000
 
 
@@ -98,9 +98,16 @@ def fit_cells(x: np.ndarray, cells: int, rounds: int = 6, seed: int = 7) -> np.n
     return centroids.astype(np.float32)
 
 
+MOST_CELLS = 16_384
+
+
 def cell_count(rows: int) -> int:
-    """A power of two near the square root of the rows: work per vector grows as the root of their number."""
-    return int(min(16_384, max(8, 2 ** round(np.log2(max(64, rows)) / 2))))
+    """A power of two near a sixteenth of the square root of the rows.
+
+    Few wide cells and few probes find more than many narrow cells and many probes of the same total size, and copy less. Work per
+    vector grows as the root of their number up to MOST_CELLS, which 70 billion rows reach; beyond, cells grow and are cut into parts.
+    """
+    return int(min(MOST_CELLS, max(8, 2 ** round(np.log2(max(64, rows) ** 0.5 / 16)))))
 
 
 def nearest_cells(x: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
@@ -187,6 +194,33 @@ class FourBitCode:
         """The coded vectors. A dot product with one is the sum of the table entries <q_s, c_k> that the code picks."""
         return self.words[np.arange(self.words.shape[0])[None], codes].reshape(len(codes), -1)
 
+    def tables(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tables (bytes of a code, 256, questions) of whole numbers, and the base and step of each question.
+
+        The dot product of a question and a coded vector is base + step times the sum of the entries that its bytes pick, but for
+        half a step for each word.
+        """
+        t = np.einsum("skw,qsw->skq", self.words, asked.reshape(len(asked), self.words.shape[0], 2), optimize=True)
+        low = t.min(axis=1)
+        step = np.maximum((t.max(axis=1) - low).sum(axis=0), 1e-9) / 65_000  # so that no sum leaves sixteen bits
+        whole = np.rint((t - low[:, None]) / step).astype(np.uint16)
+        both = whole[0::2][:, :, None] + whole[1::2][:, None]
+        return both.reshape(both.shape[0], 256, len(asked)), low.sum(axis=0), step
+
+    @staticmethod
+    def scan(tables: np.ndarray, columns: np.ndarray, block: int = 2048) -> np.ndarray:
+        """Sums of looked-up entries (coded rows, questions); columns: the codes byte by byte, (bytes, rows) as indices."""
+        n = columns.shape[1]
+        out = np.empty((n, tables.shape[2]), np.uint16)
+        looked_up = np.empty((min(n, block), tables.shape[2]), np.uint16)
+        for a in range(0, n, block):
+            part = out[a : a + block]
+            np.take(tables[0], columns[0, a : a + block], axis=0, out=part, mode="clip")
+            for byte in range(1, len(columns)):
+                np.take(tables[byte], columns[byte, a : a + block], axis=0, out=looked_up[: len(part)], mode="clip")
+                part += looked_up[: len(part)]
+        return out
+
     @staticmethod
     def nibbles(codes: np.ndarray) -> np.ndarray:
         """Two words to the byte."""

@@ -162,6 +162,7 @@ def test_hot_cells_are_cut_into_parts(spark, monkeypatch):
     from corespar.llm import clusters, similar
 
     monkeypatch.setattr(similar, "PART_ROWS", 16)
+    monkeypatch.setattr(similar, "PART_ASKS", 8)
     monkeypatch.setattr(clusters, "PART_ROWS", 16)
     x = cloud(11, 400, topics=30, noise=0.045)
     x[::4] = x[0] + 0.002 * np.random.default_rng(1).normal(size=x[::4].shape).astype(np.float32)
