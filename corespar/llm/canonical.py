@@ -1,7 +1,8 @@
 """Problem 3: freely entered values mapped to a reference list.
 
-The reference entries, under all their alias paths, form a trie; each distinct entered value is run through it as a Levenshtein
-automaton whose state is the row of edit distances so far, and a branch is left when every distance in the row is over the limit.
+The reference entries, under all their alias paths, form a trie; each distinct entered value is a Levenshtein automaton that walks it.
+A state is what the distances near the diagonal can be, a step depends only on where the next sign stands in the value there, so
+states and steps are worked out once for all values of a task. A branch is left as soon as no path below it can be within its limit.
 """
 
 from __future__ import annotations
@@ -51,65 +52,141 @@ def parse(value: str) -> tuple[str, str, str, str]:
     return (joined.translate(LOOKALIKE) if re.search("[a-z]", joined) else ""), position, rank, re.sub(r"[^a-z0-9]", "", plain)
 
 
+MOST_EDITS = 3
+BAND = 2 * MOST_EDITS + 1
+FAR = MOST_EDITS + 1
+
+
+class Automaton:
+    """States (distances of the band, distances after a transposition) by number, and their steps.
+
+    After d signs of a path the band holds the distance of these signs to the first d - 3 ... d + 3 signs of the value, at most FAR.
+    A step is told by the bits of the places in the band at which the value has the path's next sign. Transpositions are one edit.
+    """
+
+    def __init__(self):
+        first = (FAR,) * MOST_EDITS + tuple(range(MOST_EDITS + 1))
+        self.bands: list[tuple[int, ...]] = []
+        self.swaps: list[tuple[int, ...]] = []
+        self.least: list[int] = []
+        self.number: dict[tuple, int] = {}
+        self.steps: dict[int, int] = {}
+        self.start = self._state(first, (FAR,) * BAND)
+
+    def _state(self, band: tuple[int, ...], swap: tuple[int, ...]) -> int:
+        key = band, swap
+        if key not in self.number:
+            self.number[key] = len(self.bands)
+            self.bands.append(band)
+            self.swaps.append(swap)
+            self.least.append(min(band))
+        return self.number[key]
+
+    def step(self, state: int, here: int) -> int:
+        to = self.steps.get(state << BAND | here)
+        if to is None:
+            # both bands count from the value's place d - 3; the new one begins a place further
+            old, swapped, new = self.bands[state] + (FAR,), self.swaps[state] + (FAR,), []
+            for i in range(BAND):
+                same = here >> i & 1
+                value = min(old[i + 1] + 1, old[i] + (not same), (new[-1] + 1) if new else FAR)
+                if i and here >> (i - 1) & 1:
+                    value = min(value, swapped[i + 1])
+                new.append(min(value, FAR))
+            # the sign stands one place further on, so the next sign may end a transposition with it
+            swap = tuple(min(FAR, old[i - 1] + 1) if i and here >> i & 1 else FAR for i in range(BAND))
+            to = self.steps[state << BAND | here] = self._state(tuple(new), swap)
+        return to
+
+
 class Trie:
-    """Alias paths of the reference entries; a node is a dict of its branches, its entries are under the key None."""
+    """Alias paths of the reference entries; a node is [branches, entries, the largest limit of the paths below it]."""
 
     def __init__(self, entries: list[tuple[int, str, str | None]]):
-        self.root: dict = {}
+        self.root: list = [{}, [], 0]
         self.longest = 0
+        self.automaton = Automaton()
         parsed = [(i, *parse(name)[:3], parse(code or "")[3]) for i, name, code in entries]
         for i, core, position, rank, code in parsed:
             for path in {core, *([CODE + code] if code else [])}:
+                limit = 0 if path.startswith(CODE) else allowed(len(path))
                 node = self.root
                 for sign in path:
-                    node = node.setdefault(sign, {})
-                node.setdefault(None, []).append((i, position, rank))
+                    node[2] = max(node[2], limit)
+                    node = node[0].setdefault(sign, [{}, [], 0])
+                node[2] = max(node[2], limit)
+                node[1].append((i, position, rank))
                 self.longest = max(self.longest, len(path))
 
-    def within(self, word: str, exact: bool = False) -> list[tuple[int, int, str, str]]:
-        """All (distance, id, position, rank) whose path is within its own length's limit of the word (transpositions are one edit)."""
-        found = []
-        if not word or len(word) > self.longest + 3:
+    def at(self, word: str) -> list[tuple[int, int, str, str]]:
+        """The entries whose path is the word."""
+        node = self.root
+        for sign in word:
+            node = node[0].get(sign)
+            if node is None:
+                return []
+        return [(0, *entry) for entry in node[1]]
+
+    def within(self, word: str) -> list[tuple[int, int, str, str]]:
+        """All (distance, id, position, rank) whose path is within its own length's limit of the word."""
+        found: list[tuple[int, int, str, str]] = []
+        n = len(word)
+        if not n or n > self.longest + MOST_EDITS:
             return found
-        most = 0 if exact else 3
-        first = list(range(len(word) + 1))
-        stack = [(self.root, 0, None, None, first, "")]  # node, depth, row before, sign before, row, sign
+        places: dict[str, int] = {}
+        for i, c in enumerate(word):  # bit i + MOST_EDITS: the band of the first step begins MOST_EDITS - 1 before the value
+            places[c] = places.get(c, 0) | 1 << (i + MOST_EDITS)
+        automaton, mask = self.automaton, (1 << BAND) - 1
+        known, least, bands = automaton.steps, automaton.least, automaton.bands
+        stack = [(self.root, 0, automaton.start)]
         while stack:
-            node, depth, before, _, row, sign = stack.pop()
-            for nxt, branch in node.items():
-                if nxt is None:
-                    if row[-1] <= (0 if exact else allowed(depth)):
-                        found += [(row[-1], *entry) for entry in branch]
-                    continue
-                new = [depth + 1]
-                for j, c in enumerate(word, 1):
-                    v = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != nxt))
-                    if before is not None and j > 1 and c == sign and word[j - 2] == nxt:
-                        v = min(v, before[j - 2] + 1)
-                    new.append(v)
-                if min(new) <= most:
-                    stack.append((branch, depth + 1, row, sign, new, nxt))
+            node, depth, state = stack.pop()
+            for sign, branch in node[0].items():
+                here = places.get(sign, 0) >> depth & mask
+                to = known.get(state << BAND | here)
+                if to is None:
+                    to = automaton.step(state, here)
+                if least[to] <= branch[2]:
+                    if branch[1]:
+                        at = n - depth - 1 + MOST_EDITS
+                        if 0 <= at < BAND and bands[to][at] <= allowed(depth + 1):
+                            found += [(bands[to][at], *entry) for entry in branch[1]]
+                    if branch[0]:
+                        stack.append((branch, depth + 1, to))
         return found
 
-    def match(self, value: str) -> tuple[int, int | None, str]:
-        """(id or 0, distance, how): the closest entry; where several are equally close the position, then the rank decides, else none."""
-        core, position, rank, code = parse(value)
-        hit = self.within(CODE + code, exact=True) if code else []
-        if hit and len({h[1] for h in hit}) == 1:
-            return hit[0][1], 0, "code"
+    def candidates(self, value: str) -> list[tuple[int, int, str, str]]:
+        """All entries within their limits of the entered value; where there are none, its last word may have been part of the name."""
+        core, _, rank, _ = parse(value)
         hits = self.within(core)
-        if not hits and rank:  # the last word may have been part of the name
+        if not hits and rank:
             hits = self.within(parse(re.sub(r"[\s_.]+(?=\S+\s*$)", "", value.rstrip(" .*?")))[0])
+        return hits
+
+    def match(self, value: str) -> tuple[int, int | None, str, list[tuple[int, int]]]:
+        """(id or 0, distance, how, all near (id, distance)): where several are equally close the position, then the rank decides, else none."""
+        _, position, rank, code = parse(value)
+        hits = self.candidates(value)
+        near: dict[int, int] = {}
+        for h in hits:
+            near[h[1]] = min(h[0], near.get(h[1], FAR))
+        all_near = sorted(near.items())
+        hit = self.at(CODE + code) if code else []
+        if hit and len({h[1] for h in hit}) == 1:
+            return hit[0][1], 0, "code", all_near
         if not hits:
-            return 0, None, "none"
+            return 0, None, "none", all_near
         best = min(h[0] for h in hits)
         close = [h for h in hits if h[0] == best]
         for n, told in ((2, position), (3, rank)):
             if len(close) > 1 and told:
                 close = [h for h in close if h[n] == told] or close
         if len({h[1] for h in close}) > 1:
-            return 0, best, "ambiguous"
-        return close[0][1], best, "near" if best else "written"
+            return 0, best, "ambiguous", all_near
+        return close[0][1], best, ("near" if best else "written"), all_near
+
+
+NEAR = "array<struct<formation_id:int,distance:int>>"
 
 
 def _match(entries: list[tuple[int, str, str | None]]):
@@ -126,18 +203,19 @@ def _match(entries: list[tuple[int, str, str | None]]):
                         cache.clear()
                     cache[key] = trie.match(v)
                 out.append(cache[key])
+            near = pa.array([[{"formation_id": i, "distance": d} for i, d in o[3]] for o in out], pa.list_(pa.struct([("formation_id", pa.int32()), ("distance", pa.int32())])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string())],
-                names=["entry", "formation_id", "distance", "how"],
+                [batch.column(0), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string()), near],
+                names=["entry", "formation_id", "distance", "how", "near"],
             )
 
     return run
 
 
 def map_entries(meta: DataFrame, reference: DataFrame, id_col: str = "meta_id", list_col: str = "formations", bound: int = 200_000) -> DataFrame:
-    """(id, pos, entry, formation_id, distance, how) for each entry that is neither null nor blank.
+    """(id, pos, entry, formation_id, distance, how, near) for each entry that is neither null nor blank.
 
-    how: exact (a name of the list), written (the name but for its writing), code, near, ambiguous or none; the last two have
+    near: all entries of the list (formation_id, distance) within the limit of their length, none left out. how: exact (a name of the list), written (the name but for its writing), code, near, ambiguous or none; the last two have
     formation_id 0 and are the ones to report. Each distinct value is looked up once, so a value that a third of all rows share
     costs one search; the join back splits hot values. Null arrays and null ids give no rows; equal rows equal results. The list
     is a bounded table, more than `bound` rows are an error.
@@ -151,7 +229,7 @@ def map_entries(meta: DataFrame, reference: DataFrame, id_col: str = "meta_id",
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     distinct = rows.select("entry").distinct().repartition(parts)  # few bytes but much work each: kept in as many tasks as there are cores
     exact = spark.createDataFrame([(r[1], r[0]) for r in listed], "entry string, exact_id int").dropDuplicates(["entry"])
-    found = distinct.mapInArrow(_match(entries), "entry string, formation_id int, distance int, how string")
+    found = distinct.mapInArrow(_match(entries), f"entry string, formation_id int, distance int, how string, near {NEAR}")
     found = found.join(F.broadcast(exact), "entry", "left")
-    found = found.select("entry", F.coalesce("exact_id", "formation_id").alias("formation_id"), F.when(F.col("exact_id").isNotNull(), 0).otherwise(F.col("distance")).alias("distance"), F.when(F.col("exact_id").isNotNull(), "exact").otherwise(F.col("how")).alias("how"))
-    return rows.join(found, "entry").select(F.col("id").alias(id_col), "pos", "entry", "formation_id", "distance", "how")
+    found = found.select("entry", F.coalesce("exact_id", "formation_id").alias("formation_id"), F.when(F.col("exact_id").isNotNull(), 0).otherwise(F.col("distance")).alias("distance"), F.when(F.col("exact_id").isNotNull(), "exact").otherwise(F.col("how")).alias("how"), "near")
+    return rows.join(found, "entry").select(F.col("id").alias(id_col), "pos", "entry", "formation_id", "distance", "how", "near")

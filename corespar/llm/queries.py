@@ -102,6 +102,17 @@ def p3_unmatched(spark, folder):
 ORACLE["p3_unmatched"] = ORACLE["p3_found"][: ORACLE["p3_found"].index("SELECT meta_id, pos, CAST(coalesce")] + "SELECT v AS entry, CASE WHEN p.id IS NULL THEN 'none' ELSE 'ambiguous' END AS how, count(*) AS count FROM todo LEFT JOIN codes c ON todo.v = c.k LEFT JOIN picked p ON todo.v = p.k WHERE coalesce(c.id, p.id, 0) = 0 GROUP BY ALL"
 
 
+@query
+def p3_candidates(spark, folder):
+    """All entries of the list within the limit of their length, for each value that is not exactly one of them."""
+    mapped = map_entries(table(spark, folder, "global_metadata"), table(spark, folder, "formation_reference"))
+    each = mapped.where("how != 'exact'").select("entry", F.explode("near").alias("n")).select("entry", "n.formation_id", "n.distance")
+    return each.distinct()
+
+
+ORACLE["p3_candidates"] = ORACLE["p3_found"][: ORACLE["p3_found"].index("SELECT meta_id, pos, CAST(coalesce")] + "SELECT k AS entry, id AS formation_id, CAST(min(d) AS INT) AS distance FROM (SELECT * FROM near QUALIFY g = min(g) OVER (PARTITION BY k)) GROUP BY k, id"
+
+
 @query
 def p8_ids(spark, folder):
     return encode_texts(table(spark, folder, "documents"))
