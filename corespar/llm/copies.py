@@ -1,19 +1,24 @@
 """Problem 5: records that differ only in how they are written, collapsed and counted.
 
-The canonical form of a record is a string of bytes. Each partition first counts its own forms in a trie, so a form shared by a
-third of all rows leaves a partition once. What is left is partitioned by its leading characters; a bucket that is too large is
-split by further characters until each fits, and each bucket is counted in a trie with terminal counters.
+The canonical form of a record is a string of characters. Each partition first counts its own forms in tries of bounded size, so a
+form shared by a third of all rows leaves it once. What is left is partitioned by its leading characters; a bucket that is too
+large is split behind the characters that all its forms share, until each bucket fits. Buckets are counted in tries with terminal
+counters, small ones together.
 """
 
 from __future__ import annotations
 
+import os.path
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corespar.session import cut
+from corespar.session import cut, stored
 
 FITS = 65_536  # rows of a bucket that one task takes
+FIRST, FURTHER = 2, 8  # leading characters of the first buckets; characters behind a shared beginning by which a bucket is split
+TRIE_ROWS, TRIE_CHARS = 200_000, 1 << 26  # what one trie of a partition takes before it is given out
 STRIDE = 8  # characters that a branch of the trie stands for
 NOT_ALNUM = r"[^\p{L}\p{N}]"
 LEAST_ALNUM = 40
@@ -55,12 +60,7 @@ class CountingTrie:
                 node[part] = node = {child[0][at : at + STRIDE]: child}
 
 
-def _local(batches):
-    """Count a partition's forms; copies leave as (id, first) pairs, forms once."""
-    trie, seen = CountingTrie(), []
-    for batch in batches:
-        for i, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen.append((i, trie.add(key, i)))
+def _counted(trie: CountingTrie, seen: list[tuple[int, list]]):
     leaves, copies = trie.leaves, [(i, leaf[2]) for i, leaf in seen if leaf[1] > 1 and i != leaf[2]]
     for a in range(0, len(leaves), 10_000):
         part = leaves[a : a + 10_000]
@@ -70,32 +70,57 @@ def _local(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.string())], names=["id", "of", "copies", "form"])
 
 
+def _local(batches):
+    """Count a partition's forms, a bounded number at a time; copies leave as (id, first) pairs, forms once."""
+    trie, seen, chars = CountingTrie(), [], 0
+    for batch in batches:
+        for i, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            seen.append((i, trie.add(key, i)))
+            chars += len(key)
+        if len(seen) >= TRIE_ROWS or chars >= TRIE_CHARS:
+            yield from _counted(trie, seen)
+            trie, seen, chars = CountingTrie(), [], 0
+    yield from _counted(trie, seen)
+
+
 def _count(table: pa.Table) -> pa.Table:
-    ids, of = table.column("id").to_pylist(), table.column("of").to_pylist()
-    forms, copies = table.column("form").to_pylist(), table.column("copies").to_pylist()
+    ids, forms, copies = (table.column(c).to_pylist() for c in ("id", "form", "copies"))
     trie = CountingTrie()
-    leaf_of = [trie.add(f, i, n) if f is not None else None for i, f, n in zip(ids, forms, copies)]
-    return pa.table(
-        {
-            "id": pa.array(ids, pa.int64()),
-            "of": pa.array([o if leaf is None else leaf[2] for o, leaf in zip(of, leaf_of)], pa.int64()),
-            "copies": pa.array([None if leaf is None else leaf[1] for leaf in leaf_of], pa.int64()),
-        }
-    )
+    leaf_of = [trie.add(f, i, n) for i, f, n in zip(ids, forms, copies)]
+    return pa.table({"id": pa.array(ids, pa.int64()), "of": pa.array([leaf[2] for leaf in leaf_of], pa.int64()), "copies": pa.array([leaf[1] for leaf in leaf_of], pa.int64())})
 
 
-def _prefix(form: Column, depth) -> Column:
-    """The hash of a prefix; prefixes that it takes for one are split or counted together, which changes no result."""
-    return F.xxhash64(F.substring(form, F.lit(1), F.lit(depth) if isinstance(depth, int) else depth))
+def _behind(batches):
+    """How many characters tell the forms of a bucket apart, from its least and greatest form."""
+    for batch in batches:
+        depth = [len(os.path.commonprefix([a, b])) + FURTHER for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(depth, pa.int32())], names=["bucket", "next"])
+
 
+def _in_buckets(forms: DataFrame, fits: int) -> DataFrame:
+    """The forms with a bucket: a hash of so many leading characters that at most `fits` different forms share it.
 
-def _bucket(form: Column, split: list[tuple[int, int]]) -> Column:
-    """The prefix of the form that no oversized prefix (length, hash) extends."""
-    depth = F.lit(2)
-    for length in sorted({n for n, _ in split}):
-        long = [h for n, h in split if n == length]
-        depth = F.when(_prefix(form, length).isin(long), F.lit(length * 2)).otherwise(depth)
-    return F.when(form.isNotNull(), F.concat_ws(".", depth, _prefix(form, depth)))
+    A round counts buckets; only rows of those too large are written and looked at again. Their numbers stay in tables that are
+    joined. A bucket of equal forms isn't split; that is what each trie gave out once. Different prefixes of one hash share a bucket,
+    which changes no result.
+    """
+    open_, done = forms.withColumn("depth", F.lit(FIRST)), []
+    while True:
+        keyed = open_.withColumn("bucket", F.xxhash64(F.expr("substring(form, 1, depth)"), "depth"))
+        large = stored(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > fits).select("bucket"))
+        if large.limit(1).count() == 0:
+            done.append(keyed)
+            break
+        ends = keyed.join(large, "bucket", "left_semi").groupBy("bucket").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a != b")
+        split = stored(ends.mapInArrow(_behind, "bucket bigint, next int"))
+        done.append(keyed.join(split, "bucket", "left_anti").select(*keyed.columns))
+        if split.limit(1).count() == 0:
+            break
+        open_ = stored(keyed.join(split, "bucket").select(*forms.columns, F.col("next").alias("depth")))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def collapse(df: DataFrame, id_col: str = "element_id", type_col: str = "type", content_col: str = "content", least: int = LEAST_ALNUM, fits: int = FITS) -> DataFrame:
@@ -109,25 +134,13 @@ def collapse(df: DataFrame, id_col: str = "element_id", type_col: str = "type",
     forms = rows.where("id is not null").select("id", canonical(F.col("type"), F.col("content")).alias("form"))
     alnum = F.length(F.regexp_replace(F.element_at(F.split("form", "\x1d"), 1), "[\x1e\x1f]", ""))
     forms = forms.where(F.col("form").isNotNull() & (alnum >= least))
-    split: list[tuple[int, int]] = []
-    depth, over = 2, forms
-    while True:  # ends at the longest form, where all forms of a prefix are equal
-        # at most rows / fits prefixes can be oversized; a prefix of which all forms are equal is counted by the partitions
-        sizes = over.groupBy(_prefix(F.col("form"), depth).alias("p")).agg(F.count("*").alias("n"), F.min("form").alias("a"), F.max("form").alias("b"))
-        large = [r["p"] for r in sizes.where((F.col("n") > fits) & (F.col("a") != F.col("b"))).select("p").collect()]
-        if not large:
-            break
-        split += [(depth, p) for p in large]
-        over = forms.where(_prefix(F.col("form"), depth).isin(large))
-        depth *= 2
-    local = spread_forms(rows, forms).mapInArrow(_local, "id bigint, of bigint, copies bigint, form string")
-    bucket = F.coalesce(_bucket(F.col("form"), split), F.concat(F.lit("\x1d"), F.pmod(F.xxhash64("id"), F.lit(256)).cast("string")))
-    counted = cut(local.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_count, "id bigint, of bigint, copies bigint"))
-    kept = counted.where("copies is not null")
-    members = counted.where("copies is null").select("id", F.col("of").alias("local"))
-    of_local = kept.select(F.col("id").alias("local"), "of", "copies")
-    joined = members.join(of_local, "local").select("id", F.col("of").alias("first_id"), "copies")
-    return kept.select("id", F.col("of").alias("first_id"), "copies").unionByName(joined).withColumnRenamed("id", id_col)
+    local = stored(spread_forms(rows, forms).mapInArrow(_local, "id bigint, of bigint, copies bigint, form string"))
+    own = local.where("copies is not null").select("id", "copies", "form")
+    bins = max(64, 2 * own.count() // fits)  # small buckets are counted together
+    counted = cut(_in_buckets(own, fits).withColumn("bin", F.pmod("bucket", F.lit(bins))).groupBy("bin").applyInArrow(_count, "id bigint, of bigint, copies bigint"))
+    members = local.where("copies is null").select("id", F.col("of").alias("local"))
+    joined = members.join(counted.select(F.col("id").alias("local"), "of", "copies"), "local").select("id", F.col("of").alias("first_id"), "copies")
+    return counted.select("id", F.col("of").alias("first_id"), "copies").unionByName(joined).withColumnRenamed("id", id_col)
 
 
 def spread_forms(rows: DataFrame, forms: DataFrame) -> DataFrame:
