@@ -1,8 +1,9 @@
 """Problem 10: personal items inside free text, and their typed, format-preserving pseudonyms.
 
 Spans are found by patterns in one pass over each whole text, inside Arrow batches. Placeholders keep their type and a pseudonym:
-numbers are permuted within their own format by a keyed Feistel network, so the same value has the same pseudonym in every
-document and nothing has to be looked up, joined or shuffled.
+numbers and dates are permuted within their own format by a keyed Feistel network, so the same value has the same pseudonym in
+every document and nothing has to be looked up, joined or shuffled. Where a format has a check (the eleven test, the areas and
+groups of a social security number, the calendar), a value that passes it gets one that passes it, and one that fails one that fails.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect
 from collections.abc import Iterator
+from datetime import date
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,7 +24,6 @@ from corespar.tables import spread
 
 # Forms of the items.
 EMAIL_MARK = r"@|\(at\)|\[at\]"
-EMAIL_LOCAL = r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]*\s?$"
 EMAIL_HOST = r"\s?[A-Za-z0-9-]+(?:(?:\.|\[dot\]|\(dot\))[A-Za-z0-9-]+)*(?:\.|\[dot\]|\(dot\))[A-Za-z]{2,}"
 PHONE = (
     r"\+\d{1,4}(?:[ ./-]?\(\d{1,4}\)|[ ./-]?\d)(?:[ ./-]?\d){6,11}"  # international, with plus
@@ -52,12 +54,36 @@ PARTICLES = r"(?:(?:de|van|von|der|den|du|la|le|ten|ter|zu|DE|VAN|VON|DER|DEN|DU
 FAMILY = r"(?!Signed\b|Contact\b|Present\b|Name\b)[A-ZÀ-ÖØ-Þ][\w'’]+(?:-[A-Z][\w'’]+)?"
 
 PHONE_RX = re.compile(rf"(?<![\w.+/(-])(?:{PHONE})(?![\w/]|[.,-]\d| \d)")
-MARK_RX, LOCAL_RX, HOST_RX = re.compile(EMAIL_MARK), re.compile(EMAIL_LOCAL), re.compile(EMAIL_HOST)
-LONGEST_LOCAL = 80  # characters before the mark in which a local part is looked for (64 at most by the standard)
+MARK_RX, HOST_RX = re.compile(EMAIL_MARK), re.compile(EMAIL_HOST)
 LABELS = "|".join(f"{x}|{x[0].upper()}{x[1:]}|{x.upper()}" for x in ID_LABEL.split("|"))
 ID_RX = re.compile(rf"(?<!\w)(?:{LABELS})(?: (?:no|nr|number|n°|nummer|num[eé]ro)\b\.?| n°| no\.| nr\.)?[ :=#]*(?P<v>{ID_VALUE})")
 ADDRESS_RX = re.compile(rf"(?<![\w.-])(?:{ADDRESS}){TOWN}")
-BEFORE_RX = re.compile(rf"(?<![\w@.+°-])({FAMILY}), \Z")
+FAMILY_RX = re.compile(FAMILY)
+BIRTH = r"(?:born(?: on)?|date of birth|d\.o\.b\.|geboren(?: op| am)?|geboortedatum|geburtsdatum|née? le|date de naissance)"
+DATE_RX = re.compile(rf"(?i:\b{BIRTH})[ :]*(?P<v>\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}([./-])\d{{2}}\2\d{{4}})(?!\d)")
+
+
+def local_part(text: str, end: int) -> int | None:
+    """Where the local part of an e-mail address begins that ends before `end` (a space may stand between); None without one."""
+    at = end = end - 1 if end and text[end - 1].isspace() else end
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_.+-"):
+        at -= 1
+    return at if at < end and (text[at] == "_" or text[at].isascii() and text[at].isalnum()) else None
+
+
+def family_before(text: str, start: int) -> tuple[int, str] | None:
+    """The family name, and its place, of "Family, Given", where the given name begins at `start`."""
+    if text[max(0, start - 2) : start] != ", ":
+        return None
+    at = end = start - 2
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_'’-"):
+        at -= 1
+    for i in range(at, end):
+        if i and (text[i - 1].isalnum() or text[i - 1] in "_@.+°-"):
+            continue
+        if FAMILY_RX.fullmatch(text, i, end):
+            return i, text[i:end]
+    return None
 
 
 def names_rx(given: list[str]) -> tuple[re.Pattern, re.Pattern]:
@@ -73,10 +99,20 @@ def _eleven(digits: str) -> bool:
     return sum(int(d) * w for d, w in zip(digits, (9, 8, 7, 6, 5, 4, 3, 2, -1))) % 11 == 0
 
 
+def _social(digits: str) -> bool:
+    """Areas, groups and serials that a US social security number can have."""
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+# Checks by layout: three, two and four digits apart, or nine digits however they are parted.
+CHECKS = [(re.compile(r"\d{3}[ -]\d{2}[ -]\d{4}"), _social), (re.compile(r"\d{9}|\d{4}\.\d{2}\.\d{3}"), _eleven)]
+
+
 class Finder:
     """Finds the spans of one text; the word lists are bounded tables passed in once per task."""
 
-    def __init__(self, given: list[str], family: list[str], ordinary: list[str]):
+    def __init__(self, given: list[str], family: list[str], ordinary: list[str], dates: bool = False):
+        self.dates = dates
         self.by_given, self.by_sign = names_rx(given)
         self.family = {x.lower() for x in family}
         self.ordinary = {x.lower() for x in ordinary}
@@ -84,10 +120,9 @@ class Finder:
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         found: list[tuple[str, int, int]] = []
         for m in MARK_RX.finditer(text):
-            from_ = max(0, m.start() - LONGEST_LOCAL)
-            local, host = LOCAL_RX.search(text[from_ : m.start()]), HOST_RX.match(text, m.end())
-            if local and host:
-                found.append(("email", from_ + local.start(), host.end()))
+            local, host = local_part(text, m.start()), HOST_RX.match(text, m.end())
+            if local is not None and host:
+                found.append(("email", local, host.end()))
         for m in ID_RX.finditer(text):
             value = m.group("v")
             if value.upper() == value and sum(c.isdigit() for c in value) >= 5:
@@ -95,20 +130,25 @@ class Finder:
         found += [("phone", m.start(), m.end()) for m in PHONE_RX.finditer(text)]
         found += [("address", m.start(), m.end()) for m in ADDRESS_RX.finditer(text)]
         found += [("name", a, b) for a, b in self._names(text)]
-        rank = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
-        kept: list[tuple[str, int, int]] = []
+        if self.dates:
+            found += [("date", m.start("v"), m.end("v")) for m in DATE_RX.finditer(text)]
+        rank = {"email": 0, "id_number": 1, "phone": 2, "date": 3, "address": 4, "name": 5}
+        starts: list[int] = []
+        kept: list[tuple[str, int, int]] = []  # in the order of their places; only neighbours can overlap
         for item in sorted(found, key=lambda s: (rank[s[0]], s[1], -s[2])):
-            if all(item[2] <= a or item[1] >= b for _, a, b in kept):
-                kept.append(item)
-        return sorted(kept, key=lambda s: s[1])
+            at = bisect(starts, item[1])
+            if (not at or kept[at - 1][2] <= item[1]) and (at == len(kept) or kept[at][1] >= item[2]):
+                starts.insert(at, item[1])
+                kept.insert(at, item)
+        return kept
 
     def _names(self, text: str) -> Iterator[tuple[int, int]]:
         for m in self.by_given.finditer(text):
             rest = m.group("rest")
             whole = rest is not None and rest.split()[-1].lower() not in self.ordinary
-            before = BEFORE_RX.search(text, max(0, m.start() - 60), m.start())  # Family, Given
-            if before and before.group(1).lower() not in self.ordinary and (not whole or before.group(1).isupper()):
-                yield before.start(1), m.start() + len(m.group(0)) - len(rest or "")
+            before = family_before(text, m.start())
+            if before and before[1].lower() not in self.ordinary and (not whole or before[1].isupper()):
+                yield before[0], m.start() + len(m.group(0)) - len(rest or "")
             elif whole:
                 yield m.start(), m.end()
         for m in self.by_sign.finditer(text):
@@ -145,20 +185,47 @@ def feistel(value: int, size: int, key: bytes, tweak: str, rounds: int = 8) -> i
             return value
 
 
+FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
+
+
+def _other_date(value: str, key: bytes) -> str | None:
+    """A date of 1900 to 2099 permuted among these days, in its own layout; None for what is none."""
+    parts = re.split(r"[./-]", value)
+    year_first = len(parts[0]) == 4
+    try:
+        day = date(*map(int, parts if year_first else parts[::-1])).toordinal() - FIRST_DAY
+    except ValueError:
+        return None
+    if not 0 <= day < DAYS:
+        return None
+    other = date.fromordinal(FIRST_DAY + feistel(day, DAYS, key, "date"))
+    mark = value[4] if year_first else value[2]
+    fresh = [f"{other.year:04d}", f"{other.month:02d}", f"{other.day:02d}"]
+    return mark.join(fresh if year_first else fresh[::-1])
+
+
 def pseudonym(value: str, kind: str, key: bytes) -> str:
     """The value with its letters and digits permuted within their own format; layout and letter case stay.
 
-    Numbers equal but for their layout get the same digits. Names, addresses and e-mail addresses have no format to keep: they
-    get a keyed tag, which is equal for values equal but for case and spaces.
+    Numbers equal but for their layout get the same digits. A number of a layout with a check is permuted among those that
+    pass it, or among those that don't, as it does itself; dates among dates. Names, addresses and e-mail addresses have no format to
+    keep: they get a keyed tag of 128 bits, which is equal for values equal but for case and spaces; so does a date that is none.
     """
+    if kind == "date" and (other := _other_date(value, key)):
+        return other
     if kind in ("phone", "id_number"):
+        check = next((c for layout, c in CHECKS if kind == "id_number" and layout.fullmatch(value)), None)
         signs = [c for c in value if c in "0123456789" or c.upper() in LETTERS]
         size = number = 0
         size = 1
         for c in signs:
             base, digit = (10, int(c)) if c in "0123456789" else (26, LETTERS.index(c.upper()))
             size, number = size * base, number * base + digit
+        digits = len(signs)
+        passes = check is not None and check(f"{number:0{digits}d}")
         number = feistel(number, size, key, kind)
+        while check is not None and check(f"{number:0{digits}d}") != passes:
+            number = feistel(number, size, key, kind)
         fresh = []
         for c in reversed(signs):
             base = 10 if c in "0123456789" else 26
@@ -166,7 +233,7 @@ def pseudonym(value: str, kind: str, key: bytes) -> str:
             fresh.append(str(digit) if base == 10 else (LETTERS[digit] if c.isupper() else LETTERS[digit].lower()))
         it = iter(reversed(fresh))
         return "".join(next(it) if (c in "0123456789" or c.upper() in LETTERS) else c for c in value)
-    return f"{_mac(key, kind, ' '.join(value.lower().split())) % 16**8:08x}"
+    return f"{_mac(key, kind, ' '.join(value.lower().split())):032x}"
 
 
 def mask(text: str, spans: list[tuple[str, int, int]], make) -> str:
@@ -193,9 +260,9 @@ def _find(lists: tuple[list[str], list[str], list[str]]):
     return run
 
 
-def _mask(lists: tuple[list[str], list[str], list[str]], key: bytes):
+def _mask(lists: tuple[list[str], list[str], list[str]], key: bytes, dates: bool):
     def run(batches):
-        finder = Finder(*lists)
+        finder = Finder(*lists, dates=dates)
         make = lru_cache(100_000)(lambda value, kind: pseudonym(value, kind, key))
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -227,7 +294,10 @@ def find_personal(docs: DataFrame, lists: tuple[list[str], list[str], list[str]]
     return spread(rows).mapInArrow(_find(lists), "id bigint, pii_type string, start_pos int, end_pos int").withColumnRenamed("id", id_col)
 
 
-def mask_personal(docs: DataFrame, lists: tuple[list[str], list[str], list[str]], key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, masked, n_items): each text with its items replaced by [TYPE:pseudonym]; a null text stays null, an empty one empty."""
+def mask_personal(docs: DataFrame, lists: tuple[list[str], list[str], list[str]], key: str, id_col: str = "doc_id", text_col: str = "text", dates: bool = False) -> DataFrame:
+    """(id, masked, n_items): each text with its items replaced by [TYPE:pseudonym]; a null text stays null, an empty one empty.
+
+    With `dates` labelled dates of birth are replaced too. Who knows `key` can tell the values from their pseudonyms.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return spread(rows).mapInArrow(_mask(lists, key.encode()), "id bigint, masked string, n_items int").withColumnRenamed("id", id_col)
+    return spread(rows).mapInArrow(_mask(lists, key.encode(), dates), "id bigint, masked string, n_items int").withColumnRenamed("id", id_col)
