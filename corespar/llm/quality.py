@@ -114,6 +114,17 @@ class LineModel:
         return share / share.sum()
 
 
+WORD_BOUND = 100_000  # rows of a word list, which is sent to every task; more is an error
+
+
+def listed(words: DataFrame) -> list[str]:
+    """The words of a list in lower case."""
+    found = words.select("word").where("word is not null").limit(WORD_BOUND + 1).collect()
+    if len(found) > WORD_BOUND:
+        raise ValueError(f"a word list has more than {WORD_BOUND} rows")
+    return [r[0].lower() for r in found]
+
+
 def _classify(model: LineModel, common: frozenset[str], known: frozenset[str]):
     def run(batches):
         for batch in batches:
@@ -139,8 +150,8 @@ def classify_texts(elements: DataFrame, labels: DataFrame, common_words: DataFra
     elements; without any label every text is prose. Texts are read whole. Equal shares go to the first class in the order of
     CLASSES; repeated labels of an element count as often as they stand there. Other columns aren't read.
     """
-    common = frozenset(r[0].lower() for r in common_words.select("word").where("word is not null").limit(100_000).collect())
-    known = common | frozenset(r[0].lower() for r in lexicon.select("word").where("word is not null").limit(100_000).collect())
+    common = frozenset(listed(common_words))
+    known = common | frozenset(listed(lexicon))
     picked = labels.where(F.col("text_class").isin(*CLASSES) & F.col("element_id").isNotNull()).orderBy(F.xxhash64("element_id"), "element_id").limit(LABELLED)
     rows = _text_elements(elements).join(F.broadcast(picked.select(F.col("element_id").alias("id"), "text_class")), "id").orderBy("id").collect()
     model = LineModel.fit([r["content"] for r in rows], [r["text_class"] for r in rows], common, known)
@@ -155,14 +166,13 @@ def text_statistics(elements: DataFrame, common_words: DataFrame) -> DataFrame:
     Contents as in classify_texts; a text without words has mean length and share 0. The word list is bounded and broadcast as
     an array.
     """
-    listed = sorted({r[0].lower() for r in common_words.select("word").where("word is not null").limit(100_000).collect()})
     content = F.col("content")
     words: Column = F.regexp_extract_all(F.lower(content), F.lit(r"\p{L}+"), 0)
     rows = _text_elements(elements).select("id", content, words.alias("words"))
     lines = F.filter(F.split(content, "\n"), lambda x: F.length(F.trim(F.regexp_replace(x, r"\s+", " "))) > 0)
     n = F.size("words")
     per = lambda a, b: F.when(b > 0, F.round(a / b, 6)).otherwise(F.lit(0.0))
-    common = F.array(*[F.lit(w) for w in listed])
+    common = F.array(*[F.lit(w) for w in sorted(set(listed(common_words)))])
     return rows.select(
         F.col("id").alias("element_id"),
         n.cast("long").alias("n_words"),
