@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ from .quality import classify_texts, text_statistics
 from .scans import repair_scans
 from .similar import similar_pairs, similar_vectors
 
+_SECRET = secrets.token_bytes(16)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -56,7 +59,9 @@ def p10_found(spark, folder):
 
 @query
 def p10_masked(spark, folder):
-    return mask_personal(table(spark, folder, "documents"), _lists(spark, folder), key="documents-v1")
+    """Keyed by spark.corespar.pseudonym.key; where that is unset by a key of the application, so values are linked within its results only."""
+    key = spark.conf.get("spark.corespar.pseudonym.key", None) or hashlib.sha256(_SECRET + spark.sparkContext.applicationId.encode()).hexdigest()
+    return mask_personal(table(spark, folder, "documents"), _lists(spark, folder), key)
 
 
 @query
@@ -236,3 +241,37 @@ def p9_mix(spark, folder):
 def p9_shares(spark, folder):
     targets = table(spark, folder, "mix_targets")
     return mixture_shares(mix_sources(table(spark, folder, "documents"), targets), targets)
+
+
+def _by_characters(spark, folder):
+    return table(spark, folder, "documents").withColumn("size", F.length("text"))
+
+
+@query
+def p9_characters(spark, folder):
+    """The selection with characters as sizes."""
+    return mix_sources(_by_characters(spark, folder), table(spark, folder, "mix_targets"), size_col="size").select("doc_id", "source", "use_no", F.col("n_tokens").alias("size"))
+
+
+@query
+def p9_total(spark, folder):
+    """Shares really reached when a total is given, as many characters as the listed sources have: sources that max_repeats leaves short are seen."""
+    docs, targets = _by_characters(spark, folder), table(spark, folder, "mix_targets")
+    total = docs.join(targets.select("source").distinct(), "source", "left_semi").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shares = mixture_shares(mix_sources(docs, targets, total_tokens=total, size_col="size"), targets)
+    return shares.select("source", F.round("target_share", 6).alias("target_share"), "max_repeats", F.col("tokens").alias("size"), "records", "most_uses", F.round("actual_share", 6).alias("actual_share"))
+
+
+def _mix_sql(total: str) -> str:
+    return f"""WITH t AS (SELECT source, sum(target_share) AS w, max(max_repeats) AS r FROM mix_targets GROUP BY source),
+d AS (SELECT doc_id, source, length(text) AS n, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS h FROM documents SEMI JOIN t USING (source) WHERE length(text) > 0),
+a AS (SELECT source, sum(n)::BIGINT AS a FROM d GROUP BY source), g AS (SELECT source, a, r, w / sum(w) OVER () AS w FROM a JOIN t USING (source)),
+q AS (SELECT source, a, r, CAST(floor(least(({total}) * w, a * r) + 1e-6) AS BIGINT) AS quota FROM g),
+p AS (SELECT d.*, a, r, quota, sum(n) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - n AS start FROM d JOIN q USING (source)),
+u AS (SELECT doc_id, source, n, CAST(least(floor((quota - start - n / 2) / a) + 1, r) AS INT) AS uses FROM p WHERE quota - start - n / 2 >= 0)
+"""
+
+
+ORACLE["p9_characters"] = _mix_sql("SELECT min(a * r / w) FROM g") + "SELECT doc_id, source, CAST(unnest(range(uses)) AS INT) AS use_no, n AS size FROM u"
+ORACLE["p9_total"] = _mix_sql("SELECT sum(a) FROM a") + """, s AS (SELECT source, sum(n * uses)::BIGINT AS size, count(*) AS records, max(uses) AS most_uses FROM u GROUP BY source)
+SELECT source, round(w, 6) AS target_share, r AS max_repeats, coalesce(size, 0) AS size, coalesce(records, 0) AS records, coalesce(most_uses, 0) AS most_uses, round(coalesce(size, 0) / sum(coalesce(size, 0)) OVER (), 6) AS actual_share FROM t LEFT JOIN s USING (source)"""

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from corespar.llm.canonical import Trie, allowed, map_entries, parse
 from corespar.llm.copies import CountingTrie, collapse
 from corespar.llm.pii import Finder, feistel, find_personal, mask, mask_personal, pseudonym
 from corespar.llm.quality import CLASSES, classify_texts, text_statistics
-from corespar.llm.scans import Channel, Repair, line_key, repair_scans, roman
+from corespar.llm.scans import Bigrams, Channel, Repair, confusion_costs, line_key, repair_scans, roman
 
 REFERENCE = [(1, "Upper Neldbroom Limestone", "NLDU"), (2, "Lower Neldbroom Limestone", "NLDL"), (3, "Honbeernlin Claystone", "HNBC"), (4, "Raagrustmem Claystone", "RGRC"), (5, "Konvoorn Sandstone", "KNVS")]
 
@@ -158,11 +159,37 @@ def test_headers_and_context():
     assert line_key("within the model. The pump") is None and roman(49) == "xlix"
     # two candidates for one reading: the bigram decides
     words = ["the", "of", "bit", "hit", "drill", "song"]
-    c = Channel(words, {(sorted(words).index("drill"), sorted(words).index("bit")): 50, (sorted(words).index("song"), sorted(words).index("hit")): 50})
+    place = {w: i for i, w in enumerate(sorted(words))}
+    c = Channel(words, Bigrams(len(words), np.array([place["drill"] * 6 + place["bit"], place["song"] * 6 + place["hit"]]), np.array([50, 50])))
     assert c.decode([[("drill", 0)], [("bit", 1), ("hit", 1)]])[1] == "bit"
     assert c.decode([[("song", 0)], [("bit", 1), ("hit", 1)]])[1] == "hit"
 
 
+def test_words_of_the_lexicon_are_doubted():
+    """A misreading that is a word itself: read as it is, unless the words around it speak for the other one."""
+    words = sorted(["the", "burn", "bum", "was", "hot", "test"])
+    pair = lambda a, b: words.index(a) * len(words) + words.index(b)
+    follows = Bigrams(len(words), np.array([pair("the", "burn"), pair("burn", "was"), pair("was", "hot")]), np.array([2000, 2000, 10]))
+    assert Repair(Channel(words, follows)).words("the bum was hot") == ("the burn was hot", True)
+    assert Repair(Channel(words)).words("the bum was hot") == ("the bum was hot", False)
+
+
+def test_any_number_of_confusions():
+    word = "hydromineralwaterinstallation" * 3
+    read = word.replace("m", "rn").replace("w", "vv").replace("s", "5").replace("i", "1").replace("o", "0")
+    channel = Channel([word, "water"])
+    assert channel.candidates(read)[0][0] == word and channel.candidates("x" * 10_000) == [] and channel.candidates(word[:-1]) == []
+
+
+def test_confusions_are_estimated(spark):
+    lexicon = ["pump", "model", "station"]
+    rows = [("the purnp and the mode1 station pump",)] * 30 + [("purnp",)] * 20 + [("pump model",)] * 50 + [(None,), ("",)]
+    scanned = spark.createDataFrame(rows, "content string").where("content is not null")
+    costs = confusion_costs(scanned, lexicon)
+    assert costs["m", "rn"] < costs["l", "1"] < costs["w", "vv"] if ("w", "vv") in costs else costs["m", "rn"] < costs["l", "1"]
+    assert costs["m", "rn"] == pytest.approx(-np.log((50 + 1) / (50 + 30 + 50 + 50 + 100)))
+
+
 def test_scans_on_spark(spark):
     schema = "element_id long, source string, type string, content string, page int, attrs map<string,string>, key long, headers string"
     ocr = {"extractor": "ocr"}
@@ -253,6 +280,37 @@ def test_personal_on_spark(spark):
     masked = {r.doc_id: r for r in mask_personal(df, lists, "key").collect()}
     assert masked[2].masked is None and masked[3].masked == "" and masked[2].n_items == 0
     m = masked[1].masked
-    assert re.fullmatch(r"Ring \[NAME:[0-9a-f]{8}\] on \[PHONE:\d{5} \d{6}\]\.", m) and masked[5].masked.endswith(m)
+    assert re.fullmatch(r"Ring \[NAME:[0-9a-f]{32}\] on \[PHONE:\d{5} \d{6}\]\.", m) and masked[5].masked.endswith(m)
     assert find_personal(df.limit(0), lists).count() == 0
     assert mask("ab", [], None) == "ab"
+
+
+def test_checked_numbers_stay_checked():
+    """Values that pass their format's check get such values, one to one; dates get dates in their layout."""
+    from corespar.llm.pii import _eleven, _social
+
+    good = [f"{n:09d}" for n in range(10_000_000, 10_003_000) if _eleven(f"{n:09d}")]
+    made = [pseudonym(v, "id_number", b"k") for v in good]
+    assert all(_eleven(v) for v in made) and len(set(made)) == len(good)
+    assert not _eleven(pseudonym("010000001", "id_number", b"k"))
+    assert _social(pseudonym("123-45-6789", "id_number", b"k").replace("-", "")) and not _social(pseudonym("000-45-6789", "id_number", b"k").replace("-", ""))
+    days = [f"{d:02d}.0{m}.1980" for d in range(1, 29) for m in range(1, 10)]
+    fresh = [pseudonym(v, "date", b"k") for v in days]
+    assert len(set(fresh)) == len(days) and all(re.fullmatch(r"\d\d\.\d\d\.(19|20)\d\d", v) for v in fresh)
+    assert len(pseudonym("31.02.1980", "date", b"k")) == 32 and len(pseudonym("Jan Jansen", "name", b"k")) == 32
+    finder = Finder(["Jan"], ["Jansen"], ["the"], dates=True)
+    assert finder.spans("Jan Jansen, born on 03-04-1971, left on 05-06-2001.") == [("name", 0, 10), ("date", 20, 30)]
+
+
+def test_held_out_texts():
+    """Items in texts of other kinds than the test data's, and look-alikes that are none."""
+    finder = Finder(["Maria", "Tom"], ["Okafor"], ["the", "after", "call"])
+    for text, want in [
+        ("Write to " + "a" * 200 + "@example.org today", [("email", 9, 221)]),
+        ("Okonkwo, Maria signed", [("name", 0, 14)]),
+        ("call Tom after the test", []),
+        ("SSN 123-45-6789 was checked", [("id_number", 4, 15)]),
+        ("the gauge 123-45-6789 was checked", []),
+        ("meet at 12 Harbour Road, and 3 m below", [("address", 8, 23)]),
+    ]:
+        assert [x for x in finder.spans(text)] == want, text

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corespar.llm.encode import PIECES, VOCABULARY, Encoder, encode_texts, read_ranks
-from corespar.llm.mixing import mix_sources, mixture_shares, pfair, source_quotas
+from corespar.llm.mixing import CYCLE, mix_sources, mixture_shares, pfair, schedule, source_quotas
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary files")
 
@@ -50,18 +50,29 @@ def test_on_spark(spark, tools):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 50), min_size=1, max_size=8))
-def test_pfair_stays_within_a_block(parts):
-    weights = {f"s{i}": p / sum(parts) for i, p in enumerate(parts)}
-    slots = 200
-    plan = pfair(weights, {s: int(w * slots) + 1 for s, w in weights.items()})
+@given(st.lists(st.integers(0, 90), min_size=1, max_size=8))
+def test_pfair_stays_within_a_block(counts):
+    plan, done = pfair(counts), Counter()
+    assert Counter(i for i, _ in plan) == {i: n for i, n in enumerate(counts) if n}
+    for slot, (i, j) in enumerate(plan):
+        assert j == done[i]
+        done[i] += 1
+        assert all(abs(done[x] - n * (slot + 1) / sum(counts)) < 1 for x, n in enumerate(counts))
+
+
+def test_cycles_follow_the_shares(spark):
+    """Over many cycles each block has one slot and no source is two blocks off; at the ends of cycles not even one."""
+    blocks = {"a": 9_000, "b": 4_321, "c": 77, "d": 1, "none": 0}
+    total = sum(blocks.values())
+    plan = sorted(schedule(spark, blocks).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in plan] == list(range(total))
     done = Counter()
-    assert len({slot for *_, slot in plan}) == len(plan)
-    for n, (s, j, slot) in enumerate(sorted(plan, key=lambda p: p[2])):
-        assert j == done[s]
-        done[s] += 1
-        if slot < slots and n == slot:  # while no source has run out
-            assert all(abs(done[x] - w * (slot + 1)) < 1 + 1e-6 for x, w in weights.items())
+    for r in plan:
+        assert r.block == done[r.source]
+        done[r.source] += 1
+        off = max(abs(done[s] - n * (r.slot + 1) / total) for s, n in blocks.items())
+        assert off < (1 if (r.slot + 1) % CYCLE == 0 else 2)
+    assert schedule(spark, {}).count() == 0
 
 
 def test_quotas():
