@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUDGET, SOURCES, SNIPPET = 3000, 5, 150
-REFUSALS = r"don't have|cannot find|not available|no information"
+# What a stated confidence, a refusal, a value and a well of an answer look like.
+CONFIDENCE = (r"confidence[:\s]+(\d+)%", r"(\d+)%\s*confident", r"confidence[:\s]+(\d+)/100")
+REFUSALS = r"don't have|not contain"
+VALUE = r"\d+(?:\.\d+)?\s*[a-z°]+"
 ANSWER_WELL = r"\b[A-Z]{2,4}[-_][A-Z]{1,3}[-_]\d{1,3}\b"
 
 
@@ -36,7 +39,7 @@ def sources(ranked: DataFrame, most: int = SOURCES) -> DataFrame:
 
 def confidence(answer: Column) -> Column:
     """A stated percentage over 100, at most 1; else 0.7 for long answers that don't refuse, 0.1 for refusals, 0.5."""
-    stated = F.coalesce(*[F.nullif(F.regexp_extract(answer, p, 1), F.lit("")) for p in (r"(?i)confidence[:\s]+(\d+)%", r"(?i)(\d+)% confident", r"(?i)confidence[:\s]+(\d+)/100")])
+    stated = F.coalesce(*[F.nullif(F.regexp_extract(answer, "(?i)" + p, 1), F.lit("")) for p in CONFIDENCE])
     lower = F.lower(answer)
     refuses = F.contains(lower, F.lit("don't")) | F.contains(lower, F.lit("cannot"))
     return F.when(stated.isNotNull(), F.least(stated.cast("double") / 100, F.lit(1.0))).when((F.length(answer) > 100) & ~F.contains(lower, F.lit("don't")), 0.7).when(refuses, 0.1).otherwise(0.5)
@@ -47,8 +50,8 @@ def band(score: Column) -> Column:
 
 
 def value_ratio(answer: Column, context: Column) -> Column:
-    """Share of the answer's value tokens (a number with the letters after it) that the context contains; 1 without any."""
-    values = F.regexp_extract_all(F.lower(answer), F.lit(r"\d+(?:\.\d+)?\s*[a-z°]+"), 0)
+    """Share of the answer's different value tokens (a number with the letters after it) that the context contains; 1 without any."""
+    values = F.array_distinct(F.regexp_extract_all(F.lower(answer), F.lit(VALUE), 0))
     found = F.filter(values, lambda v: F.contains(F.lower(context), v))
     return F.when(F.size(values) > 0, F.size(found) / F.size(values)).otherwise(1.0)
 

@@ -7,36 +7,37 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The domain's pattern set, (pattern, group) in the order of priority; all are used regardless of case.
+# The domain's pattern set, (pattern, group) in the order of priority. Texts are searched regardless of case, file names
+# and questions with the case as written.
 PATTERNS: dict[str, list[tuple[str, int]]] = {
     "wells": [
-        (r"\b[A-Za-z]{2,4}[-_][A-Za-z]{1,3}[-_]\d{1,3}[A-Za-z]?\b", 0),
-        (r"\b[A-Z][a-z]+[-_][A-Za-z]{2,4}[-_]\d{1,3}\b", 0),
-        (r"Well\s+[A-Za-z0-9-]{3,}\b", 0),
-        (r"\b[A-Za-z]{2,}\s*\d{1,3}[A-Za-z]?\b", 0),
+        (r"\b[A-Z]{2,4}[-_][A-Z]{1,3}[-_]\d{1,3}[A-Z]?\b", 0),
+        (r"\b[A-Z][a-z]+[-_][A-Z]{2,4}[-_]\d{1,3}\b", 0),
+        (r"\bWell\s+[A-Z\-\d]{3,}\b", 0),
+        (r"\b[A-Z]{2,}\s*\d{1,3}[A-Z]?\b", 0),
     ],
     "formations": [
         (r"\b(Slochteren|Rotliegend|Zechstein|Buntsandstein|Ten Boer|Muschelkalk)\b", 1),
-        (r"\b(\w+)\s+Formation\b", 1),
-        (r"\b(\w+)\s+Sandstone\b", 1),
-        (r"\b(\w+)\s+Group\b", 1),
+        (r"\b([A-Z][a-z]+)\s+Formation\b", 1),
+        (r"\b([A-Z][a-z]+)\s+Sandstone\b", 1),
+        (r"\b([A-Z][a-z]+)\s+Group\b", 1),
         (r"\b(Permian|Triassic|Carboniferous|Jurassic)\b", 1),
     ],
     "depth": [
-        (r"\d+(?:\.\d+)?\s*m(?:eters?)?\s*(?:TVDSS|MD|TVD|MSL)", 0),
-        (r"depth:?\s*\d+(?:\.\d+)?\s*m(?:eters?)?", 0),
-        (r"\d+\s*[-–]\s*\d+\s*m(?:eters?)?", 0),
-        (r"from\s+\d+(?:\.\d+)?\s*m(?:eters?)?", 0),
+        (r"\d+(?:\.\d+)?\s*(?:m|meters?)\s+(?:TVDSS|MD|TVD|MSL)", 0),
+        (r"(?:depth|Depth):\s*\d+(?:\.\d+)?\s*(?:m|meters?)", 0),
+        (r"\d+\s*[-–]\s*\d+\s*(?:m|meters?)", 0),
+        (r"(?:from|From)\s+\d+(?:\.\d+)?\s*(?:m|meters?)", 0),
     ],
     "temperature": [
         (r"\d+(?:\.\d+)?°C", 0),
-        (r"\d+(?:\.\d+)?\s*(?:degrees?)?\s*C(?:elsius)?", 0),
-        (r"temp(?:erature)?:?\s*\d+(?:\.\d+)?", 0),
+        (r"\d+(?:\.\d+)?\s*(?:degrees?\s*)?C(?:elsius)?", 0),
+        (r"(?:temp|temperature|Temp|Temperature):\s*\d+(?:\.\d+)?", 0),
     ],
     "pressure": [
-        (r"\d+(?:\.\d+)?\s*bara?", 0),
+        (r"\d+(?:\.\d+)?\s*bar(?:a)?", 0),
         (r"\d+(?:\.\d+)?\s*(?:kPa|MPa|psi)", 0),
-        (r"pressure:?\s*\d+(?:\.\d+)?", 0),
+        (r"(?:pressure|Pressure):\s*\d+(?:\.\d+)?", 0),
     ],
     "test_types": [
         (r"\b(PVT|DST|PLT|RFT|MDT)\b", 1),
@@ -46,6 +47,12 @@ PATTERNS: dict[str, list[tuple[str, int]]] = {
         (r"\b(Logging|Coring)\s+Operation\b", 1),
     ],
 }
+# Our own stricter set: a unit must stand alone and a label may have a colon or not, so "2 cores" is no temperature.
+STRICT: dict[str, list[tuple[str, int]]] = {
+    "depth": [(r"\b\d+(?:\.\d+)?\s*m(?:eters?|etres?)?\b", 0)],
+    "temperature": [(r"\b\d+(?:\.\d+)?\s*(?:°\s*|degrees?\s+)C(?:elsius)?\b", 0), (r"\btemp(?:erature)?:?\s+\d+(?:\.\d+)?", 0)],
+    "pressure": [(r"\b\d+(?:\.\d+)?\s*(?:bara?|kPa|MPa|psi)\b", 0)],
+}
 # Document types of file names, in the order of priority.
 FILE_TYPES = [
     ("PVT", r"pvt|pressure.*volume.*temperature"),

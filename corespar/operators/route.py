@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corespar.operators.extract import PATTERNS, hits
 
-ROUTER_FORMATIONS = [(r"\b(Slochteren|Rotliegend|Zechstein|Buntsandstein)\b", 1), (r"\b(\w+)\s+Formation\b", 1)]
+# Formations in questions, regardless of case.
+ROUTER_FORMATIONS = [(r"\b(Slochteren|Rotliegend|Zechstein|Buntsandstein)\b", 1), (r"\b([A-Z][a-z]+)\s+Formation\b", 1)]
 # Words by which the offline default tells a question's category, in the order of priority.
 CATEGORY_WORDS = [
     ("comparison", r"compare|versus| vs |difference between"),
@@ -35,6 +36,7 @@ def category_of_answer(response: Column) -> Column:
 
 
 def question_wells(question: Column) -> Column:
+    """Different wells in the order of patterns and places, with the case as written."""
     return F.array_distinct(hits(question, PATTERNS["wells"][:3], ignore_case=False))
 
 
@@ -51,7 +53,7 @@ def temperature_mentioned(question: Column) -> Column:
 
 
 def question_type(question: Column) -> Column:
-    return first_match(F.lower(question), [("PVT", r"\bpvt\b"), ("Test Report", r"\btest report\b"), ("Litholog", r"\blitholog\b")], None)
+    return first_match(F.lower(question), [("PVT", r"\bpvt\b"), ("Test Report", r"\btest\s+report\b"), ("Litholog", r"\blitholog\b")], None)
 
 
 def strategy(kind: Column, wells: Column, formations: Column) -> Column:

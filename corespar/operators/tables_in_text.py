@@ -27,9 +27,14 @@ def table_shape(elements: DataFrame, id_col: str = "element_id") -> DataFrame:
     return shaped.select(id_col, "n_rows", "n_cols", share(lambda c: c != "").alias("filled"), share(lambda c: F.length(c) == 1).alias("single_chars"))
 
 
-def garbled(text: Column) -> Column:
-    """Plot labels, number salad or one lone number instead of a table."""
-    return (F.contains(text, F.lit("mAU")) & F.contains(text, F.lit("min"))) | text.rlike(r"\d+\.\d+\s+\d+\.\d+\s+\d+\.\d+") | strip(text).rlike(r"^\d+$")
+# Plot labels, scattered numbers, one lone number.
+GARBLED = (r"mAU\s+min", r"\d+\.\d+\s+\d+\.\d+\s+\d+\.\d+", r"^\d+$")
+
+
+def garbled(content: Column) -> Column:
+    """Whether a table's cells, joined by spaces, look like one of GARBLED."""
+    text = F.array_join(F.flatten(table_rows(content)), " ")
+    return text.rlike(GARBLED[0]) | text.rlike(GARBLED[1]) | text.rlike(GARBLED[2])
 
 
 def accepted_tables(elements: DataFrame, id_col: str = "element_id") -> DataFrame:

@@ -74,3 +74,37 @@ def test_context_budget(spark):
     df = spark.createDataFrame(rows, "query_id int, rank int, text string, source string, page int, primary_well string")
     kept = answer.pack_context(df).select("query_id", "rank").collect()
     assert sorted((r.query_id, r.rank) for r in kept) == [(1, 1), (1, 2)]  # a prefix: the short fourth isn't taken, the long first leaves nothing
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("at depth 2500 m", "depth", []),
+        ("Depth: 2500 m", "depth", ["Depth: 2500 m"]),
+        ("1200 – 1300 m, 2500mTVDSS and 2500 m TVDSS", "depth", ["2500 m TVDSS", "1200 – 1300 m"]),
+        ("2 cores, 85 degrees Celsius", "temperature", ["2 c", "85 degrees Celsius"]),
+        ("temperature 85", "temperature", []),
+        ("from 300 adk-gt-01", "wells", ["adk-gt-01", "from 300"]),
+        ("the Formation", "formations", ["the"]),
+        ("Ümraniye Group and Vlieland Sandstone", "formations", ["Vlieland"]),
+    ],
+)
+def test_patterns_as_given(spark, text, kind, found):
+    hits = one(spark, h=extract.hits(F.lit(text), extract.PATTERNS[kind])).h
+    assert [x for x in found if x in hits] == found and (found or not hits)
+
+
+def test_strict_patterns(spark):
+    get = lambda t, q: one(spark, m=extract.summary(extract.hits(F.lit(t), extract.STRICT[q]))).m
+    assert get("2 cores at 85 °C", "temperature").all_values == [85.0] and get("2500 m deep", "depth").min == 2500.0 and get("150 cubic", "temperature") is None
+
+
+@pytest.mark.parametrize(("question", "wells"), [("what about adk-gt-01?", []), ("Well ADK-GT-01 depth", ["ADK-GT-01", "Well ADK-GT-01"]), ("Bergen-GWT-03 and bergen-gwt-04", ["Bergen-GWT-03"])])
+def test_questions_tell_wells_with_their_case(spark, question, wells):
+    assert one(spark, w=route.question_wells(F.lit(question))).w == wells
+
+
+@pytest.mark.parametrize(("text", "refuses"), [("I don't have that.", True), ("The texts do not contain it, XX-YY-01.", True), ("no information on XX-YY-01", False), ("90%confident: 5 bar", True)])
+def test_refusals_and_stated_confidence(spark, text, refuses):
+    r = one(spark, g=answer.grounded(F.lit(text), F.lit("5 bar")), c=answer.confidence(F.lit(text)))
+    assert r.g is refuses and (r.c == 0.9) == ("90%" in text)
