@@ -5,7 +5,8 @@ from __future__ import annotations
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 class Generator(Protocol):
@@ -46,6 +47,20 @@ PROMPTS = {
 }
 
 
+def prompt(name: str, filling: Column) -> Column:
+    """A prompt of PROMPTS filled with a column."""
+    before, after = PROMPTS[name].split("{}")
+    return F.concat(F.lit(before), filling, F.lit(after))
+
+
+def request_body(model: str, asked: Column, image: Column | None = None, temperature: float = 0.1) -> Column:
+    """The JSON body of a request to a model server: the prompt, and an image's bytes as base64."""
+    fields = [F.lit(model).alias("model"), asked.alias("prompt"), F.lit(False).alias("stream"), F.struct(F.lit(temperature).alias("temperature")).alias("options")]
+    if image is not None:
+        fields.append(F.array_compact(F.array(F.base64(image))).alias("images"))
+    return F.to_json(F.struct(*fields))
+
+
 class FirstSentences:
     """The stand-in: the first characters of what it is asked about."""
 

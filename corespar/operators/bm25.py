@@ -65,11 +65,15 @@ def bm25_topk(questions: DataFrame, docs: DataFrame, k: int = 10, id_col: str =
     weighted = asked.join(idf_table(docs, text_col), "term").select("query_id", F.xxhash64("term").alias("key"), (F.col("qtf") * F.col("idf")).alias("qw"))
     words = texts.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words"))
     occurrences = words.select("doc_id", F.size("words").alias("x"), F.explode("words").alias("term")).join(terms, "term", "left_semi").select("doc_id", F.xxhash64("term").alias("key"), "x")
+    top = sparse_topk(weighted, occurrences, stats["n_docs"], k, _weigh(stats["avgdl"]))
+    return padded(questions, texts.select(F.col(id_col).alias("doc_id")), top, k) if pad else top
+
+
+def padded(questions: DataFrame, docs: DataFrame, top: DataFrame, k: int) -> DataFrame:
+    """The ranking with questions of fewer than k hits filled up with the smallest ids at score 0."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    top = cut(sparse_topk(weighted, occurrences, stats["n_docs"], k, _weigh(stats["avgdl"])))
-    if not pad:
-        return top
+    top = cut(top)
     short = questions.select("query_id").join(top.groupBy("query_id").agg(F.count("*").alias("hits")), "query_id", "left").where(F.coalesce("hits", F.lit(0)) < k).select("query_id")
-    first = texts.select(F.col(id_col).alias("doc_id")).orderBy("doc_id").limit(2 * k)  # a bounded table: among these at least k aren't hits
+    first = docs.select("doc_id").orderBy("doc_id").limit(2 * k)  # a bounded table: among these at least k aren't hits
     filled = short.crossJoin(F.broadcast(first)).join(top.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top.select("query_id", "doc_id", "score").unionByName(filled).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corespar.functions.text import bucket, sentences, tokens
+from corespar.operators.extract import mentioned
 
 CHUNK, OVERLAP, LEAST, PERCENTILE = 800, 100, 50, 0.3
 
@@ -96,6 +97,20 @@ def enrich(chunk: Column, ctx: Column) -> Column:
     return F.concat(F.lit("[Context: "), ctx, F.lit("]\n\n"), chunk)
 
 
+def chunk_documents(docs: DataFrame, enriched: bool = True) -> DataFrame:
+    """(doc_id, chunk_index, text, source, doc_type, primary_well, chunk_wells): the chunks of documents as an index takes them.
+
+    docs: (doc_id, text, source, doc_type, primary_well, all_wells). Each chunk but the single one of a short text (under LEAST
+    characters) gets the document's context in front, and those of the document's wells that it mentions.
+    """
+    ctx = context(F.col("source"), F.col("doc_type"), F.lit(None).cast("int"), F.col("text"))
+    facts = docs.select("doc_id", ctx.alias("ctx"), (F.length(F.trim("text")) < LEAST).alias("short"), "source", "doc_type", "primary_well", "all_wells")
+    met = semantic_chunks(docs.select("doc_id", "text")).join(facts, "doc_id")
+    text = F.when(F.col("short") | F.lit(not enriched), F.col("text")).otherwise(enrich(F.col("text"), F.col("ctx")))
+    wells = F.when(~F.col("short"), mentioned(text, F.coalesce("all_wells", F.array().cast("array<string>"))))
+    return met.select("doc_id", "chunk_index", text.alias("text"), "source", "doc_type", "primary_well", wells.alias("chunk_wells"))
+
+
 def semantic_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, chunk_index, text): texts cut where adjacent sentences are least similar, then packed to size.
 

@@ -18,7 +18,7 @@ def keep_weights(doc: np.ndarray, key: np.ndarray, x: np.ndarray) -> tuple[np.nd
     return doc, key, x
 
 
-def _score(k: int, weigh: Weigh, final: Callable[[np.ndarray], np.ndarray]):
+def _score(k: int | None, least: float | None, weigh: Weigh, final: Callable[[np.ndarray], np.ndarray]):
     def run(questions: pa.Table, rows: pa.Table) -> pa.Table:
         q_out, d_out, s_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(questions) and len(rows):
@@ -39,10 +39,12 @@ def _score(k: int, weigh: Weigh, final: Callable[[np.ndarray], np.ndarray]):
                     touched[doc[part]] = True
                 hit = np.flatnonzero(touched)
                 score = np.round(final(total[hit]), 6)
-                if len(hit) > k:
+                if least is not None:
+                    hit, score = hit[score > least], score[score > least]
+                if k is not None and len(hit) > k:
                     near = score >= np.partition(score, -k)[-k]
                     hit, score = hit[near], score[near]
-                best = np.argsort(-score, kind="stable")[:k]  # ids ascend, so ties keep the smaller id
+                best = np.argsort(-score, kind="stable")[: k or len(score)]  # ids ascend, so ties keep the smaller id
                 q_out.append(np.full(len(best), q_id[a]))
                 d_out.append(ids[hit[best]])
                 s_out.append(score[best])
@@ -51,16 +53,18 @@ def _score(k: int, weigh: Weigh, final: Callable[[np.ndarray], np.ndarray]):
     return run
 
 
-def sparse_topk(asked: DataFrame, rows: DataFrame, n_docs: int, k: int, weigh: Weigh = keep_weights, final: Callable[[np.ndarray], np.ndarray] = lambda s: s) -> DataFrame:
+def sparse_topk(asked: DataFrame, rows: DataFrame, n_docs: int, k: int | None, weigh: Weigh = keep_weights, final: Callable[[np.ndarray], np.ndarray] = lambda s: s, least: float | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): for each question the k documents with the largest sum of weight products over shared keys.
 
     asked: (query_id, key, qw), a key once per question; rows: (doc_id, key, x), which `weigh` turns into one weight for each
     document and key. Documents are cut into blocks by a hash of their id; each block meets all questions and gives out k hits of
     each at most, so what is shuffled is the rows once and the questions once per block, never a score for every pair. A key
-    that most documents have is spread over all blocks. Scores are rounded to six places, ties go to the smaller id.
+    that most documents have is spread over all blocks. With `least` only larger scores count; with k None all of them, unranked. Scores are rounded to six places, ties go to the smaller id.
     """
     blocks = max(rows.sparkSession.sparkContext.defaultParallelism, n_docs // BLOCK_ROWS)
     left = asked.select(F.col("query_id").cast("long"), F.col("key").cast("long"), F.col("qw").cast("double")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("block")
     right = rows.select(F.col("doc_id").cast("long"), F.col("key").cast("long"), F.col("x").cast("double")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).groupBy("block")
-    found = left.cogroup(right).applyInArrow(_score(k, weigh, final), "query_id bigint, doc_id bigint, score double")
+    found = left.cogroup(right).applyInArrow(_score(k, least, weigh, final), "query_id bigint, doc_id bigint, score double")
+    if k is None:
+        return found
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)

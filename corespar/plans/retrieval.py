@@ -9,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corespar.functions.text import tokens
+from corespar.models import FirstSentences
 from corespar.operators import answer, chunk, extract, pipeline, route, tables_in_text, tree
 from corespar.operators.bm25 import bm25_topk, corpus_stats, idf_table, term_counts
 from corespar.operators.dense import dense_topk, hashed_terms, normalised, text_topk, usable
 from corespar.operators.fusion import postfilter, rrf
 from corespar.operators.graph import degrees, expanded, membership, similarity_edges, traverse
+from corespar.operators.index import Index, build_index
 from corespar.operators.metadata import metadata_index, search_metadata
 from corespar.plans.registry import ORACLE, query
-from corespar.session import cut
+from corespar.session import cut, scratch
 from corespar.tables import spread, table
 
+TREE_DIMS = 64
 EDGE = 0.3  # cosine above which the vectors of the embeddings table are neighbours
 
 
@@ -37,6 +40,28 @@ def _chunks(spark, folder):
     return spread(table(spark, folder, "chunks")).withColumnRenamed("chunk_id", "doc_id")
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark, folder) -> Index:
+    """The index of the chunks, written to the shared folder by the first query of an application that needs it."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _INDEXES:
+        path = scratch(spark, "index")
+        build_index(_chunks(spark, folder), path, ["source", "doc_type", "primary_well", "page"], ["all_wells"])
+        _INDEXES[key] = path
+    return Index.open(spark, _INDEXES[key])
+
+
+def _tree(spark, folder):
+    """A summary tree over the chunks, by their hashed vectors in TREE_DIMS dimensions."""
+    docs = _chunks(spark, folder).where("text is not null")
+    parts = hashed_terms(docs, TREE_DIMS).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("m"))
+    vectors = parts.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(TREE_DIMS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector"))
+    nodes = docs.join(vectors, "doc_id", "left").select(F.col("doc_id").alias("node_id"), "text", "primary_well", "doc_type", "vector")
+    return tree.build_tree(nodes)
+
+
 def _documents(spark, folder):
     return spread(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -104,10 +129,17 @@ ORACLE["term_idf"] = f"WITH {TF_SQL}, {IDF_SQL} SELECT term, df, round(idf, 6) A
 
 @query
 def bm25_batch(spark, folder):
+    """From the stored postings; no text is read."""
+    return _stored(spark, folder).bm25_topk(_questions(spark, folder))
+
+
+@query
+def bm25_unindexed(spark, folder):
+    """The same straight from the texts, for a collection that is asked only once."""
     return bm25_topk(_questions(spark, folder), _chunks(spark, folder))
 
 
-ORACLE["bm25_batch"] = f"WITH {Q_SQL}, {TF_SQL}, {IDF_SQL}, {BM25_SQL} SELECT * FROM bm"
+ORACLE["bm25_unindexed"] = ORACLE["bm25_batch"] = f"WITH {Q_SQL}, {TF_SQL}, {IDF_SQL}, {BM25_SQL} SELECT * FROM bm"
 
 # --- vectors
 
@@ -136,15 +168,15 @@ ORACLE["hashed_embedding"] = f"WITH {Q_SQL}, {TF_SQL}, {IDF_SQL}, {BM25_SQL}, {H
 
 @query
 def hashed_dense_batch(spark, folder):
-    return text_topk(_questions(spark, folder), _chunks(spark, folder))
+    return _stored(spark, folder).text_topk(_questions(spark, folder))
 
 
 ORACLE["hashed_dense_batch"] = WITH_ALL + "SELECT * FROM tx"
 
 
 def _hybrid(spark, folder):
-    questions, docs = _questions(spark, folder), _chunks(spark, folder)
-    return rrf(text_topk(questions, docs), bm25_topk(questions, docs))
+    questions, index = _questions(spark, folder), _stored(spark, folder)
+    return rrf(index.text_topk(questions), index.bm25_topk(questions))
 
 
 @query
@@ -158,6 +190,11 @@ ORACLE["rrf_hybrid"] = WITH_ALL + "SELECT * FROM fused"
 
 
 def _index(spark, folder):
+    return _stored(spark, folder).metadata
+
+
+@query
+def metadata_inverted_index(spark, folder):
     return metadata_index(_chunks(spark, folder), "doc_id", ["source", "doc_type", "primary_well", "page"], ["all_wells"])
 
 
@@ -178,10 +215,12 @@ allowed AS (SELECT query_id, doc_id FROM (SELECT query_id, doc_id, count(*) AS c
 
 
 @query
-def metadata_inverted_index(spark, folder):
-    return _index(spark, folder)
+def metadata_struct_index(spark, folder):
+    """Entries of the measurements of each ingest run, one for each key of the structs."""
+    return metadata_index(table(spark, folder, "global_metadata"), "meta_id", [], [], ["temperature", "pressure", "depth"])
 
 
+ORACLE["metadata_struct_index"] = "SELECT field, value, doc_id FROM (" + " UNION ".join(f"SELECT '{q}.{k}' AS field, CAST({q}.{k} AS VARCHAR) AS value, meta_id AS doc_id FROM global_metadata" for q in ("temperature", "pressure", "depth") for k in ("min", "max", "all_values")) + ") WHERE value IS NOT NULL"
 ORACLE["metadata_inverted_index"] = f"WITH {INDEX_SQL} SELECT * FROM ix"
 
 
@@ -285,8 +324,21 @@ def extract_measurements(spark, folder):
     return found.select("doc_id", "quantity", F.col("m.min").alias("least"), F.col("m.max").alias("most"), F.array_join(F.transform("m.all_values", lambda x: F.format_number(x, 3)), "|").alias("first_values"))
 
 
-def _hits_sql(quantity: str) -> str:
-    return " || ".join(f"regexp_extract_all(text, '(?i){p}')" for p, _ in extract.PATTERNS[quantity])
+HITS_SQL = {
+    "temperature": ["(?i)\\d+(?:\\.\\d+)?°C", "(?i)\\d+(?:\\.\\d+)?\\s*(?:degrees?\\s*)?C(?:elsius)?", "(?i)(?:temperature|temp):\\s*\\d+(?:\\.\\d+)?"],
+    "pressure": ["(?i)\\d+(?:\\.\\d+)?\\s*bara?", "(?i)\\d+(?:\\.\\d+)?\\s*(?:kpa|mpa|psi)", "(?i)pressure:\\s*\\d+(?:\\.\\d+)?"],
+    "depth": ["(?i)\\d+(?:\\.\\d+)?\\s*(?:m|meters?)\\s+(?:tvdss|md|tvd|msl)", "(?i)depth:\\s*\\d+(?:\\.\\d+)?\\s*(?:m|meters?)", "(?i)\\d+\\s*[-–]\\s*\\d+\\s*(?:m|meters?)", "(?i)from\\s+\\d+(?:\\.\\d+)?\\s*(?:m|meters?)"],
+    "wells": ["(?i)\\b[a-z]{2,4}[-_][a-z]{1,3}[-_]\\d{1,3}[a-z]?\\b", "(?i)\\b[a-z][a-z]+[-_][a-z]{2,4}[-_]\\d{1,3}\\b", "(?i)\\bwell\\s+[-a-z\\d]{3,}\\b", "(?i)\\b[a-z]{2,}\\s*\\d{1,3}[a-z]?\\b"],
+    "formations": ["(?i)\\b(slochteren|rotliegend|zechstein|buntsandstein|ten boer|muschelkalk)\\b", "(?i)\\b([a-z][a-z]+)\\s+formation\\b", "(?i)\\b([a-z][a-z]+)\\s+sandstone\\b", "(?i)\\b([a-z][a-z]+)\\s+group\\b", "(?i)\\b(permian|triassic|carboniferous|jurassic)\\b"],
+    "test_types": ["(?i)\\b(pvt|dst|plt|rft|mdt)\\b", "(?i)\\b(production|injection)\\s+test\\b", "(?i)\\b(well|drill|formation)\\s+test\\b", "(?i)\\b(pressure|temperature)\\s+survey\\b", "(?i)\\b(logging|coring)\\s+operation\\b"],
+}
+
+
+def _hits_sql(kind: str, text: str = "text") -> str:
+    group = 1 if kind in ("formations", "test_types") else 0
+    if kind in ("wells", "formations", "test_types"):  # letters beyond ASCII end no word; to this engine's expressions they would
+        text = f"regexp_replace({text}, '[ªµºÀ-ÖØ-öø-ʯΑ-ωА-я]', '__', 'g')"
+    return " || ".join(f"regexp_extract_all({text}, '{p}', {group})".replace("\\\\", "\\") for p in HITS_SQL[kind])
 
 
 ORACLE["extract_measurements"] = "WITH h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{q}' AS quantity, {_hits_sql(q)} AS h FROM documents WHERE text IS NOT NULL" for q in ("temperature", "pressure", "depth")) + "), v AS (SELECT doc_id, quantity, list_filter(list_transform(h, lambda x: TRY_CAST(regexp_extract(x, '\\d+(\\.\\d+)?') AS DOUBLE)), lambda x: x IS NOT NULL) AS v FROM h) SELECT doc_id, quantity, list_min(v) AS least, list_max(v) AS most, array_to_string(list_transform(v[1:10], lambda x: format('{:,.3f}', x)), '|') AS first_values FROM v WHERE len(v) > 0"
@@ -294,9 +346,18 @@ ORACLE["extract_measurements"] = "WITH h AS (" + " UNION ALL ".join(f"SELECT doc
 
 @query
 def extract_entities(spark, folder):
-    """Wells, formations and test types of each document, cleaned; the regular expressions know letters beyond ASCII."""
+    """Wells, formations and test types of each document, cleaned, in the order of patterns and places."""
     text = F.col("text")
-    return table(spark, folder, "documents").where("text is not null").select("doc_id", extract.clean_entities(extract.hits(text, extract.PATTERNS["wells"]), wells=True).alias("wells"), extract.clean_entities(extract.hits(text, extract.PATTERNS["formations"])).alias("formations"), extract.clean_entities(extract.hits(text, extract.PATTERNS["test_types"])).alias("test_types"))
+    listed = {k: F.array_join(extract.clean_entities(extract.hits(text, extract.PATTERNS[k]), wells=k == "wells"), "|").alias(k) for k in ("wells", "formations", "test_types")}
+    return _documents(spark, folder).where("text is not null").select("doc_id", *listed.values())
+
+
+def _cleaned_sql(kind: str) -> str:
+    keep = " AND regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]') AND upper(x) NOT IN ('TABLE', 'FIGURE', 'PAGE', 'CHAPTER')" if kind == "wells" else ""
+    return f"array_to_string(list_filter({kind}, lambda x, i: list_position({kind}, x) = i{keep})[1:10], '|') AS {kind}"
+
+
+ORACLE["extract_entities"] = "WITH h AS (SELECT doc_id, " + ", ".join(f"list_filter(list_transform({_hits_sql(k)}, lambda x: trim(x)), lambda x: x <> '') AS {k}" for k in ("wells", "formations", "test_types")) + " FROM documents WHERE text IS NOT NULL) SELECT doc_id, " + ", ".join(_cleaned_sql(k) for k in ("wells", "formations", "test_types")) + " FROM h"
 
 
 @query
@@ -334,14 +395,16 @@ def route_questions(spark, folder):
     return q.select("query_id", "question", "query_type", "strategy", F.size("wells").alias("n_wells"), F.size("formations").alias("n_formations"), route.depth_mentioned(F.col("question")).alias("depth_mentioned"), route.question_type(F.col("question")).alias("doc_type"), route.explanation(F.col("query_type"), F.col("strategy")).alias("explanation"))
 
 
-ORACLE["route_questions"] = f"""WITH {Q_SQL}, w AS (SELECT *, lower(question) AS l,
-  len(list_distinct({' || '.join(f"regexp_extract_all(question, '{p}')" for p, _ in extract.PATTERNS['wells'][:3])})) AS n_wells,
-  len(list_distinct({' || '.join(f"regexp_extract_all(question, '(?i){p}', {g})" for p, g in route.ROUTER_FORMATIONS)})) AS n_formations FROM q),
-k AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(l, '{p}') THEN '{n}'" for n, p in route.CATEGORY_WORDS)} ELSE 'factual' END AS query_type FROM w),
-s AS (SELECT *, CASE query_type WHEN 'summary' THEN 'raptor' WHEN 'comparison' THEN 'graph' WHEN 'complex' THEN 'hybrid' ELSE CASE WHEN n_wells > 0 OR n_formations > 0 THEN 'hybrid' WHEN query_type = 'exploratory' THEN 'raptor' ELSE 'dense' END END AS strategy FROM k)
-SELECT query_id, question, query_type, strategy, CAST(n_wells AS INT) AS n_wells, CAST(n_formations AS INT) AS n_formations, regexp_matches(question, '(?i)\\d+\\s*(?:m|meters?|ft|feet)') AS depth_mentioned,
-  CASE WHEN regexp_matches(l, '\\bpvt\\b') THEN 'PVT' WHEN regexp_matches(l, '\\btest report\\b') THEN 'Test Report' WHEN regexp_matches(l, '\\blitholog\\b') THEN 'Litholog' END AS doc_type,
-  query_type || ' question: ' || CASE strategy {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in route.EXPLANATIONS.items())} END AS explanation FROM s"""
+ROUTE_SQL = r"""w AS (SELECT *, lower(question) AS l,
+  regexp_extract_all(question, '\b[A-Z]{2,4}[-_][A-Z]{1,3}[-_]\d{1,3}[A-Z]?\b') || regexp_extract_all(question, '\b[A-Z][a-z]+[-_][A-Z]{2,4}[-_]\d{1,3}\b') || regexp_extract_all(question, '\bWell\s+[-A-Z\d]{3,}\b') AS wells,
+  len(list_distinct(regexp_extract_all(question, '(?i)\b(slochteren|rotliegend|zechstein|buntsandstein)\b', 1) || regexp_extract_all(question, '(?i)\b([a-z]{2,})\s+formation\b', 1))) AS n_formations FROM q),
+k AS (SELECT *, CASE WHEN regexp_matches(l, 'compare|versus| vs |difference between') THEN 'comparison' WHEN regexp_matches(l, 'summari|overview|all wells') THEN 'summary'
+  WHEN regexp_matches(l, 'highest|lowest| and at what |correlat|relationship') THEN 'complex' WHEN regexp_matches(l, 'explain|describe|why|history|tell me') THEN 'exploratory' ELSE 'factual' END AS query_type, len(list_distinct(wells)) AS n_wells FROM w),
+s AS (SELECT *, CASE query_type WHEN 'summary' THEN 'raptor' WHEN 'comparison' THEN 'graph' WHEN 'complex' THEN 'hybrid' ELSE CASE WHEN n_wells > 0 OR n_formations > 0 THEN 'hybrid' WHEN query_type = 'exploratory' THEN 'raptor' ELSE 'dense' END END AS strategy FROM k)"""
+ORACLE["route_questions"] = rf"""WITH {Q_SQL}, {ROUTE_SQL}
+SELECT query_id, question, query_type, strategy, CAST(n_wells AS INT) AS n_wells, CAST(n_formations AS INT) AS n_formations, regexp_matches(question, '(?i)\d+\s*(?:m|meters?|ft|feet)') AS depth_mentioned,
+  CASE WHEN regexp_matches(l, '\bpvt\b') THEN 'PVT' WHEN regexp_matches(l, '\btest\s+report\b') THEN 'Test Report' WHEN regexp_matches(l, '\blitholog\b') THEN 'Litholog' END AS doc_type,
+  query_type || ' question: ' || CASE strategy WHEN 'raptor' THEN 'walks the summary tree' WHEN 'graph' THEN 'expands similar chunks' WHEN 'hybrid' THEN 'fuses vector and word search' WHEN 'dense' THEN 'searches vectors' END AS explanation FROM s"""
 
 # --- chunking
 
@@ -420,27 +483,30 @@ ORACLE["answer_sources"] = WITH_ALL + f", {PIECE_SQL} SELECT query_id, rank, sou
 
 @query
 def answer_batch(spark, folder):
-    """Routing, retrieval, context, extractive answer, confidence and grounding of all questions."""
-    questions = _questions(spark, folder)
-    packed = answer.pack_context(_ranked(spark, folder))
-    said = answer.extractive_answer(packed, questions).join(answer.context_text(packed), "query_id")
-    score = answer.confidence(F.col("answer"))
-    return said.select("query_id", "answer", score.alias("confidence"), answer.band(score).alias("band"), answer.grounded(F.col("answer"), F.col("context")).alias("is_grounded"))
+    """All questions from routing to grounding: dispatch over the stored index and the summary tree, context, extractive answer, checks."""
+    return pipeline.ask(_questions(spark, folder), _stored(spark, folder), _tree(spark, folder)).drop("error")
 
 
 @query
 def value_grounding(spark, folder):
-    """Each chunk as an answer, by the grounding rule, against the next chunk of its source as context."""
+    """Each chunk as an answer, by the grounding rule, against the next chunk of its source as context.
+
+    Which chunk is next is told from the numbers alone; texts meet by a join, so a source with most chunks is no single sort of texts.
+    """
     from pyspark.sql import Window
 
-    chunks = table(spark, folder, "chunks").where("text is not null").withColumn("context", F.coalesce(F.lead("text").over(Window.partitionBy("source").orderBy("chunk_index")), F.lit("")))
-    return chunks.select("chunk_id", F.round(answer.value_ratio(F.col("text"), F.col("context")), 6).alias("ratio"), answer.confidence(F.col("text")).alias("confidence"))
+    chunks = table(spark, folder, "chunks").where("text is not null")
+    places = chunks.select("chunk_id", F.lead("chunk_id").over(Window.partitionBy("source").orderBy("chunk_index")).alias("next_id"))
+    following = chunks.select(F.col("chunk_id").alias("next_id"), F.col("text").alias("context"))
+    met = chunks.select("chunk_id", "text").join(places, "chunk_id").join(following, "next_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    return met.select("chunk_id", F.round(answer.value_ratio(F.col("text"), F.col("context")), 6).alias("ratio"), answer.confidence(F.col("text")).alias("confidence"))
 
 
 ORACLE["value_grounding"] = """WITH t AS (SELECT chunk_id, text AS a, lower(coalesce(lead(text) OVER (PARTITION BY source ORDER BY chunk_index), '')) AS c FROM chunks WHERE text IS NOT NULL),
-v AS (SELECT chunk_id, a, c, regexp_extract_all(lower(a), '\\d+(?:\\.\\d+)?\\s*[a-z°]+') AS v FROM t)
+v AS (SELECT chunk_id, a, c, list_distinct(regexp_extract_all(lower(a), '\\d+(?:\\.\\d+)?\\s*[a-z°]+')) AS v FROM t)
 SELECT chunk_id, round(CASE WHEN len(v) > 0 THEN len(list_filter(v, lambda x: contains(c, x))) / len(v) ELSE 1.0 END, 6) AS ratio,
-  CASE WHEN length(a) > 100 AND NOT contains(lower(a), 'don''t') THEN 0.7::DOUBLE WHEN contains(lower(a), 'don''t') OR contains(lower(a), 'cannot') THEN 0.1::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM v"""
+  CASE WHEN regexp_matches(a, '(?i)confidence[:\\s]+\\d+%') THEN least(regexp_extract(a, '(?i)confidence[:\\s]+(\\d+)%', 1)::DOUBLE / 100, 1) WHEN regexp_matches(a, '(?i)\\d+%\\s*confident') THEN least(regexp_extract(a, '(?i)(\\d+)%\\s*confident', 1)::DOUBLE / 100, 1)
+    WHEN length(a) > 100 AND NOT contains(lower(a), 'don''t') THEN 0.7::DOUBLE WHEN contains(lower(a), 'don''t') OR contains(lower(a), 'cannot') THEN 0.1::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM v"""
 
 # --- clusters and trees
 
@@ -482,7 +548,7 @@ SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lev
 def summary_tree(spark, folder):
     vectors = table(spark, folder, "document_elements").where("size(embedding) = 96 and forall(embedding, x -> x is not null and abs(x) < 1e30)")
     nodes = vectors.select(F.col("element_id").alias("node_id"), F.col("content").alias("text"), F.lit(None).cast("string").alias("primary_well"), F.lower(F.trim("type")).alias("doc_type"), F.col("embedding").alias("vector"))
-    return tree.build_tree(nodes).drop("vector")
+    return tree.build_tree(nodes).drop("vector", "wells")
 
 
 # --- tables and counts
@@ -507,7 +573,7 @@ def accepted_tables(spark, folder):
     return tables_in_text.accepted_tables(table(spark, folder, "document_elements"))
 
 
-ORACLE["accepted_tables"] = f"""WITH {SHAPE_SQL} SELECT element_id FROM sh JOIN document_elements e USING (element_id)
+ORACLE["accepted_tables"] = f"""WITH {SHAPE_SQL} SELECT element_id FROM sh JOIN document_elements e USING (element_id) JOIN (SELECT element_id, array_to_string(flatten(rows), ' ') AS flat FROM r) USING (element_id)
 WHERE n_rows >= 2 AND n_cols >= 2 AND filled >= 0.3 AND (TRY_CAST(e.attrs['accuracy'] AS DOUBLE) IS NULL OR TRY_CAST(e.attrs['accuracy'] AS DOUBLE) >= 50)
 AND NOT ((contains(content, 'mAU') AND contains(content, 'min') OR regexp_matches(content, '\\d+\\.\\d+\\s+\\d+\\.\\d+\\s+\\d+\\.\\d+') OR regexp_matches(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), '^\\d+$')) AND single_chars > 0.5)"""
 
@@ -608,17 +674,18 @@ SELECT element_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round
 
 @query
 def merged_measurements(spark, folder):
-    """The recorded temperature and depth of each row merged as two extractors' results: the later one's fields win where it has them."""
-    m = table(spark, folder, "global_metadata").select("meta_id", pipeline.merge_measurements(F.col("temperature"), F.col("depth")).alias("m"))
-    return m.select("meta_id", F.col("m.min").alias("least"), F.col("m.max").alias("most"), F.size("m.all_values").alias("n"))
+    """The temperature of each source, its ingest runs merged: field by field the last run that has it."""
+    m = pipeline.merge_runs(table(spark, folder, "global_metadata"), "temperature")
+    return m.select("source", F.col("m.min").alias("least"), F.col("m.max").alias("most"), F.size("m.all_values").alias("n"))
 
 
-ORACLE["merged_measurements"] = "SELECT meta_id, coalesce(depth.min, temperature.min) AS least, coalesce(depth.max, temperature.max) AS most, CAST(len(coalesce(depth.all_values, temperature.all_values)) AS INT) AS n FROM global_metadata"
+_LAST = "(SELECT source, {0} AS v FROM global_metadata WHERE {0} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY ingested_at DESC NULLS LAST, meta_id DESC) = 1)"
+ORACLE["merged_measurements"] = f"SELECT s.source, a.v AS least, b.v AS most, CAST(len(c.v) AS INT) AS n FROM (SELECT DISTINCT source FROM global_metadata WHERE source IS NOT NULL) s LEFT JOIN {_LAST.format('temperature.min')} a USING (source) LEFT JOIN {_LAST.format('temperature.max')} b USING (source) LEFT JOIN {_LAST.format('temperature.all_values')} c USING (source)"
 
 
 @query
 def whole_documents(spark, folder):
-    """All elements of each page of a source as one text."""
+    """All elements of each page of a source as text, in blocks of bounded size."""
     e = table(spark, folder, "document_elements").where("source is not null").withColumn("key", F.concat_ws("#", "source", "page"))
     return pipeline.assemble(e, "key")
 
@@ -626,22 +693,79 @@ def whole_documents(spark, folder):
 ORACLE["whole_documents"] = """WITH r AS (SELECT concat_ws('#', source, page) AS key, element_id, content, CASE lower(trim(type)) WHEN 'text' THEN 0 WHEN 'image' THEN 1 ELSE 2 END AS kind
   FROM document_elements WHERE source IS NOT NULL AND content IS NOT NULL AND trim(content) <> ''),
 n AS (SELECT *, row_number() OVER (PARTITION BY key, kind ORDER BY element_id) AS n FROM r)
-SELECT key, string_agg(content, chr(10) || chr(10) ORDER BY kind, n) AS text FROM n WHERE kind <> 1 OR n <= 10 GROUP BY key"""
+SELECT key, CAST(kind AS INT) AS kind, CAST((n - 1) // 200 AS INT) AS block, string_agg(content, chr(10) || chr(10) ORDER BY n) AS text FROM n WHERE kind <> 1 OR n <= 10 GROUP BY ALL"""
+
+
+@query
+def image_texts(spark, folder):
+    """Each image element as text: class and description by the offline stand-in, which repeats the first 120 characters it is asked about."""
+    return pipeline.describe_images(table(spark, folder, "document_elements"), FirstSentences(120)).drop("error")
+
+
+ORACLE["image_texts"] = """WITH i AS (SELECT element_id, substr('Describe this technical image: axes, units, wells and values. ' || coalesce(content, 'Not provided'), 1, 120) AS caption,
+  lower(substr('Name the kind of this image with one word (plot, schematic, table, photo, map, chart, other). ' || coalesce(content, ''), 1, 120)) AS c FROM document_elements WHERE lower(trim(type)) = 'image'),
+k AS (SELECT *, CASE WHEN contains(c, 'plot') THEN 'plot' WHEN contains(c, 'schematic') THEN 'schematic' WHEN contains(c, 'table') THEN 'table' WHEN contains(c, 'photo') THEN 'photo' WHEN contains(c, 'map') THEN 'map' WHEN contains(c, 'chart') THEN 'chart' ELSE 'other' END AS kind FROM i)
+SELECT element_id, kind, '[Image: ' || kind || ']' || chr(10) || 'Description: ' || caption AS text FROM k"""
+
+
+@query
+def chunk_chain(spark, folder):
+    """Documents to chunks as the index takes them: cut, packed, enriched with their context, with the wells each mentions."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "source", "doc_type", "primary_well"))
+    return chunk.chunk_documents(docs.withColumn("all_wells", F.array_compact(F.array("primary_well"))))
 
 
 @query
 def document_metadata(spark, folder):
     """Everything the extractor says about each document, named after its source."""
     docs = spread(table(spark, folder, "documents").select("doc_id", "text", "source"))
-    return pipeline.extract_all(docs, "text", "source").drop("text")
+    found = pipeline.extract_all(docs, "text", "source").drop("text")
+    flat = {f"{q}_{k}": F.col(q)[k] for q in ("temperature", "pressure", "depth") for k in ("min", "max")}
+    return found.select("doc_id", "source", *[F.array_join(c, "|").alias(c) for c in ("wells", "formations", "test_types")], *[c.alias(n) for n, c in flat.items()], "doc_type", "needs_model", "primary_well")
+
+
+def _document_metadata_sql() -> str:
+    lists = ", ".join(f"list_filter(list_transform({_hits_sql(k, 't')}, lambda x: trim(x)), lambda x: x <> '') AS {k}" for k in ("wells", "formations", "test_types"))
+    numbers = ", ".join(f"list_filter(list_transform({_hits_sql(q, 't')}, lambda x: TRY_CAST(regexp_extract(x, '\\d+(\\.\\d+)?') AS DOUBLE)), lambda x: x IS NOT NULL) AS {q}" for q in ("temperature", "pressure", "depth"))
+    file_well = "CASE " + " ".join(f"WHEN regexp_matches(source, '{p}') THEN regexp_extract(source, '{p}')" for p in (r"\b[A-Z]{2,4}[-_][A-Z]{1,3}[-_]\d{1,3}[A-Z]?\b", r"\b[A-Z][a-z]+[-_][A-Z]{2,4}[-_]\d{1,3}\b", r"\bWell\s+[-A-Z\d]{3,}\b", r"\b[A-Z]{2,}\s*\d{1,3}[A-Z]?\b")) + " END"
+    kept = "list_filter(wells, lambda x, i: list_position(wells, x) = i AND regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]') AND upper(x) NOT IN ('TABLE', 'FIGURE', 'PAGE', 'CHAPTER'))[1:10]"
+    flat = ", ".join(f"list_{k}({q}) AS {q}_{k}" for q in ("temperature", "pressure", "depth") for k in ("min", "max"))
+    return rf"""WITH h AS (SELECT doc_id, source, t, {lists}, {numbers} FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)),
+c AS (SELECT *, {kept} AS own, {file_well} AS hint FROM h),
+m AS (SELECT *, CASE WHEN hint IS NULL OR list_contains(own, hint) THEN own ELSE (own || [hint])[1:10] END AS merged FROM c)
+SELECT doc_id, source, array_to_string(merged, '|') AS wells, {', '.join(_cleaned_sql(k) for k in ('formations', 'test_types'))}, {flat},
+  CASE WHEN regexp_matches(lower(source), 'pvt|pressure.*volume.*temperature') THEN 'PVT' WHEN regexp_matches(lower(source), 'litho|log') THEN 'Litholog' WHEN regexp_matches(lower(source), 'well.*report|report.*well') THEN 'Well Report'
+    WHEN regexp_matches(lower(source), 'test.*report|dsr|dst') THEN 'Test Report' WHEN regexp_matches(lower(source), 'geo') THEN 'Geological' END AS doc_type,
+  len(own) = 0 AND length(t) > 500 AS needs_model, coalesce(list_filter(merged, lambda w: contains(lower(source), lower(w)))[1], merged[1]) AS primary_well FROM m"""
+
+
+ORACLE["document_metadata"] = _document_metadata_sql()
 
 
 @query
 def strategy_dispatch(spark, folder):
-    """Each question answered by the strategy its routing picks."""
-    docs = _chunks(spark, folder)
-    near = docs.select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"))  # chunks next to each other as the graph of the batch
-    return pipeline.retrieve(_questions(spark, folder), docs, near)
+    """Each question answered by the strategy its routing picks, over the stored index, the similarity graph and the summary tree."""
+    return pipeline.retrieve(_questions(spark, folder), _stored(spark, folder), _tree(spark, folder))
+
+
+@query
+def index_dispatch(spark, folder):
+    """The same for the questions that aren't routed to the summary tree."""
+    asked = _questions(spark, folder)
+    kind, wells, formations = route.category(F.col("question")), route.question_wells(F.col("question")), route.question_formations(F.col("question"))
+    return pipeline.retrieve(asked.where(route.strategy(kind, wells, formations) != "raptor"), _stored(spark, folder)).drop("level")
+
+
+ORACLE["index_dispatch"] = WITH_ALL + rf""", {ROUTE_SQL},
+near AS (SELECT tx.* FROM tx JOIN s USING (query_id) WHERE strategy = 'dense'),
+seeds AS (SELECT tx.* FROM tx JOIN s USING (query_id) WHERE strategy = 'graph' AND rank <= 5),
+links AS (SELECT a.query_id, c.doc_id FROM seeds a JOIN wd b ON b.doc_id = a.doc_id JOIN wd c ON c.dim = b.dim AND c.doc_id <> b.doc_id GROUP BY a.query_id, a.doc_id, c.doc_id HAVING round(sum(b.w * c.w), 6) > 0.7),
+seen AS (SELECT query_id, doc_id, min(hop) AS hop FROM (SELECT query_id, doc_id, 0 AS hop FROM seeds UNION ALL SELECT query_id, doc_id, 1 FROM links) GROUP BY ALL),
+visited AS (SELECT query_id, doc_id, NULL::DOUBLE AS score, 5 + row_number() OVER (PARTITION BY query_id ORDER BY hop, doc_id) AS rank FROM seen QUALIFY rank <= 25),
+parts AS (SELECT query_id, doc_id, score, rank FROM near UNION ALL SELECT query_id, doc_id, score, rank FROM seeds UNION ALL SELECT query_id, doc_id, score, rank FROM visited
+  UNION ALL SELECT query_id, doc_id, score, rank FROM fused JOIN (SELECT query_id FROM s WHERE strategy = 'hybrid') USING (query_id)),
+fit AS (SELECT p.*, s.strategy FROM parts p JOIN s USING (query_id) JOIN chunks c ON c.chunk_id = p.doc_id WHERE s.wells[1] IS NULL OR c.primary_well = s.wells[1])
+SELECT query_id, strategy, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS INT) AS rank, doc_id, score FROM fit QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) <= 15"""
 
 
 @query

@@ -22,6 +22,7 @@ def build_session(master: str = "local[*]", app: str = "corespar", shuffle_parti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.executorEnv.OMP_NUM_THREADS", "1")
         .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
         .config("spark.ui.enabled", "false")
@@ -31,12 +32,18 @@ def build_session(master: str = "local[*]", app: str = "corespar", shuffle_parti
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests, local runs)."""
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a temporary folder is made if the master is local (tests, local runs); on a cluster, where executors can't
+    share one, that is an error.
+    """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-corespar-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -61,9 +68,32 @@ def ship(spark: SparkSession) -> None:
     sc._corespar_shipped = True
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared folder, which clean() deletes."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete what this application's operators wrote to the shared folder; frames built on it can't be read any more.
+
+    Returns the number of folders. Checkpoints go with Spark's own cleaner when their frames are gone
+    (spark.cleaner.referenceTracking.cleanCheckpoints).
+    """
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The frame written as a table in the shared folder and read back: the lineage is cut and its size is known to the planner."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

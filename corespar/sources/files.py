@@ -116,7 +116,8 @@ PARSERS = {".docx": parse_docx, ".xlsx": parse_xlsx, ".html": parse_html, ".htm"
 def parse_files(files: DataFrame, parsers: dict | None = None) -> DataFrame:
     """Elements of binary files (path, content); a file that can't be parsed gives one row with its error, an unknown suffix none.
 
-    `parsers` maps further suffixes (.pdf, images) to functions of the same shape: bytes to (type, content, page) rows.
+    `parsers` maps further suffixes (.pdf, images) to functions of the same shape, bytes to (type, content, page) rows, or to lists
+    of them, whose rows are all kept, one extractor's after the other's; one that fails leaves the others' rows.
     """
     known = {**PARSERS, **(parsers or {})}
 
@@ -128,10 +129,11 @@ def parse_files(files: DataFrame, parsers: dict | None = None) -> DataFrame:
                 parse = known.get(name[name.rfind(".") :].lower()) if "." in name else None
                 if parse is None:
                     continue
-                try:
-                    rows += [(name, *e, None) for e in parse(data)]
-                except Exception as e:
-                    rows.append((name, None, None, None, f"{type(e).__name__}: {e}"))
+                for extractor in parse if isinstance(parse, (list, tuple)) else [parse]:
+                    try:
+                        rows += [(name, *e, None) for e in extractor(data)]
+                    except Exception as e:
+                        rows.append((name, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["source", "type", "content", "page", "error"])
 
     return files.select("path", "content").mapInPandas(run, ELEMENTS)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corespar.models import FirstSentences, generate
 from corespar.operators import chunk, tables_in_text, tree
-from corespar.sources.files import json_in_text, read_folder
-from corespar.sources.store import append_new, load, save
+from corespar.sources.files import json_in_text, read_folder, parse_files
+from corespar.sources.store import append_new, load, save, save_tables_as_csv
 from corespar.streaming.ingest import late_counts, watch_folder
 
 
@@ -107,6 +107,36 @@ def test_store(spark, tmp_path):
     assert append_new(df.unionByName(df.withColumn("id", F.col("id") + 1)), str(tmp_path / "t"), ["id"]) == 1
 
 
+def test_only_a_missing_table_counts_as_empty(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "id long, level string")
+    assert append_new(df, str(tmp_path / "t"), ["id"]) == 1
+    for f in (tmp_path / "t").rglob("*.parquet"):
+        f.write_bytes(b"broken")
+    with pytest.raises(Exception):
+        append_new(df, str(tmp_path / "t"), ["id"])
+
+
+def test_tables_as_csv_and_several_extractors(spark, tmp_path):
+    rows = [("a", " Table ", "x | 1\ny | 2", 1), ("a", "text", "no", 1), ("b", "TABLE", None, 1), ("b", "table", "z", 2)]
+    save_tables_as_csv(spark.createDataFrame(rows, "source string, type string, content string, page int"), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
+    files = spark.createDataFrame([("/in/a.pdf", b"x")], "path string, content binary")
+
+    def breaks(data):
+        raise ValueError("no")
+
+    got = parse_files(files, {".pdf": [lambda d: [("text", "one", 1)], breaks, lambda d: [("table", "two", 2)]]}).collect()
+    assert [(r.type, r.content, r.error) for r in got] == [("text", "one", None), (None, None, "ValueError: no"), ("table", "two", None)]
+
+
+def test_chunks_as_an_index_takes_them(spark):
+    long = "The pump of ADK-GT-01 failed again. " * 40
+    docs = spark.createDataFrame([(1, long, "s", "PVT", "ADK-GT-01", ["ADK-GT-01", "BRH-GT-02"]), (2, "short", "s", None, None, None), (3, None, "s", None, None, None), (4, " ", None, None, None, None)], "doc_id long, text string, source string, doc_type string, primary_well string, all_wells array<string>")
+    got = chunk.chunk_documents(docs).collect()
+    assert {r.doc_id for r in got} == {1, 2} and all(r.text.startswith("[Context: Source: s | Type: PVT") and r.chunk_wells == ["ADK-GT-01"] for r in got if r.doc_id == 1)
+    assert [(r.text, r.chunk_wells) for r in got if r.doc_id == 2] == [("short", None)]
+
+
 def test_models(spark):
     class Fails:
         def __call__(self, prompts, images):

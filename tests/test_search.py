@@ -103,3 +103,22 @@ def test_graph_of_copied_vectors(spark, tmp_path):
     assert {tuple(r) for r in retrieval.bfs_1hop(spark, str(tmp_path)).collect()} == want
     two = {(s, v, 0 if v == s else 1 if near[s, v] else 2) for s in (0, 100, 200, 300) for v in range(330) if v == s or near[s, v] or (near[s] & near[v]).any()}
     assert {tuple(r) for r in retrieval.bfs_2hop(spark, str(tmp_path)).collect()} == two
+
+
+def test_struct_fields_of_the_index(spark):
+    rows = [(1, (1.5, None, [1.5, 2.0]), ["a", None]), (2, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, depth struct<min:double,max:double,all_values:array<double>>, wells array<string>")
+    got = {(r.field, r.value, r.doc_id) for r in metadata_index(docs, "doc_id", [], ["wells"], ["depth"]).collect()}
+    assert got == {("wells", "a", 1), ("depth.min", "1.5", 1), ("depth.all_values", "[1.5, 2.0]", 1)}
+
+
+def test_many_questions_meet_the_rows_in_blocks(spark, monkeypatch):
+    from corespar.operators import dense
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    asked = docs.selectExpr("doc_id as query_id", "embedding as vector")
+    few = sorted(tuple(r) for r in dense_topk(asked, docs, k=3, dim=8).collect())
+    monkeypatch.setattr(dense, "BROADCAST_QUESTIONS", 10)
+    assert sorted(tuple(r) for r in dense_topk(asked, docs, k=3, dim=8).collect()) == few and len(few) == 150
