@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -29,35 +30,64 @@ SIGN_EDGES = [0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.6]
 ODD = re.compile(r"[^\w\s.,;:|()/%°<>'’\"&–—-]")
 
 
-def line_features(line: str, common: frozenset[str], known: frozenset[str], in_text: int) -> tuple[int, ...]:
+EDGES, FIELD = ".,;:()[]\"'!?•*", 40  # signs left out around a token; bits of a count
+
+
+class Tokens(dict):
+    """What a token adds to the counts of its line (words, common words, known words, words with a vowel), FIELD bits each.
+
+    Looked up once for each different token of a task; `bare` has the tokens without the signs around them.
+    """
+
+    def __init__(self, common: frozenset[str], known: frozenset[str]):
+        super().__init__()
+        self.common, self.known, self.bare = common, known, _Bare()
+
+    def __missing__(self, token: str) -> int:
+        word = self.bare[token]
+        if len(self) > 1_000_000:
+            self.clear()
+        lower = word.lower()
+        facts = (True, lower in self.common, lower in self.known, not VOWELS.isdisjoint(word)) if WORD.fullmatch(word) else ()
+        self[token] = value = sum(1 << (FIELD * i) for i, f in enumerate(facts) if f)
+        return value
+
+
+class _Bare(dict):
+    def __missing__(self, token: str) -> str:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[token] = bare = token.strip(EDGES)
+        return bare
+
+
+def line_features(line: str, seen: Tokens, in_text: int) -> tuple[int, ...]:
     """Bin numbers of a line's statistics."""
     n = max(1, len(line))
     tokens = line.split()
     t = len(tokens)
-    stripped = [x.strip(".,;:()[]\"'!?•*") for x in tokens]
-    words = [x for x in stripped if WORD.fullmatch(x)]
-    w = len(words)
-    lower = [x.lower() for x in words]
+    counts = sum(map(seen.__getitem__, tokens))
+    w, common, known, vowels = (counts >> (FIELD * i) & ((1 << FIELD) - 1) for i in range(4))
     signs = n - sum(map(str.isalnum, line)) - (n - sum(map(len, tokens)))
     cells = [c for c in CELLS.split(line.strip()) if c.strip()]
     values = sum(1 for c in cells[1:] if VALUE.match(c))
     last = line.rstrip()[-1:]
     tenth = lambda a, b: min(BINS - 1, int(BINS * a / b)) if b else 0
     return (
-        tenth(sum(x in common for x in lower), t),
-        tenth(sum(x in known for x in lower), t),
+        tenth(common, t),
+        tenth(known, t),
         bisect(SIGN_EDGES, signs / n),
         bisect(SIGN_EDGES, len(ODD.findall(line)) / n),
         tenth(sum(map(str.isdigit, line)), n),
-        min(BINS - 1, int(np.log2(1 + w))),
-        tenth(sum(not VOWELS.isdisjoint(x) for x in words), w),
-        min(BINS - 1, int(2 * np.log2(max(1.0, n / max(1, t))))),
+        min(BINS - 1, (1 + w).bit_length() - 1),
+        tenth(vowels, w),
+        min(BINS - 1, int(2 * log2(max(1.0, n / max(1, t))))),
         0 if not last else 1 if last in ".!?" else 2 if last in ",;:" else 3 if last.isdigit() else 4,
         1 if ITEM.match(line) and w else 2 if "....." in line and w else 0,
         tenth(values, len(cells) - 1) if len(cells) > 1 else 0,
         min(BINS - 1, len(cells)),
-        tenth(len(set(stripped)), t),
-        min(BINS - 1, int(np.log2(1 + in_text))),
+        tenth(len(set(map(seen.bare.__getitem__, tokens))), t),
+        min(BINS - 1, (1 + in_text).bit_length() - 1),
     )
 
 
@@ -75,7 +105,7 @@ class LineModel:
         self.start, self.step, self.emit = start, step, emit
 
     @classmethod
-    def fit(cls, texts: list[str], classes: list[str], common: frozenset[str], known: frozenset[str]) -> LineModel:
+    def fit(cls, texts: list[str], classes: list[str], seen: Tokens) -> LineModel:
         """All lines of a labelled text have its class; a line counts as a fraction of its text, so long texts don't dominate."""
         k = len(CLASSES)
         start, step, emit = np.ones(k), np.full((k, k), 0.01), np.full((k, FEATURES, BINS), 0.5)
@@ -85,7 +115,7 @@ class LineModel:
             start[c] += 1
             step[c, c] += len(lines) - 1
             for line in lines:
-                for f, b in enumerate(line_features(line, common, known, len(lines))):
+                for f, b in enumerate(line_features(line, seen, len(lines))):
                     emit[c, f, b] += 1 / min(len(lines), 4)
         return cls(np.log(start / start.sum()), np.log(step / step.sum(axis=1, keepdims=True)), np.log(emit / emit.sum(axis=2, keepdims=True)))
 
@@ -104,12 +134,12 @@ class LineModel:
             states[t - 1] = back[t][states[t]]
         return states
 
-    def shares(self, text: str, common: frozenset[str], known: frozenset[str]) -> np.ndarray | None:
+    def shares(self, text: str, seen: Tokens) -> np.ndarray | None:
         """Shares of the four classes in the text's characters; None for a blank text."""
         lines = text_lines(text)
         if not lines:
             return None
-        states = self.viterbi(np.array([line_features(x, common, known, len(lines)) for x in lines]))
+        states = self.viterbi(np.array([line_features(x, seen, len(lines)) for x in lines]))
         share = np.bincount(states, weights=[len(x) for x in lines], minlength=len(CLASSES))
         return share / share.sum()
 
@@ -127,8 +157,9 @@ def listed(words: DataFrame) -> list[str]:
 
 def _classify(model: LineModel, common: frozenset[str], known: frozenset[str]):
     def run(batches):
+        seen = Tokens(common, known)
         for batch in batches:
-            found = [model.shares(t, common, known) for t in batch.column(1).to_pylist()]
+            found = [model.shares(t, seen) for t in batch.column(1).to_pylist()]
             shares = np.array([np.zeros(len(CLASSES)) if s is None else s for s in found]).reshape(-1, len(CLASSES))
             names = [None if s is None else CLASSES[int(s.argmax())] for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), *(pa.array(shares[:, i]) for i in range(len(CLASSES)))], names=["id", "text_class", *(f"share_{c}" for c in CLASSES)])
@@ -154,7 +185,7 @@ def classify_texts(elements: DataFrame, labels: DataFrame, common_words: DataFra
     known = common | frozenset(listed(lexicon))
     picked = labels.where(F.col("text_class").isin(*CLASSES) & F.col("element_id").isNotNull()).orderBy(F.xxhash64("element_id"), "element_id").limit(LABELLED)
     rows = _text_elements(elements).join(F.broadcast(picked.select(F.col("element_id").alias("id"), "text_class")), "id").orderBy("id").collect()
-    model = LineModel.fit([r["content"] for r in rows], [r["text_class"] for r in rows], common, known)
+    model = LineModel.fit([r["content"] for r in rows], [r["text_class"] for r in rows], Tokens(common, known))
     schema = "id bigint, text_class string, " + ", ".join(f"share_{c} double" for c in CLASSES)
     return _text_elements(elements).mapInArrow(_classify(model, common, known), schema).where("text_class is not null").withColumnRenamed("id", "element_id")
 
