@@ -21,6 +21,12 @@ class Embedder(Protocol):
     def __call__(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class Tagger(Protocol):
+    """Texts to their named entities, (label, text) in the order of their places; runs inside tasks."""
+
+    def __call__(self, texts: list[str]) -> list[list[tuple[str, str]]]: ...
+
+
 def embed(df: DataFrame, embedder: Embedder, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
     """The frame with a vector for each text, computed by Arrow batches; a null text gets a null vector."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corespar.models import Generator, generate, prompt
+from corespar.models import Generator, Tagger, generate, prompt
 from corespar.operators import answer, extract, route
 from corespar.operators.dense import text_topk
 from corespar.operators.fusion import FINAL_LIMIT, rrf
@@ -98,6 +99,26 @@ def extract_all(docs: DataFrame, text_col: str = "text", name_col: str = "filena
     return out.withColumn("primary_well", extract.primary_well(F.col("wells"), name))
 
 
+# Labels of named entities among which wells are looked for, and what a well's name has in them.
+TAGGED = ("ORG", "FAC", "PRODUCT")
+TAGGED_WELL = r"[A-Z]{2,}[-_\s]?\d+"
+
+
+def wells_by_tagger(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, wells): wells among the named entities that a tagger finds in each text, different ones in the order of their places.
+
+    The tagger is passed in and runs in tasks, by Arrow batches; whole texts are given to it. Null texts have an empty list.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            found = tagger([t or "" for t in pdf["text"]])
+            yield pdf[["id"]].assign(found=pd.Series([[x for label, x in one if label in TAGGED] for one in found], index=pdf.index, dtype=object))
+
+    tagged = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id bigint, found array<string>")
+    return tagged.select(F.col("id").alias(id_col), F.array_distinct(F.filter("found", lambda x: x.rlike(TAGGED_WELL))).alias("wells"))
+
+
 def describe_images(elements: DataFrame, generator: Generator, image_col: str | None = None, context_col: str = "content") -> DataFrame:
     """(element_id, kind, text, error) of each image element: its class and its description as one text.
 

@@ -61,6 +61,15 @@ def test_model_metadata_and_images(spark):
     assert json.loads(body) == {"model": "m", "prompt": "what ?", "stream": False, "options": {"temperature": 0.1}, "images": ["YWJj"]}
 
 
+def test_wells_by_a_tagger(spark):
+    docs = spark.createDataFrame([(1, "ADK 12 of Shell near GT-7, ADK 12"), (2, None), (3, "")], "doc_id long, text string")
+
+    def tagger(texts):
+        return [[("ORG", "ADK 12"), ("ORG", "Shell"), ("GPE", "GT-7"), ("FAC", "ADK 12")] if "Shell" in t else [] for t in texts]
+
+    assert {r.doc_id: r.wells for r in pipeline.wells_by_tagger(docs, tagger).collect()} == {1: ["ADK 12"], 2: [], 3: []}
+
+
 CHUNK = "doc_id long, text string, source string, page int, primary_well string, doc_type string, all_wells array<string>, term string"
 
 
