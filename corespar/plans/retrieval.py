@@ -6,6 +6,7 @@ query set that grows with the data, asked against all rows.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corespar.functions.text import tokens
@@ -17,8 +18,9 @@ from corespar.operators.fusion import postfilter, rrf
 from corespar.operators.graph import degrees, expanded, membership, similarity_edges, traverse
 from corespar.operators.index import Index, build_index
 from corespar.operators.metadata import metadata_index, search_metadata
+from corespar.operators.sparse import as_arrays
 from corespar.plans.registry import ORACLE, query
-from corespar.session import cut, scratch
+from corespar.session import cut, scratch, stored
 from corespar.tables import spread, table
 
 TREE_DIMS = 64
@@ -53,13 +55,19 @@ def _stored(spark, folder) -> Index:
     return Index.open(spark, _INDEXES[key])
 
 
-def _tree(spark, folder):
-    """A summary tree over the chunks, by their hashed vectors in TREE_DIMS dimensions."""
-    docs = _chunks(spark, folder).where("text is not null")
-    parts = hashed_terms(docs, TREE_DIMS).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("m"))
-    vectors = parts.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(TREE_DIMS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector"))
-    nodes = docs.join(vectors, "doc_id", "left").select(F.col("doc_id").alias("node_id"), "text", "primary_well", "doc_type", "vector")
-    return tree.build_tree(nodes)
+_TREES: dict[tuple[str, str], DataFrame] = {}
+
+
+def _tree(spark, folder) -> DataFrame:
+    """A summary tree over the chunks, by their hashed vectors in TREE_DIMS dimensions; written by the first query that needs it."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _TREES:
+        docs = _chunks(spark, folder).where("text is not null")
+        parts = as_arrays(hashed_terms(docs, TREE_DIMS)).select("doc_id", F.map_from_arrays("dims", "weights").alias("m"))
+        vectors = parts.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(TREE_DIMS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector"))
+        nodes = docs.join(vectors, "doc_id", "left").select(F.col("doc_id").alias("node_id"), "text", "primary_well", "doc_type", "vector")
+        _TREES[key] = stored(tree.build_tree(nodes))
+    return _TREES[key]
 
 
 def _documents(spark, folder):
@@ -304,13 +312,19 @@ ORACLE["bfs_2hop"] = f"WITH {EDGES_SQL}, {NEXT_SQL}, v AS (SELECT vec_id AS quer
 
 @query
 def graph_expand_union(spark, folder):
-    """Seeds with their scores and the expanded nodes without, both kept as the graph strategy does."""
-    seeds = _seeds(spark, folder)
-    scored = seeds.withColumn("score", F.lit(1.0))
-    return scored.unionByName(traverse(seeds, _edges(spark, folder), 2, 20, _members(spark, folder)).drop("hop"), allowMissingColumns=True)
-
-
-ORACLE["graph_expand_union"] = ORACLE["bfs_1hop"].replace("SELECT query_id, doc_id, CAST(hop AS INT) AS hop FROM v", "SELECT query_id, doc_id, NULL::DOUBLE AS score FROM v") + " UNION ALL SELECT vec_id, vec_id, 1.0 FROM embeddings WHERE vec_id % 100 = 0"
+    """The graph strategy: the five nearest of each question vector with their scores, then what is visited from them, without; both are kept."""
+    vectors = table(spark, folder, "embeddings")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    seeds = cut(dense_topk(asked, vectors, k=5, dim=64, id_col="vec_id").drop("rank"))
+    return seeds.unionByName(traverse(seeds, _edges(spark, folder), 2, 20, _members(spark, folder)).drop("hop"), allowMissingColumns=True)
+
+
+ORACLE["graph_expand_union"] = f"""WITH {EDGES_SQL}, {NEXT_SQL},
+c AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(1 / (3 - 2 * least(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 1)), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
+s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5),
+v AS (SELECT query_id, doc_id, min(hop) AS hop FROM (SELECT query_id, doc_id, 0 AS hop FROM s UNION ALL SELECT s.query_id, nb.b, 1 FROM s JOIN nb ON nb.a = s.doc_id) GROUP BY ALL),
+seen AS (SELECT query_id, doc_id, NULL::DOUBLE AS score FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, doc_id) <= 20)
+SELECT query_id, doc_id, score FROM s UNION ALL SELECT * FROM seen"""
 
 # --- extraction and routing
 

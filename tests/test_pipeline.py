@@ -83,7 +83,9 @@ def stored_index(spark, chunks, folder):
     return Index.open(spark, folder)
 
 
-def test_stored_index_answers_as_the_texts_do(spark, tmp_path):
+def test_stored_index_answers_as_the_texts_do(spark, tmp_path, monkeypatch):
+    from corespar.operators import sparse
+
     chunks = some_chunks(spark)
     index = stored_index(spark, chunks, str(tmp_path))
     questions = spark.createDataFrame([(1, "pump 2 of ADK-GT-01"), (2, "nothing there"), (3, None), (4, "pump pump chunk 5")], "query_id long, question string")
@@ -92,6 +94,10 @@ def test_stored_index_answers_as_the_texts_do(spark, tmp_path):
     seeds = spark.createDataFrame([(7, 0), (7, 50)], "query_id long, doc_id long")
     near = {r.doc_id for r in index.similar_to(seeds, 0.7).collect()}
     assert near and 0 not in near and near <= set(range(12))
+    few = sorted(tuple(r) for r in index.text_topk(questions, 5).collect())
+    monkeypatch.setattr(sparse, "SCAN_QUESTIONS", 1)  # more questions than a task is sent meet the rows in blocks
+    assert sorted(tuple(r) for r in index.text_topk(questions, 5).select("query_id", "doc_id", "score", "rank").collect()) == few
+    assert {r.doc_id for r in index.similar_to(seeds, 0.7).collect()} == near
     parts = index.postings.where("term_part in (1, 2)").inputFiles()
     assert parts and all("term_part=" in f for f in parts)
     empty = stored_index(spark, chunks.limit(0), str(tmp_path / "none"))
