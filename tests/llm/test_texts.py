@@ -114,6 +114,16 @@ def test_forms_with_a_long_common_opening_are_split(spark, monkeypatch):
     assert {(r.element_id, r.first_id, r.copies) for r in got} == {(i, i % 90, 2 if i % 90 < 30 else 1) for i in range(120)}
 
 
+def test_tries_of_a_partition_are_bounded(spark, monkeypatch):
+    """Forms given out by several tries of one partition are still one record."""
+    from corespar.llm import copies
+
+    monkeypatch.setattr(copies, "TRIE_ROWS", 7)
+    rows = [(i, "text", f"the record number {i % 5} about the pump and the valve of the well") for i in range(100)]
+    got = collapse(spark.createDataFrame(rows, "element_id long, type string, content string")).collect()
+    assert {(r.element_id, r.first_id, r.copies) for r in got} == {(i, i % 5, 20) for i in range(100)}
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.text("ab", max_size=20), max_size=40))
 def test_counting_trie(keys):

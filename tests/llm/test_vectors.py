@@ -1,11 +1,12 @@
 """Problems 1 and 6 against brute force, and on odd input."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corespar.llm.clusters import DENSITY, similarity_clusters, smallest_labels, word_links
-from corespar.llm.similar import similar_pairs, similar_vectors
-from corespar.llm.vectors import DIM, FourBitCode
+from corespar.llm.similar import TABLE_SLACK, _search, similar_pairs, similar_vectors
+from corespar.llm.vectors import DIM, FourBitCode, cell_count, packed, sample
 
 SCHEMA = "element_id long, embedding array<float>, rank int, id long, vector string"  # the last three clash with inner names
 
@@ -92,6 +93,42 @@ def test_four_bit_code():
     assert parallel(aware) < parallel(plain)  # the residual along the vector is what the loss punishes
 
 
+def test_table_scan_gives_the_dot_products():
+    x = unit(cloud(16, 3000)).astype(np.float32)
+    code = FourBitCode.fit(x)
+    words = code.encode(x)
+    asked = x[:70]
+    tables, base, step = code.tables(asked)
+    columns = np.ascontiguousarray(FourBitCode.nibbles(words).T).astype(np.intp)
+    got = base + step * FourBitCode.scan(tables, columns, block=500).astype(np.float64)
+    assert np.abs(got - code.decode(words) @ asked.T).max() < TABLE_SLACK
+    assert tables.dtype == np.uint16 and tables.shape == (24, 256, 70)
+
+
+def test_what_is_compared_does_not_hang_on_the_block(spark):
+    """The same question in the company of others has the same neighbours."""
+    x = cloud(17, 700, topics=5, noise=0.02)  # crowded: many rows lie closer together than codes tell
+    code = FourBitCode.fit(unit(x).astype(np.float32))
+    table = lambda order: _cell(unit(x).astype(np.float32)[order], np.asarray(order), code)
+    run = _search(code, 10, None)
+    one, two = (run(table(o)).to_pandas() for o in (list(range(700)), list(reversed(range(700)))))
+    a, b = ({(r.q, r.d) for r in f.itertuples()} for f in (one, two))
+    assert a == b and len(a) == 7000
+    g = unit(x) @ unit(x).T
+    np.fill_diagonal(g, -2)
+    tenth = np.sort(g, axis=1)[:, -10]
+    assert sum(g[q, d] >= tenth[q] - 1e-6 for q, d in a) >= 0.995 * 7000
+
+
+def _cell(x, ids, code):
+    words = code.encode(x)
+    rest = x - code.decode(words)
+    facts = np.stack([(x * rest).sum(axis=1), np.linalg.norm(rest, axis=1)], axis=1).astype(np.float32)
+    coded = packed(np.concatenate([FourBitCode.nibbles(words), facts.view(np.uint8)], axis=1))
+    yes = pa.array(np.ones(len(x), bool))
+    return pa.table({"kind": pa.array(np.zeros(len(x), np.int32)), "id": pa.array(ids.astype(np.int64)), "vector": packed(x), "code": coded, "asks": yes, "kept": yes})
+
+
 def components(pairs, ids, least=5):
     parent = {i: i for i in ids}
 
@@ -206,3 +243,19 @@ def test_chunks_of_a_template_are_linked(spark):
     assert {(r.record_id, r.cluster_id, r.size) for r in found} == {(i, 0, 60) for i in range(60)}
     links = word_links(chunks, "chunk_id", "text", 0.5, 30, 10).where(f"kind = {DENSITY}").collect()
     assert {r.a: r.n for r in links}.keys() == set(range(60)) and all(r.n >= 59 for r in links)
+
+
+def test_bounds_of_what_is_fitted(spark):
+    """The sample has its bound, however many rows there are; cells follow the square root of the rows up to theirs."""
+    df = frame(spark, cloud(18, 3000))
+    assert len(sample(df.select("element_id", "embedding"), "element_id", "embedding", 3000, bound=500)) == 500
+    assert [cell_count(n) for n in (0, 24_000, 212_000, 10**9, 10**15)] == [8, 8, 32, 2048, 16_384]
+
+
+def test_typical_members_come_from_the_densest_cell(spark):
+    rng = np.random.default_rng(19)
+    centre = rng.normal(size=DIM)
+    x = np.concatenate([centre + 0.02 * rng.normal(size=(30, DIM)), centre + 0.45 * rng.normal(size=(10, DIM))]).astype(np.float32)
+    got = similarity_clusters(frame(spark, x), spark.createDataFrame([], CHUNKS), probes=64).collect()
+    typical = [r for r in got if r.typical_rank]
+    assert {r.record_id for r in typical} <= set(range(30)) and [r.links for r in sorted(typical, key=lambda r: r.typical_rank)] == sorted((r.links for r in typical), reverse=True)
