@@ -1,8 +1,8 @@
 """Problem 6: groups of mutually similar records.
 
-Features are quantised to the cells of a grid: a codebook of unit vectors (a grid of intervals tells nothing in 96 dimensions). A
-record stands in its own cell and, as a guest, in the next nearest cells, so cells that touch share records. Cells are counted; each
-links its records by their true similarity and gives out its dense groups as stars instead of pairs. Groups of touching cells that
+Features are quantised to the cells of a grid: codebooks of unit vectors (a grid of intervals tells nothing in 96 dimensions). A
+record stands in its own cell of each codebook and, as a guest, in the next nearest cells, so cells that touch share records; what one
+codebook parts, another seldom does. Cells are counted; each links its records by their true similarity and gives out its dense groups as stars instead of pairs. Groups of touching cells that
 share a record are joined by propagating the smallest label until none changes. The most typical members are those with the
 most links in the cell in which a group is densest.
 """
@@ -21,16 +21,18 @@ from pyspark.sql import functions as F
 from corespar.session import cut, stored
 from corespar.tables import spread
 
-from .cells import GUEST, HOME, SIZES, cell_sizes, hot_cells, in_parts, vector_cells
+from .cells import GUEST, HOME, hot_cells, in_parts
 from .similar import same_rows
-from .vectors import DIM, SAMPLE, cell_count, fit_cells, nearest_cells, packed, sample, scaled, unpacked, unscaled, usable_rows
+from .vectors import DIM, MOST_CELLS, SAMPLE, cell_count, fit_cells, nearest_cells, packed, sample, scaled, unpacked, unscaled, usable_rows
 
 PART_ROWS = 32_768  # rows of one cell that one task compares at most, of either side
 EDGE, MAYBE, DENSITY = 10, 11, 12  # a record and its group's first; a pair to verify; a record, its cell and its links there
 OUT = "record_kind string, kind int, a bigint, b bigint, n int"
-PLACED = "cell int, kind int, id bigint, payload binary, other bigint"
+MET = "id bigint, payload binary, cells array<int>, other bigint"  # a record and its cells, or a copy and its first record (other)
 WORDS = re.compile(r"[^\W_]+")
 BUCKETS = 65_536
+LEAST_ROWS = 128  # records for each cell: with fewer, the cells would part what belongs together
+VECTOR_BOOKS, WORD_BOOKS = 2, 3
 
 
 def _star(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,34 +51,27 @@ def _star(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         labels = new
 
 
-def _batch(cell, kind: int, ids: np.ndarray, payload, other=None) -> pa.RecordBatch:
-    n = len(ids)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.broadcast_to(np.asarray(cell, np.int32), n)),
-            pa.array(np.full(n, kind, np.int32)),
-            pa.array(ids),
-            pa.nulls(n, pa.binary()) if payload is None else payload,
-            pa.nulls(n, pa.int64()) if other is None else pa.array(other),
-        ],
-        names=["cell", "kind", "id", "payload", "other"],
-    )
+def _cells_of(x: np.ndarray, books: list[np.ndarray], probes: int) -> np.ndarray:
+    """The nearest cells in each codebook, numbered one codebook after the other."""
+    return np.concatenate([nearest_cells(x, c, probes) + np.int32(k * len(c)) for k, c in enumerate(books)], axis=1)
 
 
-def _placed(ids: np.ndarray, x: np.ndarray, payload: pa.Array, centroids: np.ndarray, probes: int):
-    cells = nearest_cells(x, centroids, probes)
-    for j in range(cells.shape[1]):
-        yield _batch(cells[:, j], GUEST if j else HOME, ids, payload)
+def _placed(ids: np.ndarray, payload: pa.Array, cells: np.ndarray) -> pa.RecordBatch:
+    offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * cells.shape[1])
+    lists = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(cells, np.int32).ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(ids), payload, lists, pa.nulls(len(ids), pa.int64())], names=["id", "payload", "cells", "other"])
 
 
 def _equal(groups: list[np.ndarray], ids: np.ndarray):
-    """Edges from the copies of a record within a partition to its first; only that one is placed."""
+    """The copies of a record within a batch and its first; only that one is placed."""
     copies = [ids[g] for g in groups if len(g) > 1]
     if copies:
-        yield _batch(-1, EDGE, np.concatenate([g[1:] for g in copies]), None, np.repeat([g[0] for g in copies], [len(g) - 1 for g in copies]))
+        other = np.repeat([g[0] for g in copies], [len(g) - 1 for g in copies])
+        a = np.concatenate([g[1:] for g in copies])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.list_(pa.int32())), pa.array(other)], names=["id", "payload", "cells", "other"])
 
 
-def _place_vectors(centroids: np.ndarray, probes: int):
+def _place_vectors(books: list[np.ndarray], probes: int):
     def run(batches):
         for batch in batches:
             ids, x = usable_rows(batch.column(0), batch.column(1))
@@ -86,13 +81,13 @@ def _place_vectors(centroids: np.ndarray, probes: int):
             yield from _equal(groups, ids)
             first = np.array([g[0] for g in groups])
             ids, x = ids[first], x[first]
-            yield from _placed(ids, x, packed(scaled(x)), centroids, probes)
+            yield _placed(ids, packed(scaled(x)), _cells_of(x, books, probes))
 
     return run
 
 
-def _link(record_kind: str, cell: int, ids: np.ndarray, asks: np.ndarray, compare: Callable) -> pa.Table:
-    """Stars, doubtful pairs and densities of one cell. compare(rows) gives (row, other, sure?) of those rows against all."""
+def _link(record_kind: str, cell: int, counted: int, ids: np.ndarray, asks: np.ndarray, compare: Callable) -> pa.Table:
+    """Stars, doubtful pairs and, in the `counted` cells of the first codebook, densities of one cell. compare(rows) gives (row, other, sure?) of those rows against all."""
     labels = np.arange(len(ids))
     order = np.argsort(ids, kind="stable")  # labels follow the ids, so the smallest label is the smallest id
     rank = np.empty_like(order)
@@ -112,7 +107,7 @@ def _link(record_kind: str, cell: int, ids: np.ndarray, asks: np.ndarray, compar
     r, d = (np.concatenate(z) for z in zip(*doubtful))
     open_ = root[r] != root[d]
     r, d = r[open_], d[open_]
-    linked, dense = root != ids, asks & (density > 0)
+    linked, dense = root != ids, asks & (density > 0) & (cell < counted)
     a = np.concatenate([ids[linked], ids[r], ids[dense]])
     n = len(a)
     return pa.table(
@@ -126,19 +121,9 @@ def _link(record_kind: str, cell: int, ids: np.ndarray, asks: np.ndarray, compar
     )
 
 
-def _passed_on(table: pa.Table, record_kind: str) -> pa.Table | None:
-    """The rows that are edges already."""
-    if len(table) and table.column("kind")[0].as_py() == EDGE:
-        n = len(table)
-        return pa.table({"record_kind": pa.array([record_kind] * n, pa.string()), "kind": table.column("kind"), "a": table.column("id"), "b": table.column("other"), "n": pa.array(np.zeros(n, np.int32))})
-    return None
-
-
-def _link_vectors(least: float, slack: float = 0.006):
+def _link_vectors(least: float, counted: int, slack: float = 0.006):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        if (edges := _passed_on(table, "element")) is not None:
-            return edges
         ids, x = table.column("id").to_numpy(), unscaled(unpacked(table.column("payload"), np.int8, DIM + 4))
         asks, kept = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "kept"))
         others = np.flatnonzero(kept)
@@ -149,7 +134,7 @@ def _link_vectors(least: float, slack: float = 0.006):
             r, d = np.divmod(np.flatnonzero(s >= least - slack), s.shape[1])
             return rows[r], others[d], s[r, d] >= least + slack
 
-        return _link("element", table.column("cell")[0].as_py(), ids, asks, compare)
+        return _link("element", table.column("cell")[0].as_py(), counted, ids, asks, compare)
 
     return run
 
@@ -172,7 +157,7 @@ def _sets(batch: pa.RecordBatch, least_words: int, known: dict[str, int]) -> tup
             try:
                 buckets = {known[w] for w in words}
             except KeyError:
-                for w in words - known.keys():
+                for w in [w for w in words if w not in known]:  # a set less the keys would go through all keys
                     known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
                 buckets = {known[w] for w in words}
             ids.append(i)
@@ -229,18 +214,7 @@ def _features(flat: np.ndarray, starts: np.ndarray, weighted: np.ndarray) -> np.
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def _set_cells(centroids: np.ndarray, weights: np.ndarray, probes: int):
-    def run(batches):
-        wide = _projection(weights**PLACE_POWER)
-        for batch in batches:
-            _, _, flat, starts = _unpacked_sets(batch)
-            if len(starts) > 1:
-                yield cell_sizes(nearest_cells(_features(flat, starts, wide), centroids, probes))
-
-    return run
-
-
-def _place_sets(centroids: np.ndarray, weights: np.ndarray, probes: int):
+def _place_sets(books: list[np.ndarray], weights: np.ndarray, probes: int):
     def run(batches):
         wide = _projection(weights**PLACE_POWER)
         for batch in batches:
@@ -253,7 +227,8 @@ def _place_sets(centroids: np.ndarray, weights: np.ndarray, probes: int):
             groups = [np.array(g) for g in same.values()]
             yield from _equal(groups, ids)
             first = np.array([int(g[0]) for g in groups])
-            yield from _placed(ids[first], _features(flat, starts, wide)[first], pa.array([raw[row] for row in first.tolist()], pa.binary()), centroids, probes)
+            cells = _cells_of(_features(flat, starts, wide), books, probes)[first]
+            yield _placed(ids[first], pa.array([raw[row] for row in first.tolist()], pa.binary()), cells)
 
     return run
 
@@ -268,18 +243,20 @@ def _as_bits(columns: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
 
 def _bits(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each record's words as bits over the words of its cell, and over FOLD columns: half for the most frequent words, half shared by the others."""
-    present, local, n = np.unique(flat, return_inverse=True, return_counts=True)
+    count = np.bincount(flat, minlength=BUCKETS)
+    present = np.flatnonzero(count)
+    number = np.empty(BUCKETS, np.int64)
+    number[present] = np.arange(len(present))
+    local = number[flat]
     place = np.empty(len(present), np.int64)
-    place[np.argsort(-n, kind="stable")] = np.arange(len(present))
+    place[np.argsort(-count[present], kind="stable")] = np.arange(len(present))
     column = np.where(place < FOLD // 2, place, FOLD // 2 + place % (FOLD // 2))
     return _as_bits(local, starts, len(present)), _as_bits(column[local], starts, FOLD)
 
 
-def _link_sets(least: float, slack: float = 0.03):
+def _link_sets(least: float, counted: int, slack: float = 0.03):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        if (edges := _passed_on(table, "chunk")) is not None:
-            return edges
         ids, payload = table.column("id").to_numpy(), table.column("payload").to_pylist()
         starts = np.concatenate([[0], np.cumsum([len(p) // 2 for p in payload])]).astype(np.int64)
         bits, folded = _bits(np.frombuffer(b"".join(payload), np.uint16), starts)
@@ -311,7 +288,7 @@ def _link_sets(least: float, slack: float = 0.03):
                     out.append((r[keep], d[keep], jaccard[keep] >= least + slack))
             return tuple(np.concatenate(z) for z in zip(*out))
 
-        return _link("chunk", table.column("cell")[0].as_py(), ids, asks, compare)
+        return _link("chunk", table.column("cell")[0].as_py(), counted, ids, asks, compare)
 
     return run
 
@@ -366,23 +343,39 @@ def smallest_labels(edges: DataFrame) -> DataFrame:
         labels = new.drop("old")
 
 
-def _in_cells(placed: DataFrame, sizes: DataFrame, link) -> DataFrame:
-    """What each cell says of its records, cells too large for a task in parts."""
-    return in_parts(placed, hot_cells(sizes, PART_ROWS, PART_ROWS)).groupBy("cell", "part").applyInArrow(link, OUT)
+def _books(sampled: np.ndarray, total: int, wider: int, books: int) -> list[np.ndarray]:
+    """Codebooks that part the records differently: `wider` times the usual number of cells, as long as a cell has a hundred records.
+
+    What a record is compared with and the cells it is compared to for its place both grow as the root of the records.
+    """
+    cells = min(MOST_CELLS, wider * cell_count(total), max(2 * cell_count(1), total // LEAST_ROWS))
+    return [fit_cells(sampled, cells, rounds=3, seed=7 + k) for k in range(books)]
+
+
+def _in_cells(met: DataFrame, record_kind: str, probes: int, link) -> DataFrame:
+    """What each cell says of its records, cells too large for a task in parts, and the copies. probes: cells of a record in one codebook."""
+    placed = met.where("other is null").select(F.posexplode("cells").alias("pos", "cell"), "id", "payload").select("cell", F.when(F.col("pos") % probes == 0, HOME).otherwise(GUEST).alias("kind"), "id", "payload")
+    sizes = placed.select("cell", (F.col("kind") == HOME).cast("long").alias("homes"), (F.col("kind") == GUEST).cast("long").alias("guests"))
+    copies = met.where("other is not null").select(F.lit(record_kind).alias("record_kind"), F.lit(EDGE).alias("kind"), F.col("id").alias("a"), F.col("other").alias("b"), F.lit(0).alias("n"))
+    return in_parts(placed, hot_cells(sizes, PART_ROWS, PART_ROWS)).groupBy("cell", "part").applyInArrow(link, OUT).unionByName(copies)
+
+
+def _open(found: DataFrame) -> DataFrame:
+    """The pairs to verify, each once, whichever codebooks found it."""
+    return found.where(F.col("kind") == MAYBE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def vector_links(df: DataFrame, id_col: str, vector_col: str, least: float, probes: int) -> DataFrame:
+def vector_links(df: DataFrame, id_col: str, vector_col: str, least: float, probes: int, books: int = VECTOR_BOOKS) -> DataFrame:
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id is not null and vector is not null")
     total = rows.count()
-    sampled = sample(rows, "id", "vector", total)
-    centroids = fit_cells(sampled, cell_count(total))
-    placed = spread(rows).mapInArrow(_place_vectors(centroids, probes), PLACED)
-    found = cut(_in_cells(placed, spread(rows).mapInArrow(vector_cells(centroids, probes), SIZES), _link_vectors(least)))
-    sure = _verified(found.where(F.col("kind") == MAYBE).select("a", "b"), rows.mapInArrow(_unit, "id bigint, value binary"), _cosines, least)
+    fitted = _books(sample(rows, "id", "vector", total), total, 16, books)
+    met = stored(spread(rows).mapInArrow(_place_vectors(fitted, probes), MET))
+    found = cut(_in_cells(met, "element", min(probes, len(fitted[0])), _link_vectors(least, len(fitted[0]))))
+    sure = _verified(_open(found), rows.mapInArrow(_unit, "id bigint, value binary"), _cosines, least)
     return found.where(F.col("kind") != MAYBE).unionByName(sure.select(F.lit("element").alias("record_kind"), F.lit(EDGE).alias("kind"), "a", "b", F.lit(0).alias("n")))
 
 
-def word_links(df: DataFrame, id_col: str, text_col: str, least: float, least_words: int, probes: int) -> DataFrame:
+def word_links(df: DataFrame, id_col: str, text_col: str, least: float, least_words: int, probes: int, books: int = WORD_BOOKS) -> DataFrame:
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     sets = stored(spread(rows).mapInArrow(_packed_sets(least_words), "id bigint, words binary"))
     counts = sets.mapInArrow(_word_counts, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS rows
@@ -395,14 +388,14 @@ def word_links(df: DataFrame, id_col: str, text_col: str, least: float, least_wo
     taken = sets.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).limit(2 * SAMPLE).toArrow()
     wide = _projection(weights**PLACE_POWER)
     sampled = np.concatenate([np.zeros((0, PLACE_DIM), np.float32), *(_features(*_unpacked_sets(b)[2:], wide) for b in taken.to_batches())])[:SAMPLE]
-    centroids = fit_cells(sampled, 2 * cell_count(total))  # word sets cost more to compare than vectors: narrower cells, more of them
-    placed = sets.mapInArrow(_place_sets(centroids, weights, probes), PLACED)
-    found = cut(_in_cells(placed, sets.mapInArrow(_set_cells(centroids, weights, probes), SIZES), _link_sets(least)))
-    sure = _verified(found.where(F.col("kind") == MAYBE).select("a", "b"), rows.select("id", F.col("text").alias("value")), _jaccards, least)
+    fitted = _books(sampled, total, 32, books)  # word sets cost more to compare than vectors: narrower cells, more of them
+    met = stored(spread(sets).mapInArrow(_place_sets(fitted, weights, probes), MET))
+    found = cut(_in_cells(met, "chunk", min(probes, len(fitted[0])), _link_sets(least, len(fitted[0]))))
+    sure = _verified(_open(found), rows.select("id", F.col("text").alias("value")), _jaccards, least)
     return found.where(F.col("kind") != MAYBE).unionByName(sure.select(F.lit("chunk").alias("record_kind"), F.lit(EDGE).alias("kind"), "a", "b", F.lit(0).alias("n")))
 
 
-def similarity_clusters(elements: DataFrame, chunks: DataFrame, least_cosine: float = 0.80, least_jaccard: float = 0.5, least_words: int = 30, least_size: int = 5, typical: int = 3, probes: int = 3, word_probes: int = 6) -> DataFrame:
+def similarity_clusters(elements: DataFrame, chunks: DataFrame, least_cosine: float = 0.80, least_jaccard: float = 0.5, least_words: int = 30, least_size: int = 5, typical: int = 3, probes: int = 4, word_probes: int = 4) -> DataFrame:
     """(record_kind, record_id, cluster_id, size, links, typical_rank): members of groups of at least `least_size` linked records.
 
     Elements are linked by the cosine of usable vectors, chunks by the share of their common words, directly or through others;

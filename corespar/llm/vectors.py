@@ -87,7 +87,7 @@ def fit_cells(x: np.ndarray, cells: int, rounds: int = 6, seed: int = 7) -> np.n
     x = np.unique(x, axis=0)
     centroids = x[rng.choice(len(x), min(cells, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        nearest = (x @ centroids.T).argmax(axis=1)
+        nearest = np.concatenate([(x[a : a + 2048] @ centroids.T).argmax(axis=1) for a in range(0, len(x), 2048)])  # never all rows by all cells
         order = np.argsort(nearest, kind="stable")
         present, starts = np.unique(nearest[order], return_index=True)
         total = np.add.reduceat(x[order], starts, axis=0)
@@ -114,10 +114,11 @@ def nearest_cells(x: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarr
     """The `probes` nearest cells of each vector, the nearest first; in blocks, so memory stays bounded."""
     probes = min(probes, len(centroids))
     out = np.empty((len(x), probes), dtype=np.int32)
-    for a in range(0, len(x), 4096):
-        s = x[a : a + 4096] @ centroids.T
+    rows = max(64, min(4096, (1 << 21) // len(centroids)))
+    for a in range(0, len(x), rows):
+        s = x[a : a + rows] @ centroids.T
         top = np.argpartition(-s, probes - 1, axis=1)[:, :probes] if probes < s.shape[1] else np.tile(np.arange(probes), (len(s), 1))
-        out[a : a + 4096] = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, axis=1), axis=1, kind="stable"), axis=1)
+        out[a : a + rows] = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, axis=1), axis=1, kind="stable"), axis=1)
     return out
 
 

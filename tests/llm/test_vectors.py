@@ -259,3 +259,31 @@ def test_typical_members_come_from_the_densest_cell(spark):
     got = similarity_clusters(frame(spark, x), spark.createDataFrame([], CHUNKS), probes=64).collect()
     typical = [r for r in got if r.typical_rank]
     assert {r.record_id for r in typical} <= set(range(30)) and [r.links for r in sorted(typical, key=lambda r: r.typical_rank)] == sorted((r.links for r in typical), reverse=True)
+
+
+def test_cells_of_large_tables_stay_small():
+    """At 6 GB a record meets a few thousand others in its cells, and several codebooks make up for narrow cells; few rows stay in few cells."""
+    from corespar.llm.clusters import _books
+
+    x = unit(np.random.default_rng(23).normal(size=(6000, 16)).astype(np.float32))
+    for rows, wider, books in ((9_600_000, 16, 2), (6_000_000, 32, 3)):
+        fitted = _books(x, rows, wider, books)
+        assert len(fitted) == books and not np.array_equal(fitted[0], fitted[1]) and all(rows / len(c) <= 2500 for c in fitted)
+    assert [len(_books(x, n, 32, 1)[0]) for n in (10, 2000, 15_000)] == [16, 16, 117]
+
+
+def test_new_words_are_looked_up_one_by_one():
+    """A text with a new word costs its own words, not all words known so far."""
+    import pyarrow as pa
+
+    from corespar.llm.clusters import _sets
+
+    class Known(dict):
+        def keys(self):
+            raise AssertionError("all known words")
+
+        __iter__ = keys
+
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["a b c", "b c d"]})
+    ids, flat, starts = _sets(batch, 3, Known())
+    assert ids.tolist() == [1, 2] and starts.tolist() == [0, 3, 6] and len(set(flat.tolist())) == 4
